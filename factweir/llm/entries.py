@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweir.llm import chat, license_scan, ngram_join, oracles, packing, quality_rules, topk, url_filter
+from factweir.llm import chat, langid, license_scan, ngram_join, oracles, packing, quality_model, quality_rules, topk, url_filter
 
 #: The url rules of the contract, as (verdict, host, path).
 URL_RULES = [
@@ -50,6 +50,20 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns({"method_rule": F.when(own, judged["rule"]), "rule": F.when(~own, judged["rule"])})
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = langid.remainder(F.col("doc_id"), 5)
+    weights = quality_model.learn(docs.where(rest != 0), _table(spark, sf_dir, "labels").where(rest != 0))
+    return quality_model.score(docs, weights).withColumn("held_out", rest == 0)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rest = langid.remainder(F.col("doc_id"), 4)
+    langs, logp = langid.learn(docs.where(rest != 2))
+    return langid.identify(docs, langs, logp).withColumn("held_out", rest == 2)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
@@ -77,6 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_url_filter": op2_url_filter,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_language_id": op4_language_id,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_exact_topk": op7_exact_topk,
