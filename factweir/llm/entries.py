@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweir.llm import chat, langid, license_scan, ngram_join, oracles, packing, quality_model, quality_rules, topk, url_filter
+from factweir.llm import chat, langid, license_scan, mixing, ngram_join, oracles, packing, quality_model, quality_rules, topk, url_filter
 
 #: The url rules of the contract, as (verdict, host, path).
 URL_RULES = [
@@ -79,6 +79,11 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors.where(F.col("vec_id") % 100 == 0), vectors, k=10, scale=1024)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.learn(docs, _table(spark, sf_dir, "labels")), targets=(0.85, 0.1, 0.05))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"), license_scan.known_digests(spark))
 
@@ -96,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_exact_topk": op7_exact_topk,
+        "op8_mixing": op8_mixing,
         "op9_license_scan": op9_license_scan,
         "op10_quality_rules": op10_quality_rules,
     }
