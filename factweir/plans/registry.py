@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from factweir.plans import measure_queries, traffic_queries
+
 FLAGSHIP = "leaderboard"
 
-_MODULES: tuple = ()
+_MODULES = (traffic_queries, measure_queries)
 
 
 def queries() -> dict[str, Callable]:
