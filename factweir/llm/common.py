@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweir.shipping import ship
+
 #: The ASCII white space that separates words in every contract of this subpackage.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -56,11 +56,4 @@ def prepare(spark: SparkSession, rows: int = 1000) -> None:
     """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    context = spark.sparkContext
-    if not any(str(f).endswith("factweir-llm.zip") for f in context._python_includes):
-        folder = Path(tempfile.mkdtemp(prefix="factweir-ship-"))
-        with zipfile.ZipFile(folder / "factweir-llm.zip", "w") as z:
-            top = Path(__file__).resolve().parents[1]
-            for f in [top / "__init__.py", *sorted((top / "llm").glob("*.py"))]:
-                z.write(f, f.relative_to(top.parent))
-        context.addPyFile(str(folder / "factweir-llm.zip"))
+    ship(spark)
