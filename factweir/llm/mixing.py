@@ -113,21 +113,29 @@ def posteriors(found: DataFrame, model: Model) -> DataFrame:
 
 
 def fold_rate(p: Column, steps: Column, ridge: float, max_rate: float) -> Column:
-    """A document's rate: projected gradient steps from 1, given each step's residuals."""
+    """A document's rate after projected gradient steps from 1, and the point that the next step starts from.
+
+    steps: for each step the residuals of the domains and, last, the momentum that follows it.
+    """
+
+    def step(s: Column, r: Column) -> Column:
+        pull = F.aggregate(F.zip_with(p, r, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+        moved = F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), s["next"] - (pull + ridge * (s["next"] - 1)) / (1 + ridge)))
+        return F.struct(moved.alias("rate"), (moved + F.element_at(r, -1) * (moved - s["rate"])).alias("next"))
+
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("next")), step)
 
-    def step(w: Column, r: Column) -> Column:
-        pull = F.aggregate(F.zip_with(p, r, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        return F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), w - (pull + ridge * (w - 1)) / (1 + ridge)))
 
-    return F.aggregate(steps, F.lit(1.0), step)
+def _trail(steps: list[list[float]]) -> Column:
+    return F.array(*[F.array(*[F.lit(x) for x in r]) for r in steps]) if steps else F.array().cast("array<array<double>>")
 
 
-def fit_rates(groups: DataFrame, targets: tuple[float, ...], ridge: float = 1e-4, max_rate: float = 4.0, rounds: int = 40, tolerance: float = 1e-4) -> list[list[float]]:
-    """Residuals of each projected-gradient step for groups(tokens, p); see `fold_rate`.
+def fit_rates(groups: DataFrame, targets: tuple[float, ...], ridge: float = 1e-4, max_rate: float = 4.0, rounds: int = 60, tolerance: float = 1e-4) -> list[list[float]]:
+    """Steps of accelerated projected gradient descent for groups(tokens, p); see `fold_rate`.
 
     Minimises sum over domains of (expected tokens - target tokens)^2 / available tokens, plus a small pull
-    of rates towards 1. The token budget is the one at which the domain with the largest target is used
-    at rate 1. Ends when no residual moves by more than `tolerance`.
+    of rates towards 1. The token budget is the one at which the domain with the largest target is used at
+    rate 1. Ends when no residual is or moves by more than `tolerance`; momentum restarts when it overshoots.
     """
     k = len(targets)
     if k != len(DOMAINS):
@@ -137,13 +145,17 @@ def fit_rates(groups: DataFrame, targets: tuple[float, ...], ridge: float = 1e-4
     anchor = max(range(k), key=lambda d: (targets[d], -d))
     budget = have[anchor] / targets[anchor] if have[anchor] else 0.0
     steps: list[list[float]] = []
+    before, t = math.inf, 1.0
     for _ in range(rounds if budget else 0):
-        trail = F.array(*[F.array(*[F.lit(x) for x in r]) for r in steps]) if steps else F.array().cast("array<array<double>>")
-        now = groups.agg(*sums(fold_rate(F.col("p"), trail, ridge, max_rate))).first()
+        now = groups.agg(*sums(fold_rate(F.col("p"), _trail(steps), ridge, max_rate)["next"])).first()
         residual = [(now[d] - targets[d] * budget) / have[d] if have[d] else 0.0 for d in range(k)]
-        if steps and max(abs(a - b) for a, b in zip(residual, steps[-1], strict=True)) < tolerance and max(map(abs, residual)) < 1:
+        if max(map(abs, residual)) < tolerance or (steps and max(abs(a - b) for a, b in zip(residual, steps[-1][:k], strict=True)) < tolerance / 10):
             break
-        steps.append(residual)
+        loss = sum(have[d] * residual[d] ** 2 for d in range(k))
+        t = 1.0 if loss > before else t
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        steps.append([*residual, (t - 1) / after])
+        before, t = loss, after
     return steps
 
 
@@ -159,8 +171,7 @@ def mix(docs: DataFrame, model: Model, targets: tuple[float, ...], max_rate: flo
     groups = found.groupBy(*bins).agg(F.sum("n_words").cast("double").alias("tokens"))
     groups = written(posteriors(groups, model).select("tokens", "p"), f"{folder}/groups")
     steps = fit_rates(groups, targets, ridge, max_rate)
-    trail = F.array(*[F.array(*[F.lit(x) for x in r]) for r in steps]) if steps else F.array().cast("array<array<double>>")
-    rates = posteriors(found.select(*bins).distinct(), model).withColumn("rate", fold_rate(F.col("p"), trail, ridge, max_rate))
+    rates = posteriors(found.select(*bins).distinct(), model).withColumn("rate", fold_rate(F.col("p"), _trail(steps), ridge, max_rate)["rate"])
     # at most one row for each combination of bins: a few thousand
     out = found.join(F.broadcast(rates), bins)
     near = F.round("rate")

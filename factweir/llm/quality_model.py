@@ -1,6 +1,6 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives (label 1) and unlabelled web text train a linear model that minimises the non-negative
+Trusted positives (label 1) and web text without labels train a linear model that minimises the non-negative
 unbiased risk: prior * risk of positives + max(0, risk of unlabelled as negatives - prior * risk of positives
 as negatives). The class prior is the share of label 1 among the labelled training rows. Features describe
 the form of the whole text: hashed word shapes, and shares of symbols, capitals, repeated words and lines.
@@ -27,6 +27,8 @@ _SYMBOLS[[ord(c) for c in "#*$%&|<>^~=_+{}[]\\@"]] = True
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[48:58], _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:] = ord("0"), ord("A"), ord("a"), ord("a")
 N_FEATURES = SHAPES + 12
+#: Against the hashed shapes, the few shares of the whole text weigh more.
+DENSE_SCALE = 6.0
 
 
 def features(text: str | None) -> np.ndarray | None:
@@ -62,7 +64,7 @@ def features(text: str | None) -> np.ndarray | None:
         np.log1p(n / len(lines)) / 5,
         (runs[ord(".")] + runs[ord("?")]) / n,
     ]
-    return np.concatenate([np.sqrt(shapes / n), dense]).astype(np.float32)
+    return np.concatenate([np.sqrt(shapes / n), DENSE_SCALE * np.array(dense)]).astype(np.float32)
 
 
 def _bytes(texts: list[str | None]) -> pa.Array:
@@ -109,8 +111,8 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, default_prior: float = 0.8) -> np.ndarray:
     """Weights from docs(doc_id, text) and labels(doc_id, quality), about sample_rows of each kind of row.
 
-    Unlabelled rows are those without a label row; where there are fewer than a tenth of sample_rows, the
-    labelled rows join them with their labels hidden.
+    The unlabelled text is a sample of all documents, whether labelled or not, without their labels: the
+    mixture that the class prior speaks of.
     """
     prepare(docs.sparkSession)
     docs = pick(docs, "doc_id", "text")
@@ -122,12 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, default_p
     share = min(1.0, sample_rows / max(good, 1))
     ids = marks.where(f"quality >= 1 AND pmod(xxhash64(doc_id), 1000000) < {int(share * 1_000_000)}").select("doc_id")
     positive = _sample(docs.join(ids, "doc_id", "left_semi"), 2 * sample_rows)
-    n = docs.select(F.count(F.lit(1))).first()[0]
-    share = min(1.0, 2 * sample_rows / max(n, 1))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    unlabelled = _sample(some.join(marks.select("doc_id"), "doc_id", "left_anti"), sample_rows)
-    if len(unlabelled) < sample_rows / 10:
-        unlabelled = _sample(some, sample_rows)
+    unlabelled = _sample(docs, sample_rows)
     return fit_pu(positive, unlabelled, prior)
 
 
