@@ -49,15 +49,20 @@ class _Powers:
 _powers = _Powers()
 
 
-def _block_words(b: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of a block of bytes."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[b], [True])).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
+def run_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """Hashes of the runs of bytes from `start` to `end` of a block."""
     _powers.to(len(b) + 1)
     sums = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum((_LOWER[b] if lower else b).astype(np.uint64) * _powers.up[: len(b)], out=sums[1:])
     value = (sums[end] - sums[start]) * _powers.down[start]
-    return start, end, mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _block_words(b: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of a block of bytes."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[b], [True])).view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    return start, end, run_hashes(b, start, end, lower)
 
 
 def blocks(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
