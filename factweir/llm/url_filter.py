@@ -66,9 +66,14 @@ def pattern_rules(spark: SparkSession, rules: list[tuple[str, str, str, list[str
     return df.select("rule", F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "pattern", "tokens", "verdict", F.lit(-1).alias("rank"))
 
 
-def indexed(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """The rules with `token`: their rarest literal token over all urls(key), null if they have none."""
+def indexed(rules: DataFrame, urls: DataFrame, small: bool = False) -> DataFrame:
+    """The rules with `token`: their rarest literal token over all urls(key), null if they have none.
+
+    small: there are at most MAX_INLINE_RULES rules, so their tokens are broadcast and the urls' tokens are
+    counted before any shuffle, however frequent one is.
+    """
     tokens = rules.select(F.explode("tokens").alias("token")).distinct()
+    tokens = F.broadcast(tokens) if small else tokens
     seen = urls.select(F.explode(F.array_distinct(F.regexp_extract_all("key", F.lit(_TOKEN), F.lit(0)))).alias("token"))
     counts = seen.join(tokens, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     each = rules.select("*", F.explode_outer("tokens").alias("t")).join(counts, F.col("t") == F.col("token"), "left")
@@ -81,9 +86,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", u
     base = pick(pages, id_column, url_column).toDF("id", "url")
     base = base.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     base = base.withColumn("key", F.concat("host", F.lit("\n"), "path"))
-    rules = indexed(rules, base.select("key"))
-    few = rules.limit(MAX_INLINE_RULES + 1).collect()
-    judged = _inline(base, few) if len(few) <= MAX_INLINE_RULES else _joined(base, rules)
+    small = rules.limit(MAX_INLINE_RULES + 1).count() <= MAX_INLINE_RULES
+    rules = indexed(rules, base.select("key"), small)
+    judged = _inline(base, rules.collect()) if small else _joined(base, rules)
     return judged.select(F.col("id").alias(id_column), "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
 
 
