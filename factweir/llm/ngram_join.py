@@ -305,7 +305,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sha
     more = written(dealt.join(texts.select("node", "rep", "text"), ["node", "rep"]).groupBy("pivot", "i", "j").applyInPandas(lambda pdf: _blocks(pdf, rule), "a long, b long"), f"{folder}/blocks")
     comp = components(links.unionByName(more), f"{folder}/second")
 
-    known = classes.join(comp, F.col("rep") == F.col("id"), "left").select("node", "other", "n", F.coalesce("component", "rep").alias("component_id"))
+    # a table of its own, so that the join below shuffles both sides anew and adaptive execution splits a class of many copies
+    known = written(classes.join(comp, F.col("rep") == F.col("id"), "left").select("node", "other", "n", F.coalesce("component", "rep").alias("component_id")), f"{folder}/known")
     found = rows.where("n > 0").join(known, ["node", "other", "n"]).select("doc_id", "n", "component_id")
     alone = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
