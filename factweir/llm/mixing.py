@@ -46,7 +46,8 @@ class Model:
 
 
 def _plain(words: Column) -> Column:
-    return F.array_distinct(F.transform(words, lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+    """The distinct words in lower case without symbols at their ends; each spelling is worked on once."""
+    return F.array_distinct(F.transform(F.array_distinct(words), lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
 
 
 def features(docs: DataFrame, lexicon: tuple[str, ...]) -> DataFrame:
@@ -58,7 +59,7 @@ def features(docs: DataFrame, lexicon: tuple[str, ...]) -> DataFrame:
     letters = F.greatest(F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")), F.lit(1))
     raw = {
         "marked": F.regexp_count("_t", F.lit(r"(?:[#*$%&]{2,}|!{2,})[.,]?(?!\S)")) / n,
-        "bars": F.regexp_count("_t", F.lit(r"(?<!\S)[|>](?!\S)")) / n,
+        "bars": F.regexp_count("_t", F.lit(r"[|>](?<!\S.)(?!\S)")) / n,
         "capitals": F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")) / letters,
         "repeated": 1 - F.size("_d") / n - F.least(F.lit(0.25), F.lit(0.05) * F.log10(n)),
         "hits": F.size(F.array_intersect("_d", F.array(*[F.lit(w) for w in lexicon]).cast("array<string>"))).cast("double"),
