@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,44 @@ def chunk_spans(text: str, size: int = 1100) -> list[tuple[int, int]]:
     return spans
 
 
+#: Anchors of a text: bytes of a gram, and of how many neighbouring grams the least hash is kept. A substring of
+#: gram + window - 1 bytes has an anchor of its own, which every text that holds it has too.
+LONG_ANCHORS, SHORT_ANCHORS = (24, 17), (12, 3)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def anchor_hashes(text: str, gram: int, window: int) -> np.ndarray:
+    """Distinct hashes of the grams (12 or more bytes, by fours) of which each is the least of some window."""
+    b = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
+    if len(b) < gram + window - 1:
+        return np.zeros(0, dtype=np.int64)
+    words = np.zeros(len(b) - 3, dtype=np.uint64)
+    for i in range(4):
+        words |= b[i : len(b) - 3 + i].astype(np.uint64) << np.uint64(8 * i)
+    n = len(b) - gram + 1
+    h = np.zeros(n, dtype=np.uint64)
+    for at in range(0, gram, 4):
+        h = _mixed(h + words[at : at + n])
+    least = h[: n - window + 1].copy()
+    for i in range(1, window):
+        np.minimum(least, h[i : n - window + 1 + i], out=least)
+    return np.unique(least).view(np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def long_anchors(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: anchor_hashes(x or "", *LONG_ANCHORS))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def short_anchors(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: anchor_hashes(x or "", *SHORT_ANCHORS))
+
+
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel(x or "", y or "") for x, y in zip(a, b, strict=True)])

@@ -11,6 +11,11 @@ from factweir.shipping import ship
 #: Characters of a quote's normal form, and letters and digits it needs.
 MIN_QUOTE, MAX_QUOTE, MIN_SKELETON = 20, 600, 14
 
+#: Quotes up to which their keys are broadcast; beyond it Spark joins as it sees fit.
+MAX_BROADCAST_QUOTES = 100_000
+#: Rows of an Arrow batch of whole texts.
+TEXT_BATCH = 500
+
 
 def unique_urls(sources: DataFrame) -> DataFrame:
     """The first source of each normal URL of a run."""
@@ -42,6 +47,42 @@ def verify_quotes(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     return hits.groupBy("quote_id").agg(best.alias("b")).select("quote_id", "b.found_in", "b.method")
 
 
+def find_quotes(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """quotes(quote_id, source_id, quote) found in any of sources(source_id, text), by letters and digits.
+
+    Results are those of verify_quotes with all sources in one run. A quote's key is one anchor of its letters
+    and digits, which all texts that hold the quote have among their anchors, so only texts that share it are
+    searched. Quotes too short for a long anchor have a shorter one. A null source_id comes after all others.
+    """
+    spark = quotes.sparkSession
+    ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    n, sk = F.length(F.trim(text.normal_text(F.col("quote")))), text.skeleton(F.col("quote"))
+    q = quotes.where(n.between(MIN_QUOTE, MAX_QUOTE)).select("quote_id", F.col("source_id").alias("cited"), sk.alias("sk"), text.normal_text(F.col("quote")).alias("norm")).where(F.length("sk") >= MIN_SKELETON)
+    long = F.length("sk") >= sum(kernels.LONG_ANCHORS) - 1
+    sizes = q.agg(F.count(F.lit(1)).alias("n"), F.count_if(long).alias("long")).first()
+    few = sizes["n"] <= MAX_BROADCAST_QUOTES
+    hinted = lambda df: F.broadcast(df) if few else df
+    s = sources.select("source_id", "text")
+    pairs = None
+    for some, anchors, wanted in ((sizes["long"], kernels.long_anchors, long), (sizes["n"] - sizes["long"], kernels.short_anchors, ~long)):
+        if some:
+            keys = q.where(wanted).select("quote_id", F.array_min(anchors("sk")).alias("anchor"))
+            held = s.select(F.col("source_id").alias("found_in"), F.xxhash64("text").alias("digest"), F.explode(anchors(text.skeleton(F.col("text")))).alias("anchor"))
+            found = held.join(hinted(keys), "anchor").select("quote_id", "found_in", "digest")
+            pairs = found if pairs is None else pairs.unionByName(found)
+    if pairs is None:
+        pairs = q.select("quote_id", F.col("cited").alias("found_in"), F.lit(0).cast("long").alias("digest"))
+    texts = s.select(F.col("source_id").alias("id"), F.xxhash64("text").alias("d"), "text")
+    both = pairs.distinct().join(texts, (F.col("digest") == F.col("d")) & F.col("found_in").eqNullSafe(F.col("id"))).drop("id", "d", "digest")
+    hits = both.join(hinted(q), "quote_id").where(F.contains(text.skeleton(F.col("text")), "sk"))
+    method = F.when(F.contains(text.normal_text(F.col("text")), "norm"), "exact").otherwise("loose")
+    other = F.coalesce(F.col("found_in") != F.col("cited"), F.lit(True))
+    best = F.min(F.struct(other.alias("other"), F.col("found_in").isNull().alias("unnamed"), "found_in", method.alias("method")))
+    return hits.groupBy("quote_id").agg(best.alias("b")).select("quote_id", "b.found_in", "b.method")
+
+
 def ranked_chunks(sources: DataFrame) -> DataFrame:
     """Chunks of each source with their scores: source_id, i, start, end, quant, qual."""
     ship(sources.sparkSession)

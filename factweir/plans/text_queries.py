@@ -48,6 +48,19 @@ def quote_verification(spark, sf_dir):
     return e.verify_quotes(quotes, docs)
 
 
+@Q.add(
+    "quote_search",
+    r"""WITH q AS (SELECT item_id AS quote_id, item_id AS source_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS sk, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm FROM benchmark),
+s AS (SELECT doc_id AS found_in, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS tsk, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS tnorm FROM documents)
+SELECT quote_id, found_in, method FROM (SELECT quote_id, found_in, CASE WHEN contains(tnorm, norm) THEN 'exact' ELSE 'loose' END AS method,
+  row_number() OVER (PARTITION BY quote_id ORDER BY found_in <> source_id, found_in) AS n FROM q CROSS JOIN s
+  WHERE length(norm) BETWEEN 20 AND 600 AND length(sk) >= 14 AND contains(tsk, sk)) WHERE n = 1""",
+)
+def quote_search(spark, sf_dir):
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("item_id").alias("source_id"), F.col("text").alias("quote"))
+    return e.find_quotes(quotes, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+
+
 @Q.add("page_status", DOCS + rf"""SELECT source_id, CASE WHEN starts_with(coalesce(error, ''), 'blocked') THEN 'blocked' WHEN http_status IS NULL OR http_status <> 200 THEN 'dead'
   WHEN length(text) < 2000 AND regexp_matches(left(text, 400), '(?i){text.NOT_FOUND.replace("'", "''")}') THEN 'soft_404' WHEN length(text) < 300 THEN 'thin' ELSE 'ok' END AS status FROM source_docs""")
 def page_status(spark, sf_dir):
