@@ -96,6 +96,15 @@ def chunk_scores(spark, sf_dir):
     return d.select("doc_id", (F.col("s.quant") * 100).cast("long").alias("quant"), F.col("s.qual").cast("long").alias("qual"))
 
 
+@Q.add("text_scores", rf"""WITH c AS (SELECT doc_id, text AS t FROM documents),
+n AS (SELECT doc_id, len(regexp_extract_all(t, '(?i){text.QUANT}')) AS q, len(regexp_extract_all(t, '(?i){text.UNIT_NUMBER}')) AS u, len(regexp_extract_all(t, '{text.LARGE_NUMBER}')) AS b,
+  len(list_distinct(list_transform(regexp_extract_all(t, '(?i){text.QUAL}'), lambda x: lower(x)))) AS w, least(4.0::double * len(regexp_extract_all(t, '(?i){text.BOILERPLATE}')), 12) AS boiler FROM c)
+SELECT doc_id, cast((4 * q + 6 * u + CASE WHEN q + u > 0 THEN 0.75::double * least(b, 12) ELSE 0 END - boiler) * 100 AS bigint) AS quant, cast(least(w, 10) - boiler AS bigint) AS qual FROM n""")
+def text_scores(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", text.chunk_scores(F.col("text")).alias("s"))
+    return d.select("doc_id", (F.col("s.quant") * 100).cast("long").alias("quant"), F.col("s.qual").cast("long").alias("qual"))
+
+
 @Q.add("chunk_plan")
 def chunk_plan(spark, sf_dir):
     return e.ranked_chunks(_sources(spark, sf_dir))
