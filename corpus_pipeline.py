@@ -7,7 +7,7 @@ in the cluster's shared folder and reads it again for the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweir.llm import entries, langid, mixing, ngram_join, packing, quality_model
@@ -20,35 +20,55 @@ TARGETS = (0.94, 0.03, 0.03)
 ORACLE_SQL = None
 
 
+def _key() -> Column:
+    """What decisions are joined on: a 64-bit hash of doc_id and text, never null, the same in every run.
+
+    Rows that agree in both are one document. Two others share a key with a chance of 2 ** -64 a pair.
+    """
+    return F.xxhash64("doc_id", "text")
+
+
+def _as_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the key in place of doc_id, which may be null or repeated."""
+    return docs.select(_key().alias("doc_id"), "text")
+
+
 def _kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among the decisions' (null ids meet null ids)."""
-    keys = decisions.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["_kept_id"]), "left_semi")
+    """Rows of docs whose key is among the decisions' doc_id."""
+    keys = decisions.select(F.col("doc_id").alias("_kept_key")).distinct()
+    return docs.join(keys, _key() == F.col("_kept_key"), "left_semi")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language, or of which no language has half."""
     langs, logp = langid.learn(docs)
-    found = langid.identify(docs, langs, logp)
+    found = langid.identify(_as_id(docs), langs, logp)
     return _kept(docs, found.where("lang_pred <> 'und' AND score >= 0.5"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the positive-unlabelled classifier predicts to be of low quality."""
     weights = quality_model.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _kept(docs, quality_model.score(docs, weights).where("predicted = 1"))
+    return _kept(docs, quality_model.score(_as_id(docs), weights).where("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of five-word shingle sets 0.8 or more alike."""
-    found = ngram_join.jaccard_components(docs, shingle=5, percent=80)
-    return _kept(docs, found.where("doc_id <=> component_id")).dropDuplicates(["doc_id"])
+    """Keeps one row of each component of five-word shingle sets 0.8 or more alike: the smallest doc_id's.
+
+    Null ids come last; among rows of one id the least key decides, among equal texts the other columns.
+    """
+    found = ngram_join.jaccard_components(_as_id(docs), shingle=5, percent=80).select("doc_id", "component_id").distinct()
+    ids = docs.select(_key().alias("_key"), F.col("doc_id").alias("_id")).distinct()
+    named = found.join(ids, F.col("doc_id") == F.col("_key"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_key"))["_key"].alias("doc_id"))
+    one = _kept(docs, first).groupBy(_key().alias("_key")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return one.select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Thins out domains beyond their target weight; documents with rate 1 all stay."""
     model = mixing.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _kept(docs, mixing.mix(docs, model, TARGETS, max_rate=1.0).where("copies > 0"))
+    return _kept(docs, mixing.mix(_as_id(docs), model, TARGETS, max_rate=1.0).where("copies > 0"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
