@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,31 +31,61 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots written as `__`) that hold inside the block only."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    `spark.checkpoint.dir` is read from the session; only where it is unset (tests, one machine) a
-    temporary folder is made and set as the checkpoint folder.
+    `spark.checkpoint.dir` is read from the session. Where it is unset, a temporary folder is made and set as
+    the checkpoint folder, but only if the driver and the executors are one machine (tests).
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='factweir-')}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/factweir/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, folder: str) -> DataFrame:
-    """`df` as a table in the shared folder: cuts lineage, survives lost executors, computed once."""
-    df.write.mode("overwrite").parquet(folder)
+    """`df` as a table in the shared folder: cuts lineage, survives lost executors, computed once.
+
+    The write's shuffle files go when it is done; a reader of `df` itself would compute them again.
+    """
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.mode("overwrite").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Deletes work tables that nothing reads any more."""
+    for f in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def prepare(spark: SparkSession, rows: int = 1000) -> None:
     """Readies a session for Python tasks over whole texts.
 
-    Executors get this package, unless they have it. Arrow batches hold at most `rows` rows, which bounds a
-    Python worker's memory when texts are long.
+    Executors get this package, unless they have it. Arrow batches hold at most `rows` rows and about 32 MB,
+    which bounds a Python worker's memory when texts are long; smaller bounds of the session stay.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", 32 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int("".join(c for c in spark.conf.get(name) if c.isdigit()))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
     ship(spark)

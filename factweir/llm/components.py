@@ -1,33 +1,45 @@
-"""Connected components of a table of links, by label propagation with pointer jumping, in Spark."""
+"""Connected components of a table of links, by alternating small stars and large stars, in Spark."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweir.llm.common import written
+from factweir.llm.common import discard, written
 
 
 def components(links: DataFrame, folder: str) -> DataFrame:
     """links(a, b) to (id, component): the smallest id that each linked id reaches.
 
-    Each round takes the smallest label among a vertex and its neighbours, then the label of that label.
-    Rounds are written to `folder`, which cuts lineage; they end when no label changes, after a number of
-    rounds logarithmic in the longest chain. Ids with no link get no row. A hub's links are combined
-    before each shuffle.
+    Every link is kept as (hi, lo) with hi > lo. A small star moves the links of a vertex to smaller ones onto
+    the smallest of them, a large star the links to greater ones; both keep what is connected (Kiveris et al.,
+    Connected Components in MapReduce and Beyond, 2014), and about log(n) squared rounds leave one star for each
+    component, however long its chains are. Rounds are written to `folder`, which cuts lineage, and the round
+    before is deleted. Ids with no link get no row. Smallest neighbours are aggregated before the shuffle and
+    are tables of their own, so that adaptive execution can split a hub's links in the joins.
     """
-    both = links.where("a <> b").select("a", "b")
-    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{folder}/links")
-    label = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), f"{folder}/round0")
-    step = 0
+    spark = links.sparkSession
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), f"{folder}/0")
+    step, old = 0, f"{folder}/0"
+
+    def smallest(edges: DataFrame) -> DataFrame:
+        return written(edges.groupBy("hi").agg(F.min("lo").alias("low")), f"{folder}/low{step}")
+
     while True:
         step += 1
-        seen = both.join(label, both.b == label.id).groupBy("a").agg(F.min("component").alias("m"))
-        low = label.join(seen, label.id == seen.a).select("id", F.least("component", "m").alias("component"), F.col("component").alias("was"))
-        low = written(low, f"{folder}/low{step}")
-        jump = low.select(F.col("id").alias("via"), F.col("component").alias("target"))
-        moved = low.join(jump, low.component == jump.via, "left").select("id", F.least("component", F.coalesce("target", "component")).alias("component"), "was")
-        after = written(moved, f"{folder}/round{step}")
-        label = after.select("id", "component")
-        if after.where("component <> was").isEmpty():
-            return label
+        low = smallest(edges)
+        if low.count() < edges.count():
+            moved = edges.join(low, "hi").where("lo <> low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
+            edges = written(moved.unionByName(low.select("hi", F.col("low").alias("lo"))).distinct(), f"{folder}/{step}")
+            discard(spark, old, f"{folder}/low{step}")
+            step, old = step + 1, f"{folder}/{step}"
+            low = smallest(edges)
+        up = low.select(F.col("hi").alias("lo"), "low")
+        stars = edges.join(up, "lo", "left").select("hi", F.coalesce("low", "lo").alias("lo"), F.col("low").isNotNull().alias("moved"))
+        stars = written(stars.groupBy("hi", "lo").agg(F.max("moved").alias("moved")), f"{folder}/{step}")
+        discard(spark, old, f"{folder}/low{step}")
+        old = f"{folder}/{step}"
+        edges = stars.select("hi", "lo")
+        if stars.where("moved").isEmpty() and edges.groupBy("hi").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            roots = edges.select(F.col("lo").alias("id")).distinct()
+            return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
