@@ -18,8 +18,24 @@ URL_RULES = [
     ("block", "net", "/fr/"),
 ]
 
-#: The method's own verdict where no rule of the contract fits: hosts that name themselves spam.
-URL_PATTERNS = [("spam-host", "block", r"^(?:[^\n]*[.-])?spam[.-][^\n]*\n", ["spam"])]
+_UNWANTED_HOSTS = {
+    "adult": "adult escort hentai porn porno sex webcams xxx",
+    "gambling": "bet bets betting bingo blackjack casino casinos gamble gambling jackpot lottery poker roulette slots",
+    "pills": "cialis levitra viagra xanax",
+    "ads": "ads adserver adservice adtrack affiliate clicktrack popads tracker",
+    "spam": "clickbait phishing spam warez",
+}
+
+
+def url_patterns() -> list[tuple[str, str, str, list[str]]]:
+    """The method's own rules where none of the contract fits, as (name, verdict, expression, literal tokens).
+
+    Hosts are blocked that have one of these words between dots and hyphens, and paths of sign-in, cart and
+    unlicensed-download pages. Every rule has literal tokens, so only urls with its rarest one run it.
+    """
+    rules = [(f"{kind}:{w}", "block", rf"^(?:[^\n]*[.-])?{w}[.-][^\n]*\n", [w]) for kind, words in _UNWANTED_HOSTS.items() for w in words.split()]
+    rules += [(f"path:{a}", "block", rf"\n[^\n]*/{a}(?:[/.]|$)", [a]) for a in ("login", "signin", "signup", "checkout", "cart")]
+    return rules + [("path:keygen", "block", r"\n[^\n]*crack[-_]keygen", ["crack", "keygen"]), ("path:torrent", "block", r"\n[^\n]*torrent[-_/]download", ["torrent", "download"])]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +60,9 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = url_filter.prefix_rules(spark, URL_RULES).unionByName(url_filter.pattern_rules(spark, URL_PATTERNS))
+    rules = url_filter.prefix_rules(spark, URL_RULES).unionByName(url_filter.pattern_rules(spark, url_patterns()))
     judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"), rules)
-    own = judged["rule"].isin([r[0] for r in URL_PATTERNS])
+    own = judged["rule"].isin([r[0] for r in url_patterns()])
     return judged.withColumns({"method_rule": F.when(own, judged["rule"]), "rule": F.when(~own, judged["rule"])})
 
 
@@ -89,7 +105,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.clean_lines(_table(spark, sf_dir, "documents")).drop("clean_text")
+    return quality_rules.clean_lines(_table(spark, sf_dir, "documents")).withColumn("clean_text", F.sha2("clean_text", 256)).withColumnRenamed("clean_text", "clean_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -108,4 +124,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": oracles.URL_FILTER, "op7_exact_topk": oracles.TOP_K, "op9_license_scan": oracles.license_scan(), "op10_quality_rules": oracles.quality_rules()}
+    return {"op2_url_filter": oracles.url_filter(url_patterns()), "op7_exact_topk": oracles.TOP_K, "op9_license_scan": oracles.license_scan(), "op10_quality_rules": oracles.quality_rules()}

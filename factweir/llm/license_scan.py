@@ -5,8 +5,8 @@ ASCII letters and digits turned into single spaces) and its SHA-256 is hash-join
 licence texts and notices. Two kinds of texts are looked up for each document: the whole document, and each
 of its lines, as licence notices usually stand on a line of their own. Only DataFrame operations are used.
 
-Defined results: null texts are empty and match nothing; repeated rows of a doc_id make one row with what
-any of them holds; a text whose canonical form is empty matches nothing.
+Defined results: null texts are empty and match nothing; rows are independent, so repeated rows and null ids
+get a row each; a text whose canonical form is empty matches nothing.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweir.llm.common import ascii_lower, pick
+from factweir.llm.license_texts import KNOWN
 
 #: Spellings that count as one, applied in this order to lower-cased text.
 SPELLINGS = (
@@ -28,54 +29,6 @@ SPELLINGS = (
     ("&", " and "),
 )
 
-#: Licences with a canonical text or notice, as (identifier, policy, text).
-KNOWN = (
-    ("MIT", "permissive", "Released under the MIT License."),
-    ("MIT", "permissive", "Licensed under the MIT License."),
-    ("MIT", "permissive", "This project is licensed under the MIT License."),
-    (
-        "MIT",
-        "permissive",
-        """MIT License
-
-Copyright (c) year holder
-
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
-""",
-    ),
-    (
-        "ISC",
-        "permissive",
-        """ISC License
-
-Copyright (c) year holder
-
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
-""",
-    ),
-    ("Apache-2.0", "permissive", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "permissive", 'Licensed under the Apache License, Version 2.0 (the "License").'),
-    ("BSD-3-Clause", "permissive", "Licensed under the BSD 3-Clause License."),
-    ("BSD-2-Clause", "permissive", "Licensed under the BSD 2-Clause License."),
-    ("MPL-2.0", "weak copyleft", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("LGPL-3.0", "weak copyleft", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("GPL-3.0", "copyleft", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "copyleft", "This work is licensed under the GNU General Public License, version 2."),
-    ("AGPL-3.0", "copyleft", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("CC0-1.0", "permissive", "To the extent possible under law, the author has waived all copyright to this work."),
-    ("CC-BY-4.0", "permissive", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "copyleft", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "non-commercial", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-ND-4.0", "non-commercial", "Licensed under CC BY-NC-ND 4.0."),
-    ("Proprietary", "reserved", "All rights reserved."),
-)
-
 #: Known digests up to which they are broadcast (48 bytes each); beyond it Spark joins as it sees fit.
 MAX_BROADCAST = 50_000
 
@@ -98,7 +51,7 @@ def known_digests(spark: SparkSession, known: tuple = KNOWN) -> DataFrame:
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per id: whole_license (licence that the entire text is, or null), licenses (sorted identifiers of
+    """Per row: id, whole_license (licence that the entire text is, or null), licenses (sorted identifiers of
     lines or the entire text), policies (sorted), n_lines (lines that are licence texts)."""
     bound = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("size"), F.lit(0)).alias("most")).first()
     small = bound["n"] <= MAX_BROADCAST
@@ -107,14 +60,15 @@ def scan_licenses(docs: DataFrame, known: DataFrame, id_column: str = "doc_id",
     lines = F.filter(F.split("t", "\n"), lambda x: F.regexp_count(x, F.lit("[A-Za-z0-9]")) <= bound["most"])
     whole = F.array(F.struct(F.lit(True).alias("whole"), canonical(F.col("t")).alias("canon")))
     parts = F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), canonical(x).alias("canon")))
-    units = base.select("id", F.explode(F.concat(whole, parts)).alias("u"))
-    units = units.select("id", F.col("u.whole").alias("whole"), F.sha2("u.canon", 256).alias("digest"))
+    # the parts of a row follow each other in one task, so they are combined before the shuffle
+    units = base.select("id", F.monotonically_increasing_id().alias("row"), F.concat(whole, parts).alias("us")).select("id", "row", F.explode("us").alias("u"))
+    units = units.select("id", "row", F.col("u.whole").alias("whole"), F.sha2("u.canon", 256).alias("digest"))
     keys = known.select("digest", "license", "policy")
     hit = units.join(F.broadcast(keys) if small else keys, "digest", "left")
-    out = hit.groupBy("id").agg(
+    out = hit.groupBy("row", "id").agg(
         F.min(F.when(F.col("whole"), F.col("license"))).alias("whole_license"),
         F.sort_array(F.collect_set("license")).alias("licenses"),
         F.sort_array(F.collect_set("policy")).alias("policies"),
         F.count(F.when(~F.col("whole") & F.col("license").isNotNull(), 1)).alias("n_lines"),
     )
-    return out.withColumnRenamed("id", id_column)
+    return out.drop("row").withColumnRenamed("id", id_column)

@@ -7,7 +7,15 @@ from factweir.llm import quality_rules as qr
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
-URL_FILTER = rf"""
+
+def _quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def url_filter(patterns: list[tuple[str, str, str, list[str]]]) -> str:
+    """patterns: (name, verdict, regular expression over host and path, tokens)."""
+    rows = ", ".join(f"({_quote(name)}, {_quote(verdict)}, {_quote(pattern)})" for name, verdict, pattern, _ in patterns)
+    return rf"""
 WITH p AS (
   SELECT row_number() OVER () AS row_id, page_id,
          translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), {_UPPER}) AS host,
@@ -17,11 +25,12 @@ r(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.co
   ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 best AS (
   SELECT row_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
-  FROM p, r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY row_id)
-SELECT page_id, host, path, best.rule AS rule,
-       CASE WHEN best.rule IS NULL AND regexp_matches(host, '(^|[.-])spam[.-]') THEN 'spam-host' END AS method_rule,
-       CASE WHEN best.rule IS NOT NULL THEN best.verdict WHEN regexp_matches(host, '(^|[.-])spam[.-]') THEN 'block' ELSE 'allow' END AS verdict
-FROM p LEFT JOIN best USING (row_id)
+  FROM p, r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY row_id),
+m(name, verdict, pattern) AS (VALUES {rows}),
+own AS (SELECT row_id, max(name) AS name, arg_max(m.verdict, name) AS verdict FROM p, m WHERE regexp_matches(host || chr(10) || path, pattern) GROUP BY row_id)
+SELECT page_id, host, path, best.rule AS rule, CASE WHEN best.rule IS NULL THEN own.name END AS method_rule,
+       coalesce(best.verdict, own.verdict, 'allow') AS verdict
+FROM p LEFT JOIN best USING (row_id) LEFT JOIN own USING (row_id)
 """
 
 
@@ -35,10 +44,6 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
-def _quote(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 def _canonical(c: str) -> str:
     c = f"translate(regexp_replace({c}, '(?im)^[^A-Za-z0-9\\n]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g'), {_UPPER})"
     for a, b in ls.SPELLINGS:
@@ -49,23 +54,24 @@ def _canonical(c: str) -> str:
 def license_scan() -> str:
     rows = ", ".join(f"({_quote(a)}, {_quote(b)}, {_quote(t)})" for a, b, t in ls.KNOWN)
     return f"""
-WITH known AS (
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+known AS (
   SELECT c, min(license) AS license, arg_min(policy, license) AS policy
   FROM (SELECT license, policy, {_canonical("t")} AS c FROM (VALUES {rows}) v(license, policy, t)) WHERE c <> '' GROUP BY c),
 u AS (
-  SELECT doc_id, true AS whole, {_canonical("coalesce(text, '')")} AS c FROM documents
+  SELECT r, doc_id, true AS whole, {_canonical("t")} AS c FROM d
   UNION ALL
-  SELECT doc_id, false, {_canonical("line")} FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents))
+  SELECT r, doc_id, false, {_canonical("line")} FROM (SELECT r, doc_id, unnest(string_split(t, chr(10))) AS line FROM d))
 SELECT doc_id, min(license) FILTER (whole) AS whole_license,
        coalesce(list_sort(list(DISTINCT license) FILTER (license IS NOT NULL)), []) AS licenses,
        coalesce(list_sort(list(DISTINCT policy) FILTER (policy IS NOT NULL)), []) AS policies,
        count(*) FILTER (NOT whole AND license IS NOT NULL) AS n_lines
-FROM u LEFT JOIN known USING (c) GROUP BY doc_id
+FROM u LEFT JOIN known USING (c) GROUP BY r, doc_id
 """
 
 
 def quality_rules() -> str:
-    furniture = "|".join(qr.BOILERPLATE)
+    furniture = "|".join(qr.BOILERPLATE).replace("'", "''")
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -73,20 +79,21 @@ words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
 g AS (SELECT r, i, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS g FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
 c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g WHERE g IS NOT NULL),
 covered AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM c, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY r),
-l AS (SELECT r, line FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-m AS (SELECT r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw,
+l AS (SELECT r, i, line FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+m AS (SELECT r, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw,
         len(list_filter(regexp_extract_all(line, '[^ \t\n\r\f\x0B]+'), lambda x: x IN ('|', '>', '•', '·'))) AS bars,
         len(list_filter(regexp_extract_all(line, '[^ \t\n\r\f\x0B]+'), lambda x: regexp_matches(x, '([#*$%&]{{2,}}|!{{2,}})[.,]?$'))) AS marked FROM l),
-j AS (SELECT r, line, bars >= 3 OR (bars >= 1 AND 3 * bars >= nw) OR regexp_matches(line, '(?i){furniture}')
+j AS (SELECT r, i, line, bars >= 3 OR (bars >= 1 AND 3 * bars >= nw) OR (nw <= {qr.FURNITURE_WORDS} AND regexp_matches(line, '(?i){furniture}'))
         OR (marked >= 1 AND 2 * marked >= nw) AS bad FROM m),
 s AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (bad) AS lost_lines,
-        coalesce(sum(length(line)) FILTER (bad), 0) AS lost_chars, sum(length(line)) AS all_chars FROM j GROUP BY r),
+        coalesce(sum(length(line)) FILTER (bad), 0) AS lost_chars, sum(length(line)) AS all_chars,
+        coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT bad), '') AS clean FROM j GROUP BY r),
 f AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lost_lines, 0) AS lost_lines,
-        cast(coalesce(lost_chars, 0) AS bigint) AS lost_chars, cast(coalesce(all_chars, 0) AS bigint) AS all_chars
+        cast(coalesce(lost_chars, 0) AS bigint) AS lost_chars, cast(coalesce(all_chars, 0) AS bigint) AS all_chars, sha256(coalesce(clean, '')) AS clean_sha256
       FROM w LEFT JOIN covered USING (r) LEFT JOIN s USING (r))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_lines, lost_chars,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_lines, lost_chars, clean_sha256,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (100 * lost_chars > 50 * all_chars) AS kept
 FROM f

@@ -16,21 +16,21 @@ from factweir.llm.common import SPACE_CHARS, pick
 
 SYMBOLS = "#*$%&|<>"
 
-#: Phrases of page furniture. A line that holds one is boilerplate.
+#: Phrases of page furniture in English, German, Spanish and French. A line of at most
+#: FURNITURE_WORDS words that holds one is boilerplate; a longer one that mentions it is prose.
 BOILERPLATE = (
-    "accept cookies",
-    "all rights reserved",
-    "click here to",
-    "cookie policy",
-    "enable javascript",
-    "javascript is disabled",
-    "lorem ipsum",
-    "privacy policy",
-    "sign up for our newsletter",
-    "subscribe to our newsletter",
-    "terms of service",
-    "terms of use",
-)
+    "accept all cookies", "accept cookies", "add to cart", "all rights reserved", "click here to", "cookie policy", "cookie settings", "enable javascript",
+    "javascript is disabled", "javascript is required", "lorem ipsum", "page not found", "privacy policy", "sign up for our newsletter", "skip to content",
+    "skip to main content", "subscribe to our newsletter", "terms and conditions", "terms of service", "terms of use", "this website uses cookies",
+    "we use cookies", "your browser does not support",
+    "alle akzeptieren", "alle rechte vorbehalten", "datenschutzerklärung", "diese website verwendet cookies", "hier klicken", "in den warenkorb",
+    "newsletter abonnieren", "nutzungsbedingungen", "wir verwenden cookies", "zum inhalt springen",
+    "aceptar cookies", "aviso legal", "añadir al carrito", "haga clic aquí", "política de cookies", "política de privacidad", "saltar al contenido",
+    "suscríbete a nuestro boletín", "términos y condiciones", "todos los derechos reservados", "utilizamos cookies",
+    "abonnez-vous à notre newsletter", "accepter les cookies", "ajouter au panier", "aller au contenu", "cliquez ici", "conditions d'utilisation",
+    "mentions légales", "nous utilisons des cookies", "politique de confidentialité", "tous droits réservés",
+)
+FURNITURE_WORDS = 30
 
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
 
@@ -51,7 +51,7 @@ def line_failure(line: Column) -> Column:
     marked = F.regexp_count(line, F.lit(r"(?:[#*$%&]{2,}|!{2,})[.,]?(?!\S)"))
     return (
         F.when((bars >= 3) | ((bars >= 1) & (3 * bars >= n_words)), "navigation")
-        .when(F.regexp_like(line, F.lit("(?i)" + "|".join(BOILERPLATE))), "boilerplate")
+        .when((n_words <= FURNITURE_WORDS) & F.regexp_like(line, F.lit("(?iu)" + "|".join(BOILERPLATE))), "boilerplate")
         .when((marked >= 1) & (2 * marked >= n_words), "punctuation")
     )
 
@@ -64,7 +64,7 @@ def _repeated_words(grams: Column, n_words: Column) -> Column:
     """
     last = F.size(grams) - 1
     same = F.filter(grams, lambda g, i: ((i > 0) & (F.get(grams, i - 1)["h"] == g["h"])) | ((i < last) & (F.get(grams, i + 1)["h"] == g["h"])))
-    places = F.array_sort(F.transform(same, lambda g: g["p"]))
+    places = F.sort_array(F.transform(same, lambda g: g["p"]))
     cover = F.aggregate(
         places,
         F.struct(F.lit(0).alias("sum"), F.lit(-3).alias("at")),
@@ -95,7 +95,7 @@ def clean_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         F.length(F.translate("t", SPACE_CHARS, "")).alias("word_chars"),
         F.regexp_count("t", F.lit(f"[{SYMBOLS}]")).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.array_sort(grams).alias("grams"),
+        F.sort_array(grams).alias("grams"),
         F.transform("lines", lambda x: F.struct(x.alias("line"), line_failure(x).alias("why"))).alias("lines"),
     )
     chars = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x["line"]))

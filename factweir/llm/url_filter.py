@@ -4,7 +4,8 @@ A rule has a regular expression over `host \\n path`, the literal tokens (runs o
 that every match must hold as whole tokens, a verdict and a rank. Token counts over all urls choose the
 rarest token of each rule as its key; a url's tokens fetch the rules under those keys, and just those run
 their expression. The fitting rule with the highest rank decides. Rules without a whole literal token are
-candidates of every url. Everything is a DataFrame expression or join; no Python runs on the executors.
+candidates of every url, so they are held in the expression whatever the size of the rule set; they should be
+few. Everything is a DataFrame expression or join; no Python runs on the executors.
 
 Defined results: a null url, or one without `://`, has an empty host and path and gets the default; repeated
 rows get a row each; of rules with one rank the greatest name wins.
@@ -17,7 +18,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweir.llm.common import ascii_lower, pick
+from factweir.llm.common import ascii_lower, pick, work_dir, written
 
 #: Rules up to which the index is held in the expression (a few MB); beyond it the index is joined.
 MAX_INLINE_RULES = 5000
@@ -93,7 +94,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", u
 
 
 def _inline(base: DataFrame, rules: list) -> DataFrame:
-    """Small rule sets: the index is a map in the expression; nothing is shuffled."""
+    """`base` with `hit`: the index is a map in the expression; nothing is shuffled."""
     index: dict[str, list] = {}
     for r in rules:
         index.setdefault(r["token"] or "", []).append({k: r[k] for k in ("rank", "rule", "verdict", "pattern")})
@@ -102,14 +103,19 @@ def _inline(base: DataFrame, rules: list) -> DataFrame:
     fetched = F.flatten(F.filter(F.transform(tokens, lambda t: F.try_element_at(lookup, t)), lambda c: c.isNotNull()))
     fits = F.filter("candidates", lambda c: F.regexp_like(F.col("key"), c["pattern"]))
     hits = F.transform(fits, lambda c: F.struct(c["rank"].alias("rank"), c["rule"].alias("rule"), c["verdict"].alias("verdict")))
-    return base.withColumn("candidates", fetched).withColumn("hit", F.array_max(hits))
+    return base.withColumn("candidates", fetched).withColumn("hit", F.array_max(hits)).drop("candidates")
 
 
 def _joined(base: DataFrame, rules: DataFrame) -> DataFrame:
-    """Large rule sets: distinct urls' tokens are joined with the index, so a hot url is judged once."""
-    urls = base.select("url", "key").where("url IS NOT NULL").distinct()
-    tokens = urls.select("url", "key", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all("key", F.lit(_TOKEN), F.lit(0))))).alias("token"))
-    index = rules.withColumn("token", F.coalesce("token", F.lit("")))
-    hits = tokens.join(index, "token").where(F.regexp_like(F.col("key"), F.col("pattern")))
-    best = hits.groupBy("url").agg(F.max(F.struct("rank", "rule", "verdict")).alias("hit"))
-    return base.join(best, "url", "left")
+    """Large rule sets: the tokens of distinct urls are joined with the index, so a hot url is judged once.
+
+    Hits are a table of their own, so that adaptive execution can split a hot url in the join with them.
+    """
+    held = _inline(base, rules.where("token IS NULL").collect()).withColumnRenamed("hit", "held")
+    urls = base.select("key").distinct()
+    tokens = urls.select("key", F.explode(F.array_distinct(F.regexp_extract_all("key", F.lit(_TOKEN), F.lit(0)))).alias("token"))
+    hits = tokens.join(rules.where("token IS NOT NULL"), "token").where(F.regexp_like(F.col("key"), F.col("pattern")))
+    best = hits.groupBy("key").agg(F.max(F.struct("rank", "rule", "verdict")).alias("found"))
+    best = written(best, work_dir(base.sparkSession, "url-hits"))
+    both = held.join(best, "key", "left")
+    return both.withColumn("hit", F.greatest("held", "found"))

@@ -8,10 +8,11 @@ from tests.llm.brute import HOSTILE, docs
 from tests.oracle import connection, same
 
 RULES = entries.URL_RULES
+OWN = entries.url_patterns()
 URLS = [
     None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/1", "http://example.com/en", "http://example.com/en/x?q#f", "https://a.b.example.com/en/",
     "http://notexample.com/en/", "http://x.net/es/1", "http://x.net/ES/1", "http://net/fr/", "http://com/", "http://com", "ftp://a://b.net/es/", "http://x.com?u=http://y.net/es/",
-    "http://www.spam-farm.org/", "http://antispam.org/", "http://ünï.net/fr/é", "http://" + "a" * 50_000 + ".com/",
+    "http://www.spam-farm.org/", "https://big-casino.org", "https://casinos-x.org/a", "https://casinoland.org/", "http://a.org/user/login", "http://a.org/login.php?x", "http://a.org/blogin/", "http://a.org/crack-keygen", "http://a.org/CRACK", "http://antispam.org/", "http://ünï.net/fr/é", "http://" + "a" * 50_000 + ".com/",
 ]
 
 
@@ -23,7 +24,7 @@ def judge(url):
     fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    return host, path, None, "block" if re.search(r"(^|[.-])spam[.-]", host) else "allow"
+    return host, path, None, "block" if any(re.search(pattern, f"{host}\n{path}") for _, _, pattern, _ in OWN) else "allow"
 
 
 def pages(spark, urls):
@@ -34,15 +35,24 @@ def pages(spark, urls):
 def test_urls_match_brute_force(spark, monkeypatch, inline):
     if not inline:
         monkeypatch.setattr(url_filter, "MAX_INLINE_RULES", 0)
-    rules = url_filter.prefix_rules(spark, RULES).unionByName(url_filter.pattern_rules(spark, entries.URL_PATTERNS))
+    rules = url_filter.prefix_rules(spark, RULES).unionByName(url_filter.pattern_rules(spark, OWN))
     got = {r.page_id: r for r in url_filter.judge_urls(pages(spark, URLS + URLS[:3]), rules).collect()}
     for i, u in enumerate(URLS + URLS[:3]):
         host, path, rule, verdict = judge(u)
-        own = None if got[i].rule == "spam-host" else got[i].rule
+        own = None if got[i].rule in {r[0] for r in OWN} else got[i].rule
         assert (got[i].host, got[i].path, own, got[i].verdict) == (host, path, rule, verdict), u
     assert url_filter.judge_urls(pages(spark, []), rules).count() == 0
 
 
+@pytest.mark.parametrize("inline", [True, False])
+def test_rules_without_a_token_meet_every_url(spark, monkeypatch, inline):
+    if not inline:
+        monkeypatch.setattr(url_filter, "MAX_INLINE_RULES", 0)
+    rules = url_filter.pattern_rules(spark, [("empty", "block", r"^\n$", []), ("dash", "block", "-", []), ("b", "allow", r"\bb\b", ["b"])])
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages(spark, [None, "x", "http://a-b/", "http://b/", "http://c/"] + ["http://b/"] * 3), rules).collect()}
+    assert got == {0: ("empty", "block"), 1: ("empty", "block"), 2: ("dash", "block"), 3: ("b", "allow"), 4: (None, "allow"), 5: ("b", "allow"), 6: ("b", "allow"), 7: ("b", "allow")}
+
+
 def test_rarest_token_is_the_key(spark):
     rules = url_filter.prefix_rules(spark, [("block", "example.com", "/rare/"), ("block", "example.com", "/en"), ("block", "-", "/x")])
     keys = spark.createDataFrame([("example.com\n/en/1",), ("example.com\n/en/2",), ("x.com\n/rare/",)], "key string")
@@ -88,25 +98,29 @@ def test_quality_base_matches_brute_force(spark):
 def test_failing_lines_go_and_too_much_loss_rejects(spark):
     good = "\n".join(f"line{i} holds{i} several{i} plain{i} words{i} of{i} prose{i}." for i in range(12))
     menu = "home | news | sport | about | contact"
-    rows = [(1, good + "\n" + menu), (2, good[:400] + "\n" + "\n".join([menu] * 40)), (3, good + "\nPlease enable JavaScript")]
+    rows = [(1, good + "\n" + menu), (2, good[:400] + "\n" + "\n".join([menu] * 40)), (3, good + "\nPlease enable JavaScript\nWIR VERWENDEN COOKIES"), (4, good + "\n" + "long " * 30 + "privacy policy.")]
     got = {r.doc_id: r for r in quality_rules.clean_lines(docs(spark, rows)).collect()}
     assert got[1].kept and got[1].clean_text == good and got[1].lost_lines == 1
     assert not got[2].kept
-    assert got[3].clean_text == good
+    assert got[3].clean_text == good and got[4].lost_lines == 0
 
 
 def test_licences(spark):
     mit = next(t for i, _, t in license_scan.KNOWN if i == "MIT" and len(t) > 200)
     rows = [
         (1, mit), (2, mit.upper().replace("(c) YEAR HOLDER", "2020 Somebody Else")), (3, "Prose.\n  released under the mit LICENCE!\nMore."), (4, "Not a licence"),
-        (5, None), (6, ""), (7, "Licensed under CC BY-NC 4.0."), (7, "Licensed under CC BY 4.0."), (None, "All rights reserved"), (8, mit + " and more"),
+        (5, None), (6, ""), (7, "Licensed under CC BY-NC 4.0."), (8, mit + " and more"), (None, "All rights reserved"), (None, "Plain."), (9, "All rights reserved"), (9, "Plain."),
     ]
-    got = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, rows), license_scan.known_digests(spark)).collect()}
+    rows += [(100 + i, text.replace("\n\n", "\n  ").replace('"', "'")) for i, (_, _, text) in enumerate(license_scan.KNOWN)]
+    every = license_scan.scan_licenses(docs(spark, rows), license_scan.known_digests(spark)).collect()
+    assert len(every) == len(rows)
+    assert sorted((r.doc_id is None, r.whole_license or "") for r in every if r.doc_id in (None, 9)) == [(False, ""), (False, "Proprietary"), (True, ""), (True, "Proprietary")]
+    got = {r.doc_id: r for r in every}
+    assert [got[100 + i].whole_license for i in range(len(license_scan.KNOWN))] == [name for name, _, _ in license_scan.KNOWN]
     assert got[1].whole_license == got[2].whole_license == "MIT"
     assert got[3].whole_license is None and got[3].licenses == ["MIT"] and got[3].n_lines == 1
     assert all(got[i].licenses == [] and got[i].whole_license is None for i in (4, 5, 6))
-    assert got[7].licenses == ["CC-BY-4.0", "CC-BY-NC-4.0"]
-    assert got[None].whole_license == "Proprietary"
+    assert got[7].licenses == ["CC-BY-NC-4.0"] and got[7].policies == ["non-commercial"]
     assert got[8].whole_license is None
     assert license_scan.scan_licenses(docs(spark, []), license_scan.known_digests(spark)).count() == 0
 
