@@ -29,7 +29,7 @@ DOMAINS = ("clean", "low", "toxic")
 BINS = {
     "marked": (0.0, 0.02, 0.1, 0.3, 0.6),
     "bars": (0.0, 0.02, 0.1, 0.3),
-    "capitals": (0.02, 0.1, 0.3, 0.6),
+    "capitals": (0.017, 0.08, 0.25, 0.5),
     "repeated": (0.3, 0.5, 0.7, 0.85, 0.95),
     "hits": (0.0, 1.0, 2.0, 4.0),
 }
@@ -45,22 +45,25 @@ class Model:
     bins: dict[str, list[list[float]]]  # feature, bin, domain
 
 
-def _plain(words: Column) -> Column:
-    """The distinct words in lower case without symbols at their ends; each spelling is worked on once."""
-    return F.array_distinct(F.transform(F.array_distinct(words), lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
+#: Punctuation that words lose at their ends.
+PUNCTUATION = ".,;:!?()[]{}<>\"'`*#$%&|/\\-_+=~^@«»“”„‘’…·•–—¿¡"
+
+
+def _plain(text: Column) -> Column:
+    """The distinct words of a text in lower case without punctuation at their ends."""
+    return F.array_distinct(F.transform(F.array_distinct(words_of(F.lower(text))), lambda w: F.btrim(w, F.lit(PUNCTUATION))))
 
 
 def features(docs: DataFrame, lexicon: tuple[str, ...]) -> DataFrame:
     """docs(doc_id, text, ...) with n_words and the bin of each feature, without the text."""
     others = [c for c in docs.columns if c != "text"]
     base = docs.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("_w", words_of(F.col("_t")))
-    base = base.withColumn("n_words", F.size("_w").cast("long")).withColumn("_d", _plain(F.col("_w")))
+    base = base.withColumn("n_words", F.size("_w").cast("long")).withColumn("_d", _plain(F.col("_t")))
     n = F.greatest(F.col("n_words"), F.lit(1))
-    letters = F.greatest(F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")), F.lit(1))
     raw = {
         "marked": F.regexp_count("_t", F.lit(r"(?:[#*$%&]{2,}|!{2,})[.,]?(?!\S)")) / n,
         "bars": F.regexp_count("_t", F.lit(r"[|>](?<!\S.)(?!\S)")) / n,
-        "capitals": F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")) / letters,
+        "capitals": F.regexp_count("_t", F.lit(r"\p{Lu}")) / F.greatest(F.length("_t"), F.lit(1)),
         "repeated": 1 - F.size("_d") / n - F.least(F.lit(0.25), F.lit(0.05) * F.log10(n)),
         "hits": F.size(F.array_intersect("_d", F.array(*[F.lit(w) for w in lexicon]).cast("array<string>"))).cast("double"),
     }
@@ -86,7 +89,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Mode
     some = written(some, work_dir(docs.sparkSession, "mixing-sample"))
     sizes = {r["domain"]: r["n"] for r in some.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(2, 0), sizes.get(0, 0) + sizes.get(1, 0)
-    words = some.select("domain", F.explode(_plain(words_of(F.coalesce("text", F.lit(""))))).alias("word")).where("word <> ''")
+    words = some.select("domain", F.explode(_plain(F.coalesce("text", F.lit("")))).alias("word")).where("word <> ''")
     seen = words.groupBy("word").agg(F.count(F.when(F.col("domain") == 2, 1)).alias("bad"), F.count(F.when(F.col("domain") != 2, 1)).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
@@ -160,14 +163,16 @@ def fit_rates(groups: DataFrame, targets: tuple[float, ...], ridge: float = 1e-4
     return steps
 
 
-def mix(docs: DataFrame, model: Model, targets: tuple[float, ...], max_rate: float = 4.0, snap: float = 0.1, ridge: float = 1e-4) -> DataFrame:
+def mix(docs: DataFrame, model: Model, targets: tuple[float, ...], max_rate: float = 4.0, snap: float = 0.0, ridge: float = 1e-4) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, p_clean, p_low, p_toxic, rate and copies.
 
-    copies is the rate rounded at random by a hash of doc_id, so that expected totals stay; a rate within
-    `snap` of a whole number is rounded to it.
+    copies is the rate rounded at random by a hash of doc_id and text, so that the expected totals of copies are those of
+    the rates. With snap above 0 a rate within `snap` of a whole number is rounded to it instead, which keeps
+    documents at a rate near 1 whole but moves totals by up to that share.
     """
     folder = work_dir(docs.sparkSession, "mixing")
-    found = written(features(pick(docs, "doc_id", "text"), model.lexicon), f"{folder}/features")
+    found = pick(docs, "doc_id", "text").withColumn("_key", F.xxhash64(F.lit("mix"), "doc_id", "text"))
+    found = written(features(found, model.lexicon), f"{folder}/features")
     bins = list(BINS)
     groups = found.groupBy(*bins).agg(F.sum("n_words").cast("double").alias("tokens"))
     groups = written(posteriors(groups, model).select("tokens", "p"), f"{folder}/groups")
@@ -176,7 +181,7 @@ def mix(docs: DataFrame, model: Model, targets: tuple[float, ...], max_rate: flo
     # at most one row for each combination of bins: a few thousand
     out = found.join(F.broadcast(rates), bins)
     near = F.round("rate")
-    chance = F.floor(F.col("rate") + F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    chance = F.floor(F.col("rate") + F.pmod(F.col("_key"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     copies = F.when(F.abs(F.col("rate") - near) <= snap, near).otherwise(chance).cast("int")
     shares = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
     return out.select("doc_id", "n_words", *shares, "rate", copies.alias("copies"))
