@@ -7,7 +7,11 @@ tile is computed again alone.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without an id, take
 no part; vectors only meet vectors of their own dimension; ties go to the smaller id; of repeated rows of a
-query id the smallest vector asks; repeated rows of a candidate id count once, with their best score.
+query id the smallest vector asks; repeated rows of a candidate id count once, with their best score;
+components and scores beyond 64-bit integers become the nearest of those.
+
+A tile moves its queries and its vectors once. With a budget of bytes for each side, N vectors and Q queries are
+moved in Q and N over that budget copies, the least that tiles of this memory allow.
 """
 
 from __future__ import annotations
@@ -21,9 +25,8 @@ from pyspark.sql import functions as F
 
 from factweir.llm.common import pick, prepare
 
-#: Rows of a shard and queries of a block, on average.
-SHARD_ROWS = 20_000
-BLOCK_QUERIES = 2_000
+#: Bytes of a shard's vectors and of a block's queries, as 64-bit components, on average.
+TILE_BYTES = 64 << 20
 #: Lists of a query that one merging step takes.
 FAN_IN = 16
 
@@ -43,7 +46,8 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
     if most < 2.0**63:
         return q @ c.T
-    raise OverflowError("scores do not fit 64-bit integers")
+    wide = q.astype(object) @ c.astype(object).T
+    return np.clip(wide, np.iinfo(np.int64).min, np.iinfo(np.int64).max).astype(np.int64)
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, step: int = 256) -> pd.DataFrame:
@@ -76,9 +80,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10, id_column: str =
     prepare(spark, 4000)
     asked, held = scaled(queries, id_column, vector_column, scale), scaled(vectors, id_column, vector_column, scale)
     asked = asked.groupBy("id").agg(F.min("v").alias("v"))
-    # sizes come from the ids alone
-    n_held, n_asked = vectors.select(F.count(id_column)).first()[0], queries.select(F.count(id_column)).first()[0]
-    shards, blocks = max(1, math.ceil(n_held / SHARD_ROWS)), max(1, math.ceil(n_asked / BLOCK_QUERIES))
+    tiles = lambda df: max(1, math.ceil(8 * (df.select(F.sum(F.size("v"))).first()[0] or 0) / TILE_BYTES))
+    shards, blocks = tiles(held), tiles(asked)
     part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     tiles_held = held.select("id", "v", F.size("v").alias("dim"), part(shards).alias("shard"), every(blocks).alias("block"))

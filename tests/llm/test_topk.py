@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-import pytest
 from factweir.llm import topk
 from pyspark.sql import functions as F
 
@@ -25,8 +24,7 @@ def run(spark, rows, k=10):
 
 
 def test_matches_brute_force_with_ties(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 37)
-    monkeypatch.setattr(topk, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(topk, "TILE_BYTES", 8 * 6 * 37)
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6) / 8]) for i in range(650)]
     rows += [(1000, None), (1001, [None] * 6), (1002, [float("nan")] * 6), (1100, [float("inf")] + [0.0] * 5), (None, [1.0] * 6), (1200, [0.5] * 3), (1201, [0.25] * 3)]
@@ -48,5 +46,12 @@ def test_repeated_candidates_count_once(spark):
 def test_large_values_stay_exact(spark):
     rows = [(0, [2.0**20, 1.0]), (1, [2.0**20, 3.0]), (2, [2.0**20, 2.0])]
     assert run(spark, rows) == brute(rows, lambda i: i % 100 == 0, 10)
-    with pytest.raises(Exception, match="64-bit"):
-        run(spark, [(0, [2.0**40]), (1, [2.0**40])])
+
+
+def test_what_64_bits_do_not_hold_becomes_the_nearest(spark):
+    top = 2**63 - 1
+    assert run(spark, [(0, [2.0**40]), (1, [2.0**40]), (2, [-(2.0**40)])]) == [(0, 1, 1, top), (0, 2, 2, -top - 1)]
+    rows = [(i, [x]) for i, x in ((0, 1e300), (1, -1e300), (2, 1.0))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df.where("vec_id = 0"), df).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(2, top), (1, -top - 1)]
