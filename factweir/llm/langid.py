@@ -54,13 +54,14 @@ def trigrams(text: str) -> Iterator[np.ndarray]:
 def learn(docs: DataFrame, sample_rows: int = 20_000, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages and log-probabilities (buckets by languages) from docs(text, lang) with non-null lang.
 
-    Fits on a random sample of about `sample_rows` labelled rows, whole texts each; all of them if fewer.
+    Fits on a random sample of about `sample_rows` labelled rows, whole texts each; all of them if fewer. Every row
+    has a chance of its own, whatever copies it has; trigrams are counted in the tasks.
     """
     prepare(docs.sparkSession)
     labelled = pick(docs, "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     n = labelled.select(F.count(F.lit(1))).first()[0]
     part = min(1.0, sample_rows / max(n, 1))
-    labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(part * 1_000_000)) if part < 1 else labelled
+    labelled = labelled.where(F.rand(23) < part) if part < 1 else labelled
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

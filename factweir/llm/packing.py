@@ -124,7 +124,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, keys: tuple[str, ...] = ("doc_
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     slots = plan_packing(counts, capacity)
     salts = max(16, min(4096, sum(counts.values()) // rows_per_salt))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*pieces.columns), F.lit(salts)).cast("int"))
     sums = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")
     rest = [c for c in pieces.columns if c not in keys and c != "length"]

@@ -2,7 +2,8 @@
 
 Trusted positives (label 1) and web text without labels train a linear model that minimises the non-negative
 unbiased risk: prior * risk of positives + max(0, risk of unlabelled as negatives - prior * risk of positives
-as negatives). The class prior is the share of label 1 among the labelled training rows. Features describe
+as negatives). The class prior is the share of label 1 among the labelled training rows, where both labels
+occur; with trusted positives alone it is estimated from them and the unlabelled text. Features describe
 the form of the whole text: hashed word shapes, and shares of symbols, capitals, repeated words and lines.
 
 Defined results: a text without a word (null, empty, blank) scores 0; repeated rows and null ids get a row
@@ -72,17 +73,19 @@ def _bytes(texts: list[str | None]) -> pa.Array:
 
 
 def _sample(docs: DataFrame, rows: int) -> np.ndarray:
-    """Feature rows of about `rows` random rows of docs(text), of all if there are fewer."""
+    """Feature rows of about `rows` random rows of docs(text), never more than twice as many; of all if fewer.
+
+    Every row has a chance of its own, so copies of a text or of an id are no case apart.
+    """
     n = docs.select(F.count(F.lit(1))).first()[0]
-    part = min(1.0, rows / max(n, 1))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)) if part < 1 else docs
+    some = docs.where(F.rand(17) < rows / n).limit(2 * rows) if n > rows else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([_bytes(b.column("text").to_pylist())], names=["f"])
 
-    got = some.select("text").mapInArrow(run, "f binary").where("f IS NOT NULL").orderBy(F.xxhash64("f"), "f").toPandas()["f"]
-    return np.stack([np.frombuffer(x, dtype=np.float32) for x in got]) if len(got) else np.zeros((0, N_FEATURES), dtype=np.float32)
+    got = sorted(bytes(x) for x in some.select("text").mapInArrow(run, "f binary").where("f IS NOT NULL").toPandas()["f"])  # 1 kB a row
+    return np.stack([np.frombuffer(x, dtype=np.float32) for x in got]) if got else np.zeros((0, N_FEATURES), dtype=np.float32)
 
 
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
@@ -108,24 +111,40 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000, default_prior: float = 0.8) -> np.ndarray:
-    """Weights from docs(doc_id, text) and labels(doc_id, quality), about sample_rows of each kind of row.
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
+    """Share of positives in the unlabelled rows, from above.
+
+    A model tells positives from unlabelled rows. At each of its thresholds the share of unlabelled rows that
+    pass is at least the prior times the share of positives that pass; the prior is the smallest ratio among
+    thresholds that the share `least` of the positives pass, which leaves enough of them to count.
+    """
+    if not len(positive) or not len(unlabelled):
+        return 1.0
+    w = fit_pu(positive, unlabelled, 0.5)
+    p, u = (np.sort(x @ w[:-1] + w[-1]) for x in (positive, unlabelled))
+    cuts = np.quantile(p, np.linspace(0, 1 - least, 50))
+    ratio = (1 - np.searchsorted(u, cuts) / len(u)) / np.maximum(1 - np.searchsorted(p, cuts) / len(p), 1e-9)
+    return float(np.clip(ratio.min(), 0.01, 1.0))
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> np.ndarray:
+    """Weights from docs(doc_id, text) and labels(doc_id, quality).
 
-    The unlabelled text is a sample of all documents, whether labelled or not, without their labels: the
-    mixture that the class prior speaks of.
+    The fit holds at most 6 * sample_rows rows of features (1 kB each) on the driver: positives, and unlabelled
+    text, which is a sample of all documents, whether labelled or not, without their labels: the mixture that the
+    class prior speaks of.
     """
     prepare(docs.sparkSession)
     docs = pick(docs, "doc_id", "text")
     marks = pick(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     by = {r["quality"]: r["n"] for r in marks.join(docs.select("doc_id"), "doc_id", "left_semi").groupBy(F.least("quality", F.lit(1)).alias("quality")).agg(F.count(F.lit(1)).alias("n")).collect()}
     good, all_ = by.get(1, 0), sum(by.values())
-    prior = good / all_ if 0 < good < all_ else default_prior
-    # label ids of the sample alone meet the texts: at most a few times sample_rows of them
-    share = min(1.0, sample_rows / max(good, 1))
+    # label ids of the sample alone meet the texts: about 2 * sample_rows of them
+    share = min(1.0, 2 * sample_rows / max(good, 1))
     ids = marks.where(f"quality >= 1 AND pmod(xxhash64(doc_id), 1000000) < {int(share * 1_000_000)}").select("doc_id")
     positive = _sample(docs.join(ids, "doc_id", "left_semi"), 2 * sample_rows)
     unlabelled = _sample(docs, sample_rows)
-    return fit_pu(positive, unlabelled, prior)
+    return fit_pu(positive, unlabelled, good / all_ if 0 < good < all_ else estimate_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3) -> DataFrame:

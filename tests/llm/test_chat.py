@@ -84,3 +84,23 @@ def test_no_rows(spark):
     empty = chat.format_windows(_frame(spark, []), tokenizer_path())
     assert empty.count() == 0
     assert chat.digests(chat.format_windows(_frame(spark, []), tokenizer_path())).count() == 0
+
+
+def test_query_holds_every_turn_and_the_planted_conversation(spark, data):
+    import hashlib
+    from collections import defaultdict
+
+    from factweir.llm import entries
+
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{data}/conversations.parquet").collect():
+        turns[r.conv_id].append((r.turn, r.role, r.text or ""))
+    turns[-1] = [(0, "user", entries.HOSTILE), (1, "assistant", entries.HOSTILE)]
+    got = {r.conv_id: r for r in entries.op1_chat_format(spark, data).collect()}
+    assert set(got) == set(turns)
+    for i, rows in turns.items():
+        rows = sorted(rows)
+        loss = "".join(x for _, role, x in rows if role == "assistant")
+        said = "".join(f"{role}\n{x}\n" for _, role, x in rows)
+        want = (len(rows), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert (got[i].n_turns, got[i].turns_sha256, got[i].loss_chars, got[i].loss_sha256) == want

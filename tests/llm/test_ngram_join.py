@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from factweir.llm import entries
 from factweir.llm import ngram_join as nj
 from factweir.llm.components import components as spark_components
 from factweir.llm.common import work_dir
@@ -97,3 +98,44 @@ def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.id: r.component for r in spark_components(links, work_dir(spark, "test")).collect()}
     assert got == {i: 0 for i in range(n + 1)} | {100: 100, 101: 100}
+
+
+def test_components_of_v_shaped_chains_take_few_rounds(spark, tmp_path):
+    n = 300  # labels fall towards both ends of the chain
+    order = [*range(n - 1, 0, -2), *range(0, n, 2)]
+    links = spark.createDataFrame([*zip(order, order[1:], strict=False), (1000, 1001), (1002, 1001)], "a long, b long")
+    got = {r.id: r.component for r in spark_components(links, f"{tmp_path}/rounds").collect()}
+    assert got == dict.fromkeys(range(n), 0) | dict.fromkeys((1000, 1001, 1002), 1000)
+    rounds = [int(f.name) for f in (tmp_path / "rounds").iterdir() if f.name.isdigit()]
+    assert max(rounds) <= 24
+
+
+def test_rows_without_an_id_link_their_neighbours(spark):
+    words = [f"w{i}" for i in range(400)]
+    ends = [" ".join([*words[:392], *(f"{side}{i}" for i in range(8))]) for side in "ab"]
+    rows = [(1, ends[0]), (None, " ".join(words)), (2, ends[1]), (None, "alone here " * 5)]
+    got = nj.jaccard_components(docs(spark, rows), 3, 96).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 1), (1, 1), (2, 1)]
+
+
+def test_sketches_never_part_a_link():
+    rng = np.random.default_rng(4)
+    rule = nj.Rule(5, 80)
+    passed = 0
+    for size in (1, 5, 63, 64, 65, 300, 1000, 5000):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[int(rng.integers(0, 1 + len(a) // 4)) :], rng.integers(0, 2**63, int(rng.integers(0, 1 + size // 4)), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            fits = nj.may_link(nj.sketch(a), nj.sketch(b), len(a), len(b), rule)
+            if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
+                assert fits
+            c = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            passed += size > 60 and nj.may_link(nj.sketch(a), nj.sketch(c), len(a), len(c), rule)
+    assert passed == 0
+
+
+def test_query_matches_brute_force(spark, data):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in entries.op5_ngram_jaccard_join(spark, data).collect()}
+    assert got == components(rows, 3, 90)
