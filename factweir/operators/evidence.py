@@ -34,48 +34,48 @@ def mark_duplicates(sources: DataFrame) -> DataFrame:
 
 
 def verify_quotes(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """quotes(quote_id, run_id, source_id, quote) found in the sources of their run, by letters and digits.
-
-    The cited source comes first, then the first other. Method: exact if the normal form is there as well,
-    else loose. Runs are the join key; a skewed run is split by adaptive execution.
-    """
-    n = F.length(F.trim(text.normal_text(F.col("quote"))))
-    q = quotes.where(n.between(MIN_QUOTE, MAX_QUOTE)).withColumns({"sk": text.skeleton(F.col("quote")), "norm": text.normal_text(F.col("quote"))}).where(F.length("sk") >= MIN_SKELETON)
-    s = sources.select("run_id", F.col("source_id").alias("found_in"), text.skeleton(F.col("text")).alias("text_sk"), text.normal_text(F.col("text")).alias("text_norm"))
-    hits = q.join(s, "run_id").where(F.contains("text_sk", "sk"))
-    best = F.min(F.struct((F.col("found_in") != F.col("source_id")).alias("other"), "found_in", F.when(F.contains("text_norm", "norm"), "exact").otherwise("loose").alias("method")))
-    return hits.groupBy("quote_id").agg(best.alias("b")).select("quote_id", "b.found_in", "b.method")
+    """quotes(quote_id, run_id, source_id, quote) found in the sources(run_id, source_id, text) of their run, by
+    letters and digits. The cited source comes first, then the first other. See `find_quotes`."""
+    return _found(quotes, sources, ["run_id"])
 
 
 def find_quotes(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """quotes(quote_id, source_id, quote) found in any of sources(source_id, text), by letters and digits.
 
-    Results are those of verify_quotes with all sources in one run. A quote's key is one anchor of its letters
-    and digits, which all texts that hold the quote have among their anchors, so only texts that share it are
-    searched. Quotes too short for a long anchor have a shorter one. A null source_id comes after all others.
+    A quote's key is one anchor of its letters and digits, which all texts that hold the quote have among their
+    anchors, so only texts that share it are searched. Quotes too short for a long anchor have a shorter one.
+    Method: exact if the normal form is there as well, else loose. A null source_id comes after all others.
     """
+    return _found(quotes, sources, [])
+
+
+def _found(quotes: DataFrame, sources: DataFrame, within: list[str]) -> DataFrame:
+    """Quotes in the texts that share the columns `within` and an anchor."""
     spark = quotes.sparkSession
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
     n, sk = F.length(F.trim(text.normal_text(F.col("quote")))), text.skeleton(F.col("quote"))
-    q = quotes.where(n.between(MIN_QUOTE, MAX_QUOTE)).select("quote_id", F.col("source_id").alias("cited"), sk.alias("sk"), text.normal_text(F.col("quote")).alias("norm")).where(F.length("sk") >= MIN_SKELETON)
+    q = quotes.where(n.between(MIN_QUOTE, MAX_QUOTE)).select("quote_id", *within, F.col("source_id").alias("cited"), sk.alias("sk"), text.normal_text(F.col("quote")).alias("norm")).where(F.length("sk") >= MIN_SKELETON)
     long = F.length("sk") >= sum(kernels.LONG_ANCHORS) - 1
     sizes = q.agg(F.count(F.lit(1)).alias("n"), F.count_if(long).alias("long")).first()
     few = sizes["n"] <= MAX_BROADCAST_QUOTES
     hinted = lambda df: F.broadcast(df) if few else df
-    s = sources.select("source_id", "text")
+    s = sources.select(*within, "source_id", "text")
     pairs = None
     for some, anchors, wanted in ((sizes["long"], kernels.long_anchors, long), (sizes["n"] - sizes["long"], kernels.short_anchors, ~long)):
         if some:
-            keys = q.where(wanted).select("quote_id", F.array_min(anchors("sk")).alias("anchor"))
-            held = s.select(F.col("source_id").alias("found_in"), F.xxhash64("text").alias("digest"), F.explode(anchors(text.skeleton(F.col("text")))).alias("anchor"))
-            found = held.join(hinted(keys), "anchor").select("quote_id", "found_in", "digest")
+            keys = q.where(wanted).select("quote_id", *within, F.array_min(anchors("sk")).alias("anchor"))
+            held = s.select(*within, F.col("source_id").alias("found_in"), F.xxhash64("text").alias("digest"), F.explode(anchors(text.skeleton(F.col("text")))).alias("anchor"))
+            found = held.join(hinted(keys), [*within, "anchor"]).select("quote_id", *within, "found_in", "digest")
             pairs = found if pairs is None else pairs.unionByName(found)
     if pairs is None:
-        pairs = q.select("quote_id", F.col("cited").alias("found_in"), F.lit(0).cast("long").alias("digest"))
-    texts = s.select(F.col("source_id").alias("id"), F.xxhash64("text").alias("d"), "text")
-    both = pairs.distinct().join(texts, (F.col("digest") == F.col("d")) & F.col("found_in").eqNullSafe(F.col("id"))).drop("id", "d", "digest")
+        pairs = q.select("quote_id", *within, F.col("cited").alias("found_in"), F.lit(0).cast("long").alias("digest"))
+    texts = s.select(F.col("source_id").alias("id"), F.xxhash64("text").alias("d"), *[F.col(c).alias(f"_{c}") for c in within], "text")
+    same = (F.col("digest") == F.col("d")) & F.col("found_in").eqNullSafe(F.col("id"))
+    for c in within:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    both = pairs.distinct().join(texts, same).select("quote_id", "found_in", "text")
     hits = both.join(hinted(q), "quote_id").where(F.contains(text.skeleton(F.col("text")), "sk"))
     method = F.when(F.contains(text.normal_text(F.col("text")), "norm"), "exact").otherwise("loose")
     other = F.coalesce(F.col("found_in") != F.col("cited"), F.lit(True))
@@ -84,11 +84,13 @@ def find_quotes(quotes: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def ranked_chunks(sources: DataFrame) -> DataFrame:
-    """Chunks of each source with their scores: source_id, i, start, end, quant, qual."""
+    """Chunks of each source with their scores: source_id, i, start, end, quant, qual.
+
+    The chunks come cut out of one pass over a text; the whole text isn't carried along with each.
+    """
     ship(sources.sparkSession)
-    c = sources.select("source_id", "text", F.posexplode(kernels.chunks("text")).alias("i", "span"))
-    body = F.substring(F.col("text"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
-    return c.withColumn("s", text.chunk_scores(body)).select("source_id", "i", "span.start", "span.end", "s.quant", "s.qual")
+    c = sources.select("source_id", kernels.chunks("text").alias("chunks")).select("source_id", F.posexplode("chunks").alias("i", "c"))
+    return c.select("source_id", "i", "c.start", "c.end", text.chunk_scores(F.col("c.body")).alias("s")).select("source_id", "i", "start", "end", "s.quant", "s.qual")
 
 
 def relevance(chunks: DataFrame, n: int = 8) -> DataFrame:
@@ -109,21 +111,40 @@ def take_within(chunks: DataFrame, score: str, budget: int) -> DataFrame:
     return chunks.groupBy("source_id").agg(F.aggregate(items, start, step).alias("t")).select("source_id", "t.used", F.array_sort("t.taken").alias("taken"))
 
 
+def _rare_grams(names: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """(id, core, gram): the rarest distinct letter pairs of each name, one more than its allowed edits can touch.
+
+    A ratio of `threshold` leaves (200 - 2 * threshold) / 200 of the two lengths to insert and delete, and an edit
+    touches two pairs at most.
+    """
+    length = F.length("core")
+    edits = F.floor((100 - threshold) / 100 * (length + F.floor(length * (200 - threshold) / threshold)))
+    grams = names.select("id", "core", F.explode(_pairs("core")).alias("gram")).join(counts, "gram")
+    ranked = grams.groupBy("id", "core").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))  # the letters of one name
+    return ranked.select("id", "core", F.explode(F.slice("grams", 1, (2 * edits + 1).cast("int"))).alias("g")).select("id", "core", "g.gram")
+
+
+def _pairs(core: str) -> Column:
+    padded = F.concat(F.lit("^"), F.col(core), F.lit("$"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
+
+
 def similar_names(names: DataFrame, registry: DataFrame, threshold: float = 92.0, margin: float = 2.0) -> DataFrame:
     """names(id, name) to the registry entry whose core name is most alike; ambiguous within `margin`.
 
-    Candidates share a word, which each name looks up by its rarest one of the registry; ratios are only
-    worked out where the lengths allow the threshold.
+    Prefix filtering over letter pairs finds every pair that can reach the threshold: if the names' pairs are
+    ordered by how rare they are, one of the first few of each must agree. Ratios are only worked out for names
+    that share one and whose lengths allow the threshold. Names without letters or digits match nothing.
     """
     ship(names.sparkSession)
-    word = lambda df: df.select("id", "core", F.explode(F.array_distinct(F.split("core", " "))).alias("word")).where("word <> ''")
-    a = names.select("id", text.core_name(F.col("name")).alias("core"))
-    b = registry.select("id", text.core_name(F.col("name")).alias("core"))
-    counts = word(b).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    key = word(a).join(counts, "word").groupBy("id", "core").agg(F.min(F.struct("n", "word"))["word"].alias("word"))
-    pairs = key.join(word(b).withColumnsRenamed({"id": "entry", "core": "other"}), "word").select("id", "core", "entry", "other").distinct()
+    a = names.select("id", text.core_name(F.col("name")).alias("core")).where("core <> ''")
+    b = registry.select("id", text.core_name(F.col("name")).alias("core")).where("core <> ''")
+    counts = a.unionByName(b).select(F.explode(_pairs("core")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    left = _rare_grams(a, counts, threshold)
+    right = _rare_grams(b, counts, threshold).withColumnsRenamed({"id": "entry", "core": "other"})
     la, lb = F.length("core"), F.length("other")
-    scored = pairs.where(200 * F.least(la, lb) >= threshold * (la + lb)).withColumn("score", kernels.indel_ratio("core", "other")).where(F.col("score") >= threshold)
+    pairs = left.join(right, "gram").where(200 * F.least(la, lb) >= threshold * (la + lb)).select("id", "core", "entry", "other").distinct()
+    scored = pairs.withColumn("score", kernels.indel_ratio("core", "other")).where(F.col("score") >= threshold)
     by = Window.partitionBy("id").orderBy(F.desc("score"), "entry")
     top = scored.withColumns({"place": F.row_number().over(by), "next": F.lead("score").over(by)}).where("place = 1")
     return top.select("id", "entry", "score", F.coalesce(F.col("next") >= F.col("score") - margin, F.lit(False)).alias("ambiguous"))
@@ -152,3 +173,14 @@ def page_order(pages: DataFrame, wanted: str, keep: int = 30, quiet: int = 40, s
     stop = F.min(F.when(F.col("ord") - F.col("last_hit") > quiet, F.col("ord"))).over(by)
     p = p.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("ord") < F.col("stop"))).where("hit")
     return p.withColumn("nth", F.row_number().over(by.orderBy("ord"))).where(F.col("nth") <= keep).select("doc_id", "page", "nth")
+
+
+def first_candidates(candidates: DataFrame, priority: Column, keep: int = 12) -> DataFrame:
+    """The `keep` best candidates of each run with their place: by priority, then in the order they came."""
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy(priority.desc(), "source_id"))
+    return candidates.withColumn("place", place).where(F.col("place") <= keep)
+
+
+def deferral(sources: DataFrame, transient: Column, read: Column) -> DataFrame:
+    """Per run: whether all its sources failed for reasons that may go away, whether any was read, and its filings."""
+    return sources.groupBy("run_id").agg(F.bool_and(transient).alias("all_transient"), F.bool_or(read).alias("any_read"), F.count_if(F.col("origin") == "edgar").alias("filings"))

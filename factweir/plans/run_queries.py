@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factweir.operators import lists as ls
+from factweir.operators import records as rec
 from factweir.operators import runs as r
 from factweir.operators import scoring as s
 from factweir.plans.query import Queries
@@ -168,58 +170,53 @@ def trigger_streak(spark, sf_dir):
 
 @Q.add("category_deltas", with_sql("runs", "category_scores") + "SELECT run_id, category, coalesce(cast(floor((score - lag(score) OVER (PARTITION BY company_id, category ORDER BY finished_at, run_id)) * 10 + 0.5) AS bigint), -999) AS delta FROM category_scores JOIN runs USING (run_id)")
 def category_deltas(spark, sf_dir):
-    c = derived(spark, sf_dir, "category_scores").join(derived(spark, sf_dir, "runs").select("run_id", "company_id", "finished_at"), "run_id")
-    before = F.lag("score").over(Window.partitionBy("company_id", "category").orderBy("finished_at", "run_id"))
-    return c.select("run_id", "category", F.coalesce(F.floor((F.col("score") - before) * 10 + 0.5).cast("long"), F.lit(-999)).alias("delta"))
+    return ls.category_deltas(derived(spark, sf_dir, "category_scores"), derived(spark, sf_dir, "runs")).select("run_id", "category", F.coalesce(F.floor(F.col("delta") * 10 + 0.5).cast("long"), F.lit(-999)).alias("delta"))
 
 
 @Q.add("category_pivot", with_sql("category_scores") + "SELECT run_id, " + ", ".join(f"coalesce(cast(floor(max(score) FILTER (category = '{k}') * 10 + 0.5) AS bigint), -1) AS {k}" for k in s.WEIGHTS) + " FROM category_scores GROUP BY run_id")
 def category_pivot(spark, sf_dir):
-    got = derived(spark, sf_dir, "category_scores").groupBy("run_id").pivot("category", list(s.WEIGHTS)).agg(F.max("score"))
+    got = ls.category_pivot(derived(spark, sf_dir, "category_scores"), list(s.WEIGHTS))
     return got.select("run_id", *[F.coalesce(F.floor(F.col(k) * 10 + 0.5).cast("long"), F.lit(-1)).alias(k) for k in s.WEIGHTS])
 
 
 @Q.add("runs_page", RUNS + "SELECT run_id, cast(ceil((SELECT count(*) FROM runs WHERE status = 'succeeded' AND published IS NOT TRUE) / 25.0) AS bigint) AS pages FROM runs WHERE status = 'succeeded' AND published IS NOT TRUE ORDER BY finished_at DESC, run_id DESC LIMIT 25 OFFSET 50")
 def runs_page(spark, sf_dir):
     kept = derived(spark, sf_dir, "runs").where(F.expr("status = 'succeeded' AND NOT (published <=> true)"))
-    pages = kept.agg(F.ceil(F.count(F.lit(1)) / 25).cast("long").alias("pages"))
-    return kept.orderBy(F.desc("finished_at"), F.desc("run_id")).offset(50).limit(25).select("run_id").join(F.broadcast(pages))
+    return ls.page(kept, [F.desc("finished_at"), F.desc("run_id")], 3, 25).select("run_id", "pages")
 
 
 @Q.add("retry_plan", RUNS + "SELECT run_id, element_at([2, 10, 60], least(1 + (tokens % 5), 3)) AS wait_minutes, tokens % 5 < 4 AS again FROM runs WHERE status = 'failed'".replace("element_at([2, 10, 60], least(1 + (tokens % 5), 3))", "cast([2, 10, 60][least(1 + (tokens % 5), 3)] AS integer)"))
 def retry_plan(spark, sf_dir):
     attempt = F.col("tokens") % 5
-    wait = F.element_at(F.array(F.lit(2), F.lit(10), F.lit(60)), F.least(1 + attempt, F.lit(3)).cast("int"))
-    return derived(spark, sf_dir, "runs").where("status = 'failed'").select("run_id", wait.alias("wait_minutes"), (attempt < 4).alias("again"))
+    failed = derived(spark, sf_dir, "runs").where("status = 'failed'")
+    return failed.select("run_id", F.coalesce(rec.retry_after(attempt + 1), F.lit(rec.RETRY_MINUTES[-1])).alias("wait_minutes"), (attempt < rec.RETRY_TRIES).alias("again"))
 
 
 @Q.add("stale_running", RUNS + f"SELECT run_id, CASE WHEN tokens % 4 < 3 THEN 'requeue' ELSE 'fail' END AS action FROM runs WHERE status = 'running' AND finished_at < {NOW} - INTERVAL 180 SECOND")
 def stale_running(spark, sf_dir):
-    return derived(spark, sf_dir, "runs").where(f"status = 'running' AND finished_at < {NOW} - INTERVAL 180 SECONDS").select("run_id", F.when(F.col("tokens") % 4 < 3, "requeue").otherwise("fail").alias("action"))
+    return ls.stale_running(derived(spark, sf_dir, "runs"), F.expr(NOW), F.col("tokens") % 4 < 3)
 
 
 @Q.add("sweep_budget", RUNS + "SELECT run_id FROM (SELECT run_id, row_number() OVER (ORDER BY finished_at, run_id) AS n FROM o WHERE is_ranked) WHERE n <= floor(500 / 35.0)")
 def sweep_budget(spark, sf_dir):
     ready = _runs(spark, sf_dir).where("status = 'succeeded' AND is_ranked").join(derived(spark, sf_dir, "companies"), "company_id", "left_semi")
-    return ready.orderBy("finished_at", "run_id").limit(500 // 35).select("run_id")
+    return ls.within_budget(ready, ["finished_at", "run_id"], 500, 35).select("run_id")
 
 
 @Q.add("mean_recent_cost", RUNS + "SELECT cast(sum(cost_cents) AS bigint) AS cents, count(*) AS n FROM (SELECT cost_cents FROM runs WHERE status = 'succeeded' AND cost_cents > 0 ORDER BY run_id DESC LIMIT 10)")
 def mean_recent_cost(spark, sf_dir):
-    last = derived(spark, sf_dir, "runs").where("status = 'succeeded' AND cost_cents > 0").orderBy(F.desc("run_id")).limit(10)
-    return last.agg(F.sum("cost_cents").alias("cents"), F.count(F.lit(1)).alias("n"))
+    return ls.recent_cost(derived(spark, sf_dir, "runs"))
 
 
 @Q.add("status_counts", with_sql("runs") + "SELECT coalesce(error_type, 'unknown') AS error_type, status, count(*) AS n, cast(coalesce(sum(tokens), 0) AS bigint) AS tokens FROM runs GROUP BY ALL")
 def status_counts(spark, sf_dir):
-    return derived(spark, sf_dir, "runs").groupBy(F.coalesce("error_type", F.lit("unknown")).alias("error_type"), "status").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    return ls.status_counts(derived(spark, sf_dir, "runs"))
 
 
 @Q.add("stale_retry_claims", RUNS + "SELECT rp.company_id AS company_id, st.run_id AS run_id FROM rp JOIN st ON st.run_id = current_run WHERE rank_reason IS NOT NULL AND contains(reason, 'retry scheduled') AND rp.company_id NOT IN (SELECT company_id FROM runs WHERE status IN ('queued', 'running'))")
 def stale_retry_claims(spark, sf_dir):
     _, runs, rp = _replay(spark, sf_dir)
-    now = rp.select("company_id", F.col("current_run").alias("run_id")).join(runs.where("NOT is_ranked AND contains(reason, 'retry scheduled')").select("run_id"), "run_id")
-    return now.join(runs.where("status IN ('queued', 'running')").select("company_id"), "company_id", "left_anti").select("company_id", "run_id")
+    return ls.stale_retry_claims(runs, rp)
 
 
 @Q.add("sparkline_points", RUNS + "SELECT pb.company_id AS key, run_id AS seq, cast(floor((CASE WHEN count(*) OVER (PARTITION BY pb.company_id) > 1 THEN (row_number() OVER (PARTITION BY pb.company_id ORDER BY run_id) - 1) * 120.0::double / (count(*) OVER (PARTITION BY pb.company_id) - 1) ELSE 60 END) * 10 + 0.5) AS bigint) AS x, coalesce(cast(floor((28 - least(10, greatest(0, index_score)) / 10 * 28) * 10 + 0.5) AS bigint), -1) AS y FROM pb JOIN st USING (run_id)")
@@ -231,9 +228,7 @@ def sparkline_points(spark, sf_dir):
 
 @Q.add("company_record", RUNS + """SELECT company_id, count(*) AS n, array_to_string(list(status ORDER BY run_id), ',') AS statuses, max(run_id) AS last_run, cast(max(array_to_string([status, run_trigger], ':')) AS string) AS top FROM runs GROUP BY company_id""")
 def company_record(spark, sf_dir):
-    runs = derived(spark, sf_dir, "runs")
-    listed = F.array_sort(F.collect_list(F.struct("run_id", "status")))
-    return runs.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(listed, lambda x: x["status"]), ",").alias("statuses"), F.max("run_id").alias("last_run"), F.max(F.concat_ws(":", "status", "run_trigger")).alias("top"))
+    return ls.company_record(derived(spark, sf_dir, "runs")).withColumn("statuses", F.array_join("statuses", ","))
 
 
 QUERIES, ORACLE = Q.functions, Q.sql

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweir.functions import kernels, text, url
+from factweir.functions import figures, kernels, text, url
+from factweir.functions import patterns as p
 from factweir.operators import evidence as e
 from factweir.plans.query import Queries
 from factweir.shipping import ship
@@ -36,15 +37,15 @@ def source_duplicates(spark, sf_dir):
 
 @Q.add(
     "quote_verification",
-    r"""WITH q AS (SELECT item_id AS quote_id, item_id % 4 AS run_id, item_id AS source_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS sk, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm FROM benchmark),
-s AS (SELECT doc_id AS found_in, doc_id % 4 AS run_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS tsk, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS tnorm FROM documents)
+    r"""WITH q AS (SELECT item_id AS quote_id, 0 AS run_id, item_id AS source_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS sk, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm FROM benchmark),
+s AS (SELECT doc_id AS found_in, 0 AS run_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS tsk, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS tnorm FROM documents)
 SELECT quote_id, found_in, method FROM (SELECT quote_id, found_in, CASE WHEN contains(tnorm, norm) THEN 'exact' ELSE 'loose' END AS method,
   row_number() OVER (PARTITION BY quote_id ORDER BY found_in <> source_id, found_in) AS n FROM q JOIN s USING (run_id)
   WHERE length(norm) BETWEEN 20 AND 600 AND length(sk) >= 14 AND contains(tsk, sk)) WHERE n = 1""",
 )
 def quote_verification(spark, sf_dir):
-    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), (F.col("item_id") % 4).alias("run_id"), F.col("item_id").alias("source_id"), F.col("text").alias("quote"))
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("run_id"), F.col("doc_id").alias("source_id"), "text")
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.lit(0).alias("run_id"), F.col("item_id").alias("source_id"), F.col("text").alias("quote"))
+    docs = table(spark, sf_dir, "documents").select(F.lit(0).alias("run_id"), F.col("doc_id").alias("source_id"), "text")
     return e.verify_quotes(quotes, docs)
 
 
@@ -86,19 +87,9 @@ def company_names(spark, sf_dir):
     return c.select("c_custkey", text.core_name(F.concat("c_name", F.lit(" Holdings & Co."))).alias("core"), text.slug(F.concat("c_name", F.lit(" AG"))).alias("slug"), text.dedup_name(F.col("c_name")).alias("plain"))
 
 
-@Q.add("chunk_scores", rf"""WITH c AS (SELECT doc_id, 'Energy use 1,234 MWh in 12,000 GW; launch and cookie policy. ' || left(text, 500) || ' announced 5 GJ (MWh) record' AS t FROM documents),
-n AS (SELECT doc_id, len(regexp_extract_all(t, '(?i){text.QUANT}')) AS q, len(regexp_extract_all(t, '(?i){text.UNIT_NUMBER}')) AS u, len(regexp_extract_all(t, '{text.LARGE_NUMBER}')) AS b,
-  len(list_distinct(list_transform(regexp_extract_all(t, '(?i){text.QUAL}'), lambda x: lower(x)))) AS w, least(4.0::double * len(regexp_extract_all(t, '(?i){text.BOILERPLATE}')), 12) AS boiler FROM c)
-SELECT doc_id, cast((4 * q + 6 * u + CASE WHEN q + u > 0 THEN 0.75::double * least(b, 12) ELSE 0 END - boiler) * 100 AS bigint) AS quant, cast(least(w, 10) - boiler AS bigint) AS qual FROM n""")
-def chunk_scores(spark, sf_dir):
-    t = F.concat(F.lit("Energy use 1,234 MWh in 12,000 GW; launch and cookie policy. "), F.left("text", F.lit(500)), F.lit(" announced 5 GJ (MWh) record"))
-    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).withColumn("s", text.chunk_scores(F.col("t")))
-    return d.select("doc_id", (F.col("s.quant") * 100).cast("long").alias("quant"), F.col("s.qual").cast("long").alias("qual"))
-
-
 @Q.add("text_scores", rf"""WITH c AS (SELECT doc_id, text AS t FROM documents),
-n AS (SELECT doc_id, len(regexp_extract_all(t, '(?i){text.QUANT}')) AS q, len(regexp_extract_all(t, '(?i){text.UNIT_NUMBER}')) AS u, len(regexp_extract_all(t, '{text.LARGE_NUMBER}')) AS b,
-  len(list_distinct(list_transform(regexp_extract_all(t, '(?i){text.QUAL}'), lambda x: lower(x)))) AS w, least(4.0::double * len(regexp_extract_all(t, '(?i){text.BOILERPLATE}')), 12) AS boiler FROM c)
+n AS (SELECT doc_id, len(regexp_extract_all(t, '(?i){p.QUANT}')) AS q, len(regexp_extract_all(t, '(?i){p.UNIT_NUMBER}')) AS u, len(regexp_extract_all(t, '{p.LARGE_NUMBER}')) AS b,
+  len(list_distinct(list_transform(regexp_extract_all(t, '(?i){p.QUAL}'), lambda x: lower(x)))) AS w, least(4.0::double * len(regexp_extract_all(t, '(?i){p.BOILERPLATE}')), 12) AS boiler FROM c)
 SELECT doc_id, cast((4 * q + 6 * u + CASE WHEN q + u > 0 THEN 0.75::double * least(b, 12) ELSE 0 END - boiler) * 100 AS bigint) AS quant, cast(least(w, 10) - boiler AS bigint) AS qual FROM n""")
 def text_scores(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", text.chunk_scores(F.col("text")).alias("s"))
@@ -110,11 +101,6 @@ def chunk_plan(spark, sf_dir):
     return e.ranked_chunks(_sources(spark, sf_dir))
 
 
-@Q.add("chunk_relevance")
-def chunk_relevance(spark, sf_dir):
-    return e.relevance(e.ranked_chunks(_sources(spark, sf_dir)))
-
-
 @Q.add("excerpt_budget")
 def excerpt_budget(spark, sf_dir):
     longer = e.ranked_chunks(_sources(spark, sf_dir)).withColumn("score", F.col("qual") + F.lit(1.0) / (F.col("i") + 2))
@@ -131,29 +117,6 @@ def number_match(spark, sf_dir):
     return p.select("l_orderkey", "l_partkey", F.size("xs").cast("long").alias("n"), text.number_matches(F.col("xs"), F.col("v")).alias("hit"))
 
 
-_METRICS = ("energy_consumption", "electricity_consumption", "energy_generated", "datacenter_capacity_operating", "capex", "revenue")
-_PHRASES = ("we consumed energy", "energy sold and delivered to customers", "megapack storage systems", "plants generated power", "capital expenditures of note", "senior notes raised", "planned for 2030", "annualized run-rate")
-
-
-@Q.add("figure_semantics", with_sql("figures") + rf""", f AS (SELECT entity_id, figure_id, source_id, [{', '.join(repr(x) for x in _METRICS)}][1 + source_id % 6] AS m, [{', '.join(repr(x) for x in _PHRASES)}][1 + figure_id % 8] AS q,
-  try_cast(nullif(regexp_extract(period, '(20[0-9]{{2}}|19[0-9]{{2}})', 1), '') AS integer) AS y, is_primary AS p FROM figures),
-c AS (SELECT *, starts_with(m, 'energy') OR m = 'electricity_consumption' AS en, m IN ('energy_consumption', 'electricity_consumption') AS co, coalesce(y > 2000, false) AS late,
-  regexp_matches(q, '(?i){text.STORAGE}') AS sto, regexp_matches(q, '(?i){text.SOLD}') AS sold, regexp_matches(q, '(?i){text.CONSUME}') AS con, regexp_matches(q, '(?i){text.GENERATE}') AS gen, regexp_matches(q, '(?i){text.FUTURE_CAPACITY}') AS fut,
-  regexp_matches(q, '(?i){text.FINANCING}') AS fin, regexp_matches(q, '(?i){text.CAPEX}') AS cap, regexp_matches(q, '(?i){text.FORWARD}') AS fwd, regexp_matches(q, '(?i){text.RUN_RATE}') AS rr FROM f),
-r AS (SELECT *, CASE WHEN en AND sto THEN 'energy_storage_deployed|moved' WHEN co AND sold AND NOT con THEN 'energy_sold|moved' WHEN co AND gen AND NOT con THEN 'energy_generated|moved'
-  WHEN m = 'energy_generated' AND sold AND NOT gen THEN 'energy_sold|moved' WHEN en AND late THEN m || '|future period' WHEN m = 'datacenter_capacity_operating' AND (fut OR late) THEN 'datacenter_capacity_planned|moved'
-  WHEN m = 'capex' AND fin THEN m || '|financing' WHEN m = 'capex' AND NOT cap THEN m || '|not a capital expenditure' WHEN m = 'capex' AND fwd THEN m || '|forecast' WHEN m = 'capex' AND NOT p THEN m || '|not a primary source'
-  WHEN m = 'revenue' AND rr THEN m || '|run rate' WHEN m = 'revenue' AND fwd THEN m || '|forecast' WHEN m IN ('capex', 'revenue') AND y IS NULL THEN m || '|no period' WHEN m IN ('capex', 'revenue') AND late THEN m || '|future period' ELSE m || '|' END AS v FROM c)
-SELECT split_part(v, '|', 1) AS metric_key, split_part(v, '|', 2) AS reason, count(*) AS n FROM r GROUP BY 1, 2""")
-def figure_semantics(spark, sf_dir):
-    f = derived(spark, sf_dir, "figures")
-    choose = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (1 + i % len(xs)).cast("int"))
-    year = F.nullif(F.regexp_extract("period", "(20[0-9]{2}|19[0-9]{2})", 1), F.lit("")).cast("int")
-    f = f.select(choose(_METRICS, F.col("source_id")).alias("m"), choose(_PHRASES, F.col("figure_id")).alias("q"), year.alias("y"), "is_primary")
-    v = f.select(text.check_figure(F.col("m"), F.col("q"), F.col("y"), F.col("is_primary"), 2000).alias("v"))
-    return v.groupBy("v.metric_key", "v.reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 @Q.add("html_pages", r"""WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages)
 SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f\x0B]+', ' ', 'g'))) AS body,
   len(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS n_links FROM b""")
@@ -189,17 +152,14 @@ def name_similarity(spark, sf_dir):
 
 @Q.add("candidate_rank", DOCS + r"""SELECT run_id, source_id, place FROM (SELECT run_id, source_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN origin = 'research' THEN 2 ELSE 0 END + CASE WHEN regexp_matches(url, '(?i)/a[1-3]/') THEN 3 ELSE 0 END DESC, source_id) AS place FROM source_docs) WHERE place <= 12""")
 def candidate_rank(spark, sf_dir):
-    from pyspark.sql import Window
-
     priority = F.when(F.col("origin") == "research", 2).otherwise(0) + F.when(F.col("url").rlike("(?i)/a[1-3]/"), 3).otherwise(0)
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy(priority.desc(), "source_id"))
-    return _sources(spark, sf_dir).withColumn("place", place).where("place <= 12").select("run_id", "source_id", "place")
+    return e.first_candidates(_sources(spark, sf_dir), priority).select("run_id", "source_id", "place")
 
 
 @Q.add("defer_decision", DOCS + "SELECT run_id, bool_and(http_status IS NULL OR http_status = 503) AS all_transient, bool_or(http_status = 200) AS any_read, count(*) FILTER (origin = 'edgar') AS filings FROM source_docs GROUP BY run_id")
 def defer_decision(spark, sf_dir):
     http = F.col("http_status")
-    return _sources(spark, sf_dir).groupBy("run_id").agg(F.bool_and(http.isNull() | (http == 503)).alias("all_transient"), F.bool_or(http == 200).alias("any_read"), F.count_if(F.col("origin") == "edgar").alias("filings"))
+    return e.deferral(_sources(spark, sf_dir), http.isNull() | (http == 503), http == 200)
 
 
 @Q.add("page_scan", r"""WITH p AS (SELECT conv_id AS doc_id, turn AS page, max(turn) OVER (PARTITION BY conv_id) + 1 AS n, turn = 1 AS o, text FROM conversations),

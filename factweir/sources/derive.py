@@ -76,10 +76,53 @@ DERIVED = {
           CASE WHEN doc_id % 5 = 0 THEN 'edgar' WHEN doc_id % 5 = 1 THEN 'citation' ELSE 'research' END AS origin,
           CASE WHEN doc_id % 17 = 0 THEN 'blocked by policy' END AS error, doc_id % 3 = 0 AS is_primary
         FROM documents""",
+    "links": """
+        SELECT doc_id AS source_id, doc_id % 40 AS run_id, doc_id AS candidate_id,
+          concat('https://', CASE doc_id % 7 WHEN 0 THEN 'www.acme.com' WHEN 1 THEN 'ir.acme.com' WHEN 2 THEN 'www.cdp.net' WHEN 3 THEN 'news.example.org' WHEN 4 THEN 'investors.acme.com' WHEN 5 THEN 'notacme.com' ELSE 'acme.com' END,
+            CASE doc_id % 11 WHEN 0 THEN '/sustainability/' WHEN 1 THEN '/investors/' WHEN 2 THEN '/newsroom/energy-use-up' WHEN 3 THEN '/files/impact-report-2023.pdf' WHEN 4 THEN '/en/climate/overview'
+              WHEN 5 THEN '/about' WHEN 6 THEN '/docs/gri-index' WHEN 7 THEN '' WHEN 8 THEN '/files/full-esg-databook.pdf' WHEN 9 THEN '/blog' ELSE '/data/energy-data.xlsx' END) AS url,
+          CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Energy consumption and scope 2' WHEN 2 THEN 'Annual review' WHEN 3 THEN 'Environmental data appendix' ELSE 'Home' END AS title,
+          CASE doc_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'dead' WHEN 2 THEN 'error' WHEN 3 THEN 'thin' WHEN 4 THEN 'dead' ELSE 'soft_404' END AS status,
+          CASE doc_id % 13 WHEN 0 THEN 403 WHEN 1 THEN 404 WHEN 2 THEN 503 WHEN 3 THEN NULL WHEN 4 THEN 520 WHEN 5 THEN 410 ELSE 200 END AS http_status,
+          CASE doc_id % 8 WHEN 0 THEN 'Read timed out' WHEN 1 THEN 'connection reset' WHEN 2 THEN NULL ELSE 'refused' END AS reject_reason,
+          CASE doc_id % 4 WHEN 0 THEN 'edgar' WHEN 1 THEN 'citation' ELSE 'research' END AS origin,
+          CASE doc_id % 3 WHEN 0 THEN 'energy,growth' WHEN 1 THEN 'policy' ELSE 'energy' END AS covers,
+          CASE doc_id % 9 WHEN 0 THEN 'states electricity use of data centers' WHEN 1 THEN 'sustainability report' WHEN 2 THEN NULL ELSE 'mentions chips' END AS why,
+          CASE WHEN doc_id % 40 = 7 THEN NULL ELSE 'https://www.acme.com/about' END AS domain,
+          CASE doc_id % 10 WHEN 0 THEN 'rate_limited' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'used' ELSE NULL END AS outcome,
+          CASE WHEN doc_id % 20 < 10 THEN 'archive.org unavailable (503)' ELSE 'nothing archived' END AS note
+        FROM documents""",
+    "fact_rows": """
+        SELECT o_custkey AS cik, CASE o_orderkey % 5 WHEN 0 THEN 'Revenues' WHEN 1 THEN 'PaymentsToAcquirePropertyPlantAndEquipment' WHEN 2 THEN 'PaymentsToAcquireProductiveAssets' WHEN 3 THEN 'SalesRevenueNet' ELSE 'Assets' END AS concept,
+          concat(CAST(year(o_orderdate) - 1 AS STRING), CASE WHEN o_orderkey % 7 = 0 THEN '-09-01' ELSE '-01-01' END) AS start_day, concat(CAST(year(o_orderdate) - 1 AS STRING), '-12-31') AS end_day,
+          CAST(floor(o_totalprice) AS DOUBLE) AS val, concat('0000000001-24-', CAST(1000000 + o_orderkey AS STRING)) AS accn,
+          CASE o_orderkey % 4 WHEN 0 THEN '10-K' WHEN 1 THEN '10-K/A' WHEN 2 THEN '10-Q' ELSE '20-F' END AS form, CAST(CAST(o_orderdate AS DATE) AS STRING) AS filed
+        FROM orders""",
+    "answer_items": """
+        SELECT l_orderkey AS answer_id, l_linenumber - 1 AS pos, l_orderkey % 50 = 7 AS broken,
+          CASE l_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'S9' ELSE concat('S', CAST(l_partkey % 4 AS STRING)) END AS source_id,
+          CASE l_suppkey % 7 WHEN 0 THEN 'capex' WHEN 1 THEN 'energy_consumed' WHEN 2 THEN 'headcount' WHEN 3 THEN ' revenue ' WHEN 4 THEN '' ELSE 'energy_generated' END AS metric_key,
+          CASE l_orderkey % 6 WHEN 0 THEN 'many' WHEN 1 THEN '-12.5' WHEN 2 THEN NULL ELSE CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING) END AS value,
+          CASE l_partkey % 5 WHEN 0 THEN ' ' ELSE 'MWh' END AS unit, CASE l_partkey % 7 WHEN 0 THEN NULL ELSE concat('quote ', CAST(l_partkey AS STRING)) END AS quote,
+          CASE l_partkey % 5 WHEN 0 THEN 'frontier_acceleration' WHEN 1 THEN 'builder_velocity' WHEN 2 THEN 'overall' ELSE 'policy_stance' END AS category,
+          CASE l_suppkey % 5 WHEN 0 THEN '11' WHEN 1 THEN NULL ELSE CAST(l_suppkey % 10 AS STRING) END AS score,
+          concat('[E', CAST(l_partkey % 6 AS STRING), ']') AS ref
+        FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) AS li""",
+    "evidence": """
+        SELECT doc_id AS evidence_id, doc_id % 40 AS run_id, concat(left(text, 40), CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE ' ' END, 'end') AS quote, concat('d', CAST(doc_id % 3 AS STRING)) AS domain,
+          doc_id % 4 <> 0 AS verified, CASE doc_id % 5 WHEN 0 THEN 'unit not near' WHEN 1 THEN 'forecast' ELSE NULL END AS reason, doc_id % 10 AS claim_start
+        FROM documents""",
+    "judged": """
+        SELECT l_suppkey AS entity_id, CASE l_linenumber WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN 'c' ELSE 'd' END AS category, CAST(floor(l_quantity) AS DOUBLE) / 5 AS score,
+          CASE WHEN l_partkey % 9 = 0 THEN 'stub' ELSE 'judge' END AS model, l_shipdate AS judged_at, l_orderkey * 8 + l_linenumber AS score_id
+        FROM lineitem WHERE l_suppkey % 3 = 0 OR l_linenumber < 3""",
+    "waiting": """
+        SELECT o_orderkey AS run_id, o_orderdate AS queued_at, CASE WHEN o_orderkey % 3 = 0 THEN 'queued' ELSE 'succeeded' END AS status,
+          CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderdate END AS next_attempt, o_orderkey % 6 AS attempt
+        FROM orders""",
 }
 
 
-
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = DERIVED[name]
     used = {m for m in re.findall(r"(?:FROM|JOIN) (\w+)", sql)}

@@ -6,6 +6,7 @@ written idempotently, so a batch that runs again after a failure changes nothing
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -31,17 +32,20 @@ def deduplicated(requests: DataFrame, late: str = "1 day") -> DataFrame:
 def append_views(requests: DataFrame, raw: str, rolled: str, checkpoint: str):
     """Appends classified views by day under `raw`, and rolls up the days that each batch touches again.
 
-    A batch's own views are written under its id first, replacing what a failed try left; the rollup of a
-    touched day is then made from all of that day's views. Late views are thereby counted as they come.
+    A batch's own views are written under their day and its id first, replacing what a failed try left; the rollup
+    of a touched day is then made from all of that day's views. Late views are thereby counted as they come, and
+    a batch reads the folders of its own days, not all history.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        views = traffic.classify_views(df).withColumn("batch", F.lit(batch_id))
-        views.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(raw)
-        days = spark.read.parquet(raw).where(F.col("batch") == batch_id).select("day").distinct()
-        touched = spark.read.parquet(raw).join(F.broadcast(days), "day", "left_semi")  # a few days a batch
-        traffic.rollup(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(rolled)
+        views = traffic.classify_views(df).withColumn("batch", F.lit(batch_id)).persist()
+        views.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(raw)
+        days = [r["day"] for r in views.select("day").distinct().collect()]  # the few days of a batch
+        views.unpersist()
+        if days:
+            touched = spark.read.option("basePath", raw).parquet(*[f"{raw}/day={d}" for d in days])
+            traffic.rollup(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(rolled)
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -51,10 +55,26 @@ def window_counts(requests: DataFrame, width: str = "1 hour", late: str = "2 hou
     return requests.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rate_limited(requests: DataFrame, key: str, limit: int = 5, seconds: int = 3600) -> DataFrame:
+def _moments(requests: DataFrame, key: str, late: str, *more: str) -> DataFrame:
+    """key, ts (watermarked), moment in seconds and the other columns, for a stateful operator."""
+    timed = requests.withWatermark("ts", late)
+    return timed.select(F.col(key).cast("string").alias("key"), "ts", F.col("ts").cast("double").alias("moment"), *more)
+
+
+def _expire(state: GroupState, moment: float) -> None:
+    """Ends the state when the watermark passes the moment; at once if it has."""
+    at = int(moment * 1000) + 1
+    if at > state.getCurrentWatermarkMs():
+        state.setTimeoutTimestamp(at)
+    else:
+        state.remove()
+
+
+def rate_limited(requests: DataFrame, key: str, limit: int = 5, seconds: int = 3600, late: str = "1 hour") -> DataFrame:
     """(key, event_id, accepted): an event is accepted if fewer than `limit` were in the `seconds` before it.
 
-    State for a key is at most `limit` moments; it goes when its key has been quiet for that long.
+    Time is event time; events older than the watermark are late and get no row. State for a key is at most `limit` moments; it goes when the watermark has passed the
+    last of them by `seconds`, so a stream that catches up decides as one that ran along.
     """
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -63,17 +83,47 @@ def rate_limited(requests: DataFrame, key: str, limit: int = 5, seconds: int = 3
             return
         recent: list[float] = list(state.get[0]) if state.exists else []
         rows: list[tuple[Any, int, bool]] = []
-        for pdf in batches:
-            for moment, event_id in sorted(zip(pdf["moment"], pdf["event_id"], strict=True)):
-                recent = [m for m in recent if m > moment - seconds]
-                accepted = len(recent) < limit
-                if accepted:
-                    recent.append(moment)
-                rows.append((group[0], event_id, accepted))
+        events = sorted((m, i) for pdf in batches for m, i in zip(pdf["moment"], pdf["event_id"], strict=True))
+        for moment, event_id in events:
+            recent = [m for m in recent if m > moment - seconds]
+            accepted = len(recent) < limit
+            if accepted:
+                recent.append(moment)
+            rows.append((group[0], event_id, accepted))
         state.update((recent,))
-        if recent:
-            state.setTimeoutDuration(seconds * 1000)
+        _expire(state, max(recent) + seconds)
         yield pd.DataFrame(rows, columns=["key", "event_id", "accepted"])
 
-    timed = requests.select(F.col(key).cast("string").alias("key"), "event_id", F.col("ts").cast("double").alias("moment"))
-    return timed.groupBy("key").applyInPandasWithState(run, "key string, event_id long, accepted boolean", "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = _moments(requests, key, late, "event_id")
+    return timed.groupBy("key").applyInPandasWithState(run, "key string, event_id long, accepted boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def login_throttle(attempts: DataFrame, key: str, most: int = 5, window: int = 900, lockout: int = 900, late: str = "15 minutes") -> DataFrame:
+    """attempts(key, ts, event_id, failed) to (key, event_id, allowed, wait_seconds).
+
+    After `most` failures within `window` seconds a key is locked out for `lockout` seconds; attempts in that time
+    are refused and don't count. A success clears the key's failures. The guard over all keys is the same operator
+    on a constant key. Attempts older than the watermark are late and get no row.
+    """
+
+    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        failures, until = (list(state.get[0]), state.get[1]) if state.exists else ([], 0.0)
+        rows: list[tuple[Any, int, bool, int]] = []
+        events = sorted((m, i, bool(f)) for pdf in batches for m, i, f in zip(pdf["moment"], pdf["event_id"], pdf["failed"], strict=True))
+        for moment, event_id, failed in events:
+            wait = max(0, math.ceil(until - moment))
+            rows.append((group[0], event_id, wait == 0, wait))
+            if wait:
+                continue
+            failures = [m for m in failures if m > moment - window] + [moment] if failed else []
+            if len(failures) >= most:
+                failures, until = [], moment + lockout
+        state.update((failures, until))
+        _expire(state, max([until, *(m + window for m in failures)]))
+        yield pd.DataFrame(rows, columns=["key", "event_id", "allowed", "wait_seconds"])
+
+    timed = _moments(attempts, key, late, "event_id", "failed")
+    return timed.groupBy("key").applyInPandasWithState(run, "key string, event_id long, allowed boolean, wait_seconds int", "failures array<double>, until double", "append", GroupStateTimeout.EventTimeTimeout)

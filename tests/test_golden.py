@@ -1,7 +1,7 @@
 """Values worked out by hand."""
 
 import pytest
-from factweir.functions import kernels, text
+from factweir.functions import figures, kernels, text
 from factweir.operators import evidence, measures, runs, scoring
 from factweir.shipping import ship
 from pyspark.sql import functions as F
@@ -101,7 +101,7 @@ def test_names_and_numbers(spark):
 
 
 def test_figure_rules(spark):
-    f = lambda metric, quote, year=2024, primary=True: value(spark, text.check_figure(F.lit(metric), F.lit(quote), F.lit(year), F.lit(primary), 2025)).asDict()
+    f = lambda metric, quote, year=2024, primary=True: value(spark, figures.check_figure(F.lit(metric), F.lit(quote), F.lit(year), F.lit(primary), 2025)).asDict()
     assert f("energy_consumption", "we deployed Megapacks")["metric_key"] == "energy_storage_deployed"
     assert f("energy_consumption", "energy sold to the grid")["metric_key"] == "energy_sold"
     assert f("datacenter_capacity_operating", "3 GW under construction")["metric_key"] == "datacenter_capacity_planned"

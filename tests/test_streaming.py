@@ -26,7 +26,7 @@ def test_stream_rollup_equals_batch_and_can_run_again(spark, data, tmp_path):
     pv = _files(spark, data, tmp_path, copies=2)
     for _ in range(2):
         requests = v.deduplicated(v.read_requests(spark, f"{tmp_path}/in", _schema(pv), 3))
-        v.append_views(requests, f"{tmp_path}/raw", f"{tmp_path}/rolled", f"{tmp_path}/ck").awaitTermination()
+        v.append_views(requests, f"{tmp_path}/raw", f"{tmp_path}/rolled", f"{tmp_path}/ck").awaitTermination(240)
     got = spark.read.parquet(f"{tmp_path}/rolled")
     want = traffic.rollup(traffic.classify_views(pv))
     assert bag(got.withColumn("day", F.col("day").cast("string")).toPandas()) == bag(want.withColumn("day", F.col("day").cast("string")).toPandas())
@@ -47,7 +47,7 @@ def test_windows_close_by_watermark(spark, data, tmp_path):
     pv = _files(spark, data, tmp_path).withColumn("event_type", F.col("path"))
     requests = v.read_requests(spark, f"{tmp_path}/in", _schema(pv.drop("event_type")), 1).withColumn("event_type", F.col("path"))
     q = v.window_counts(requests, "1 day", "1 day").writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(240)
     got = spark.table("windows")
     want = pv.groupBy(F.window(F.col("ts").cast("timestamp"), "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     assert got.count() > 0
@@ -58,7 +58,7 @@ def test_rate_limit_matches_brute_force(spark, data, tmp_path):
     pv = _files(spark, data, tmp_path)
     requests = v.read_requests(spark, f"{tmp_path}/in", _schema(pv), 1)
     q = v.rate_limited(requests, "user_agent", limit=2, seconds=3600).writeStream.format("memory").queryName("limits").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(240)
     got = {r.event_id: r.accepted for r in spark.table("limits").collect()}
     taken, want = defaultdict(list), {}
     for r in pv.select("event_id", "user_agent", F.col("ts").cast("timestamp").cast("double").alias("m")).orderBy("m").collect():
