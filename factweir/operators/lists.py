@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweir.operators.runs import current
+
 
 def category_deltas(scores: DataFrame, runs: DataFrame) -> DataFrame:
     """run_id, category, delta: the change against the company's run before, in the same category."""
@@ -49,11 +51,12 @@ def status_counts(runs: DataFrame) -> DataFrame:
 def stale_retry_claims(runs: DataFrame, replayed: DataFrame) -> DataFrame:
     """Current runs whose reason promises a retry although none is queued or running."""
     claims = runs.where("NOT is_ranked AND contains(reason, 'retry scheduled')").select("run_id")
-    now = replayed.select("company_id", F.col("current_run").alias("run_id")).join(claims, "run_id")
+    now = current(replayed).withColumnRenamed("current_run", "run_id").join(claims, "run_id")
     return now.join(runs.where("status IN ('queued', 'running')").select("company_id"), "company_id", "left_anti").select("company_id", "run_id")
 
 
 def company_record(runs: DataFrame) -> DataFrame:
-    """Per company: number of runs, their statuses in order, the last run, and the greatest status with trigger."""
-    listed = F.array_sort(F.collect_list(F.struct("run_id", "status")))
-    return runs.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.transform(listed, lambda x: x["status"]).alias("statuses"), F.max("run_id").alias("last_run"), F.max(F.concat_ws(":", "status", "run_trigger")).alias("top"))
+    """The runs of each company, a row each in the order of run_id, beside the company's number of runs, its last run
+    and the greatest status with trigger."""
+    whole = runs.groupBy("company_id").agg(F.count(F.lit(1)).alias("n"), F.max("run_id").alias("last_run"), F.max(F.concat_ws(":", "status", "run_trigger")).alias("top"))
+    return runs.select("company_id", "run_id", "status").join(whole, "company_id")

@@ -40,14 +40,14 @@ def retract(runs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def pointer_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Companies whose current run differs between two replays: company_id, current_before, current_after."""
+    """Companies whose current run (`runs.current`) differs between two replays: company_id, current_before, current_after."""
     b, a = before.select("company_id", F.col("current_run").alias("current_before")), after.select("company_id", F.col("current_run").alias("current_after"))
     return b.join(a, "company_id", "full").where(~F.col("current_before").eqNullSafe(F.col("current_after")))
 
 
 def publish_backfill(runs: DataFrame, replayed: DataFrame) -> DataFrame:
     """Only the runs whose stored flag differs from the replayed history: run_id, was, published."""
-    shown = replayed.select(F.explode("public_runs").alias("run_id")).withColumn("shown", F.lit(True))
+    shown = replayed.select("run_id", F.lit(True).alias("shown"))
     r = runs.where("status = 'succeeded'").join(shown, "run_id", "left").select("run_id", F.col("published").alias("was"), F.coalesce("shown", F.lit(False)).alias("published"))
     return r.where(~F.col("was").eqNullSafe(F.col("published")))
 

@@ -92,7 +92,7 @@ def run_documents(runs: DataFrame, scores: DataFrame, sources: DataFrame) -> Dat
 
 def dossier(companies: DataFrame, runs: DataFrame, replayed: DataFrame, scores: DataFrame) -> DataFrame:
     """company_id, name and its current run as a nested row: scores by category in order, and sizes of its history."""
-    now = replayed.where("current_run IS NOT NULL").select("company_id", F.col("current_run").alias("run_id"), F.size("public_runs").alias("n_public"))
+    now = replayed.groupBy("company_id", F.col("current_run").alias("run_id")).agg(F.count(F.lit(1)).cast("int").alias("n_public"))
     cats = scores.join(now.select("run_id"), "run_id", "left_semi").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "category", "score"))).alias("categories"))
     total = runs.groupBy("company_id").agg(F.count(F.lit(1)).alias("n_runs"))
     current = now.join(runs.select("run_id", "index_score", "coverage", "is_ranked"), "run_id").join(cats, "run_id", "left")

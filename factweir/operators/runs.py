@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-_STATE = "struct<cur:bigint,ranked:boolean,coverage:double,version:array<int>,seen:boolean,public:array<bigint>,last:bigint>"
-
+from factweir.shipping import ship
 
 def version_key(version: Column) -> Column:
     """Numbers of a version such as pipeline-v2.10; empty, and so the oldest, if there are none."""
@@ -20,46 +23,71 @@ def decide(ranked: Column, coverage: Column, has_previous: Column, previous_rank
     return F.when(ranked, True).when(has_previous, ~previous_ranked & ~(F.coalesce(previous_coverage, zero) > F.coalesce(coverage, zero))).otherwise(~has_legacy)
 
 
+_FOLDED = ("company_id", "stretch", "reset", "retracted", "seen", "now_ranked", "coverage", "version", "clean", "has_legacy")
+
+
+def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds `public` to rows in the order of their stretches; only the current run is held."""
+    stretch, current = None, None
+    for batch in batches:
+        public = []
+        for company, part, reset, retracted, seen, ranked, coverage, version, clean, legacy in zip(*(batch.column(c).to_pylist() for c in _FOLDED), strict=True):
+            if (company, part) != stretch:
+                stretch, current = (company, part), None
+            if retracted or reset:
+                show = not retracted
+            elif current is None:
+                show = seen and legacy is False
+            else:
+                again = seen and not current[0] and not current[1] > (coverage or 0.0)
+                show = again or (clean and version > current[2])
+            if show:
+                current = (ranked, coverage or 0.0, version)
+            public.append(show)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(public, pa.bool_())], names=[*batch.schema.names, "public"])
+
+
 def replay(runs: DataFrame, companies: DataFrame) -> DataFrame:
-    """company_id, current run and public runs (oldest first), by a fold over a company's succeeded runs.
+    """A row for each public run: company_id, run_id and the company's current run; nothing for a company without one.
 
     Retracted runs are out; runs after a retraction are decided anew; a clean run of a newer pipeline
-    replaces the current one; if a retraction leaves nothing, the last remaining run is current. The fold's
-    input is the few runs of one company, reduced to six small fields.
+    replaces the current one; if a retraction leaves nothing, the last remaining run is current.
+
+    A run that is public whatever is current starts a stretch that depends on no earlier run. Stretches are
+    numbered by counts a day and then a running sum over a company's days, so the runs of one company are
+    spread over tasks by day and by stretch. Each stretch is read as a sorted stream with one run in memory.
     """
-    fields = F.struct(
-        "finished_at", "run_id", F.coalesce("ranked", F.lit(False)).alias("ranked"), F.coalesce("is_ranked", F.lit(False)).alias("now_ranked"), "coverage",
-        F.coalesce("published", F.lit(False)).alias("published"), version_key(F.col("version")).alias("version"),
-        (~F.coalesce("degraded", F.lit(False)) & (F.coalesce("basis", F.lit("")) != "energy_unreadable")).alias("clean"), F.coalesce("retracted", F.lit(False)).alias("retracted"),
+    ship(runs.sparkSession)
+    no = F.lit(False)
+    r = runs.where("status = 'succeeded'").join(companies.select("company_id", "has_legacy"), "company_id").select(
+        "company_id", "run_id", "finished_at", "has_legacy", F.coalesce("retracted", no).alias("retracted"), F.coalesce("ranked", no).alias("ranked"), F.coalesce("is_ranked", no).alias("now_ranked"),
+        F.col("coverage").cast("double").alias("coverage"), F.coalesce("published", no).alias("published"), version_key(F.col("version")).alias("version"),
+        (~F.coalesce("degraded", no) & (F.coalesce("basis", F.lit("")) != "energy_unreadable")).alias("clean"),
+        F.coalesce(F.to_date(F.col("finished_at").cast("timestamp")), F.lit("0001-01-01").cast("date")).alias("day"),
     )
-    ordered = runs.where("status = 'succeeded'").groupBy("company_id").agg(F.array_sort(F.collect_list(fields)).alias("runs"))
-    ordered = ordered.join(companies.select("company_id", "has_legacy"), "company_id")
-    empty = F.from_json(F.lit('{"seen": false, "public": []}'), _STATE)
-    legacy = F.col("has_legacy")
-
-    def step(s: Column, r: Column) -> Column:
-        previous = s["cur"].isNotNull()
-        again = decide(r["ranked"], r["coverage"], previous, F.coalesce(s["ranked"], F.lit(False)), s["coverage"], legacy)
-        newer = previous & r["clean"] & (r["version"] > s["version"])
-        shown = ~r["retracted"] & (F.when(s["seen"], again).otherwise(r["published"]) | F.coalesce(newer, F.lit(False)))
-        pick = lambda a, b: F.when(shown, a).otherwise(b)
-        return F.struct(
-            pick(r["run_id"], s["cur"]).alias("cur"),
-            pick(r["now_ranked"], s["ranked"]).alias("ranked"),
-            pick(r["coverage"], s["coverage"]).alias("coverage"),
-            pick(r["version"], s["version"]).alias("version"),
-            (s["seen"] | r["retracted"]).alias("seen"),
-            pick(F.concat(s["public"], F.array(r["run_id"])), s["public"]).alias("public"),
-            F.when(r["retracted"], s["last"]).otherwise(r["run_id"]).alias("last"),
-        )
-
-    end = ordered.select("company_id", F.aggregate("runs", empty, step).alias("s"))
-    fallback = F.col("s.cur").isNull() & F.col("s.seen") & F.col("s.last").isNotNull()
-    return end.select(
-        "company_id",
-        F.when(fallback, F.col("s.last")).otherwise(F.col("s.cur")).alias("current_run"),
-        F.when(fallback, F.array("s.last")).otherwise(F.col("s.public")).alias("public_runs"),
-    )
+    at = F.struct("finished_at", "run_id")
+    first = r.where("retracted").groupBy("company_id").agg(F.min(at).alias("first_retracted"))
+    r = r.join(first, "company_id", "left").withColumn("seen", F.coalesce(at > F.col("first_retracted"), no)).drop("first_retracted")
+    r = r.withColumn("reset", ~F.col("retracted") & F.when(F.col("seen"), F.col("ranked")).otherwise(F.col("published")))
+
+    resets = F.sum(F.col("reset").cast("long"))
+    days = r.groupBy("company_id", "day").agg(resets.alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("company_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("company_id", "day", before.alias("before"))
+    inside = resets.over(Window.partitionBy("company_id", "day").orderBy("finished_at", "run_id").rowsBetween(Window.unboundedPreceding, 0))
+    r = r.withColumn("inside", inside).join(days, ["company_id", "day"]).withColumn("stretch", F.col("before") + F.col("inside"))
+
+    r = r.select("run_id", "finished_at", *_FOLDED)
+    rows = r.repartition("company_id", "stretch").sortWithinPartitions("company_id", "stretch", "finished_at", "run_id").mapInArrow(_shown, StructType([*r.schema.fields, StructField("public", BooleanType())]))
+    last = F.max(F.when(~F.col("retracted"), at))["run_id"]
+    ends = rows.groupBy("company_id").agg(F.coalesce(F.max(F.when(F.col("public"), at))["run_id"], F.when(F.max("retracted"), last)).alias("current_run"))
+    shown = rows.select("company_id", "run_id", "public").join(ends, "company_id")
+    return shown.where(F.col("public") | (F.col("run_id") == F.col("current_run"))).select("company_id", "run_id", "current_run")
+
+
+def current(replayed: DataFrame) -> DataFrame:
+    """company_id and current_run of each company that has one."""
+    return replayed.where("run_id = current_run").select("company_id", "current_run")
 
 
 def leaderboard(companies: DataFrame, runs: DataFrame, replayed: DataFrame, q: str | None = None, limit: int = 100) -> DataFrame:
@@ -67,8 +95,7 @@ def leaderboard(companies: DataFrame, runs: DataFrame, replayed: DataFrame, q: s
     if q:
         pattern = F.lit(f"%{q}%")
         companies = companies.where(F.ilike("name", pattern) | F.ilike("industry", pattern) | F.ilike("country", pattern))
-    current = replayed.where("current_run IS NOT NULL").select("company_id", F.col("current_run").alias("run_id"))
-    got = companies.join(current, "company_id").join(runs.where("is_ranked").select("run_id", "index_score", "coverage", "confidence"), "run_id")
+    got = companies.join(current(replayed).withColumnRenamed("current_run", "run_id"), "company_id").join(runs.where("is_ranked").select("run_id", "index_score", "coverage", "confidence"), "run_id")
     top = got.orderBy(F.coalesce("index_score", F.lit(0.0)).desc(), "name").limit(limit)
     place = F.row_number().over(Window.orderBy(F.coalesce("index_score", F.lit(0.0)).desc(), "name"))  # `limit` rows
     return top.select(place.alias("place"), "company_id", "name", "run_id", "index_score", "coverage", "confidence")
@@ -81,8 +108,7 @@ def label(offset: Column) -> Column:
 
 def history(runs: DataFrame, replayed: DataFrame) -> DataFrame:
     """Public runs of each company with ordinals, labels, and the change against the latest earlier ranked run."""
-    shown = replayed.select("company_id", "current_run", F.explode("public_runs").alias("run_id"))
-    r = shown.join(runs.select("run_id", "finished_at", "index_score", "coverage", "is_ranked"), "run_id")
+    r = replayed.join(runs.select("run_id", "finished_at", "index_score", "coverage", "is_ranked"), "run_id")
     r = r.where("run_id = current_run OR NOT (coalesce(coverage, 0) = 0 AND index_score IS NULL)")
     by = Window.partitionBy("company_id").orderBy("finished_at", "run_id")
     r = r.withColumn("ordinal", F.row_number().over(by)).withColumn("on", F.col("is_ranked") & F.col("index_score").isNotNull())
@@ -95,9 +121,8 @@ def history(runs: DataFrame, replayed: DataFrame) -> DataFrame:
 
 def withheld(runs: DataFrame, replayed: DataFrame, n: int = 3) -> DataFrame:
     """The latest n succeeded runs after the current one that aren't public."""
-    current = replayed.join(runs.select(F.col("run_id").alias("current_run"), F.col("finished_at").alias("since")), "current_run", "left")
-    shown = replayed.select(F.explode("public_runs").alias("run_id"))
-    later = runs.where("status = 'succeeded' AND NOT retracted").join(shown, "run_id", "left_anti").join(current.select("company_id", "since"), "company_id").where("since IS NULL OR finished_at > since")
+    since = current(replayed).join(runs.select(F.col("run_id").alias("current_run"), F.col("finished_at").alias("since")), "current_run").select("company_id", "since")
+    later = runs.where("status = 'succeeded' AND NOT retracted").join(replayed, "run_id", "left_anti").join(since, "company_id", "left").where("since IS NULL OR finished_at > since")
     place = F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("finished_at"), F.desc("run_id")))
     return later.withColumn("place", place).where(F.col("place") <= n).select("company_id", "run_id", "place")
 
@@ -120,7 +145,7 @@ def board(companies: DataFrame, runs: DataFrame, replayed: DataFrame, min_confid
         F.max(F.when(F.col("retracted"), F.col("run_id"))).alias("retracted_run"),
         F.count(F.lit(1)).alias("n_runs"),
     )
-    now = replayed.where("current_run IS NOT NULL").join(runs.select(F.col("run_id").alias("current_run"), "is_ranked", "basis", "degraded", F.col("confidence").alias("conf")), "current_run").drop("public_runs")
+    now = current(replayed).join(runs.select(F.col("run_id").alias("current_run"), "is_ranked", "basis", "degraded", F.col("confidence").alias("conf")), "current_run")
     c = companies.select("company_id", "name").join(card, "company_id", "left").join(now, "company_id", "left")
     failed = (F.col("latest.status") == "failed") & (F.col("current_run").isNull() | (F.col("latest.run_id") > F.col("current_run")))
     group = F.when(F.col("is_ranked"), "ranked").when(F.col("basis") == "energy_unreadable", "energy").when(failed | F.col("degraded"), "degraded").when(F.col("conf") <= min_confidence, "confidence").otherwise("coverage")
@@ -155,7 +180,7 @@ def outcomes(runs: DataFrame, since: Column) -> DataFrame:
 def alerts(runs: DataFrame, replayed: DataFrame, since: Column, n: int = 200) -> DataFrame:
     """(run_id, kind) over the latest n runs that are recent or active; a run can be in several lists."""
     recent = runs.where((F.col("finished_at") >= since) | F.col("status").isin("queued", "running")).orderBy(F.desc("run_id")).limit(n)
-    shown = replayed.select(F.explode("public_runs").alias("run_id")).withColumn("shown", F.lit(True))
+    shown = replayed.select("run_id", F.lit(True).alias("shown"))
     r = recent.join(shown, "run_id", "left")
     ok = F.col("status") == "succeeded"
     kinds = F.array(

@@ -81,10 +81,9 @@ def rank_status(spark, sf_dir):
     return _runs(spark, sf_dir).select("run_id", "is_ranked", F.coalesce("rank_reason", F.lit("")).alias("rank_reason"))
 
 
-@Q.add("run_replay", RUNS + "SELECT company_id, coalesce(current_run, -1) AS current_run, array_to_string(public_runs, ',') AS public_runs FROM rp")
+@Q.add("run_replay", RUNS + "SELECT company_id, run_id, current_run FROM pb")
 def run_replay(spark, sf_dir):
-    got = _replay(spark, sf_dir)[2]
-    return got.select("company_id", F.coalesce("current_run", F.lit(-1)).alias("current_run"), F.array_join(F.col("public_runs").cast("array<string>"), ",").alias("public_runs"))
+    return _replay(spark, sf_dir)[2]
 
 
 @Q.add("leaderboard", RUNS + f"SELECT row_number() OVER (ORDER BY coalesce(index_score, 0) DESC, name) AS place, company_id, name, run_id, {_c('index_score')} FROM companies JOIN rp USING (company_id) JOIN st ON st.run_id = rp.current_run WHERE rank_reason IS NULL ORDER BY place LIMIT 100".replace("company_id, name, run_id", "companies.company_id AS company_id, name, st.run_id AS run_id"))
@@ -222,13 +221,13 @@ def stale_retry_claims(spark, sf_dir):
 @Q.add("sparkline_points", RUNS + "SELECT pb.company_id AS key, run_id AS seq, cast(floor((CASE WHEN count(*) OVER (PARTITION BY pb.company_id) > 1 THEN (row_number() OVER (PARTITION BY pb.company_id ORDER BY run_id) - 1) * 120.0::double / (count(*) OVER (PARTITION BY pb.company_id) - 1) ELSE 60 END) * 10 + 0.5) AS bigint) AS x, coalesce(cast(floor((28 - least(10, greatest(0, index_score)) / 10 * 28) * 10 + 0.5) AS bigint), -1) AS y FROM pb JOIN st USING (run_id)")
 def sparkline_points(spark, sf_dir):
     _, runs, rp = _replay(spark, sf_dir)
-    rows = rp.select(F.col("company_id").alias("key"), F.explode("public_runs").alias("seq")).join(runs.select(F.col("run_id").alias("seq"), F.col("index_score").alias("value")), "seq")
+    rows = rp.select(F.col("company_id").alias("key"), F.col("run_id").alias("seq")).join(runs.select(F.col("run_id").alias("seq"), F.col("index_score").alias("value")), "seq")
     return r.sparkline(rows).select("key", "seq", F.floor(F.col("x") * 10 + 0.5).cast("long").alias("x"), F.coalesce(F.floor(F.col("y") * 10 + 0.5).cast("long"), F.lit(-1)).alias("y"))
 
 
-@Q.add("company_record", RUNS + """SELECT company_id, count(*) AS n, array_to_string(list(status ORDER BY run_id), ',') AS statuses, max(run_id) AS last_run, cast(max(array_to_string([status, run_trigger], ':')) AS string) AS top FROM runs GROUP BY company_id""")
+@Q.add("company_record", RUNS + """SELECT company_id, run_id, status, n, last_run, top FROM runs JOIN (SELECT company_id, count(*) AS n, max(run_id) AS last_run, cast(max(array_to_string([status, run_trigger], ':')) AS string) AS top FROM runs GROUP BY company_id) USING (company_id)""")
 def company_record(spark, sf_dir):
-    return ls.company_record(derived(spark, sf_dir, "runs")).withColumn("statuses", F.array_join("statuses", ","))
+    return ls.company_record(derived(spark, sf_dir, "runs"))
 
 
 QUERIES, ORACLE = Q.functions, Q.sql
