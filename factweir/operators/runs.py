@@ -17,25 +17,31 @@ def version_key(version: Column) -> Column:
     return F.when(digits == "", F.array().cast("array<int>")).otherwise(F.split(digits, "[.]").cast("array<int>"))
 
 
+def _sortable(version: Column) -> Column:
+    """A version key as text in the same order."""
+    return F.array_join(F.transform(version, lambda n: F.lpad(n.cast("string"), 10, "0")), ".")
+
+
 def decide(ranked: Column, coverage: Column, has_previous: Column, previous_ranked: Column, previous_coverage: Column, has_legacy: Column) -> Column:
     """Whether a run is published, given the current one."""
     zero = F.lit(0.0)
     return F.when(ranked, True).when(has_previous, ~previous_ranked & ~(F.coalesce(previous_coverage, zero) > F.coalesce(coverage, zero))).otherwise(~has_legacy)
 
 
-_FOLDED = ("company_id", "stretch", "reset", "retracted", "seen", "now_ranked", "coverage", "version", "clean", "has_legacy")
+_FOLDED = ("company_id", "stretch", "reset", "seen", "now_ranked", "coverage", "version", "clean", "has_legacy")
+_KEPT = ("company_id", "run_id", "finished_at", "undone")
 
 
 def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds `public` to rows in the order of their stretches; only the current run is held."""
+    """Rows in the order of their stretches, with `public`; only the current run is held."""
     stretch, current = None, None
     for batch in batches:
         public = []
-        for company, part, reset, retracted, seen, ranked, coverage, version, clean, legacy in zip(*(batch.column(c).to_pylist() for c in _FOLDED), strict=True):
+        for company, part, reset, seen, ranked, coverage, version, clean, legacy in zip(*(batch.column(c).to_pylist() for c in _FOLDED), strict=True):
             if (company, part) != stretch:
                 stretch, current = (company, part), None
-            if retracted or reset:
-                show = not retracted
+            if reset:
+                show = True
             elif current is None:
                 show = seen and legacy is False
             else:
@@ -44,7 +50,7 @@ def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if show:
                 current = (ranked, coverage or 0.0, version)
             public.append(show)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(public, pa.bool_())], names=[*batch.schema.names, "public"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEPT), pa.array(public, pa.bool_())], names=[*_KEPT, "public"])
 
 
 def replay(runs: DataFrame, companies: DataFrame) -> DataFrame:
@@ -61,14 +67,15 @@ def replay(runs: DataFrame, companies: DataFrame) -> DataFrame:
     no = F.lit(False)
     r = runs.where("status = 'succeeded'").join(companies.select("company_id", "has_legacy"), "company_id").select(
         "company_id", "run_id", "finished_at", "has_legacy", F.coalesce("retracted", no).alias("retracted"), F.coalesce("ranked", no).alias("ranked"), F.coalesce("is_ranked", no).alias("now_ranked"),
-        F.col("coverage").cast("double").alias("coverage"), F.coalesce("published", no).alias("published"), version_key(F.col("version")).alias("version"),
+        F.col("coverage").cast("double").alias("coverage"), F.coalesce("published", no).alias("published"), _sortable(version_key(F.col("version"))).alias("version"),
         (~F.coalesce("degraded", no) & (F.coalesce("basis", F.lit("")) != "energy_unreadable")).alias("clean"),
         F.coalesce(F.to_date(F.col("finished_at").cast("timestamp")), F.lit("0001-01-01").cast("date")).alias("day"),
     )
     at = F.struct("finished_at", "run_id")
     first = r.where("retracted").groupBy("company_id").agg(F.min(at).alias("first_retracted"))
-    r = r.join(first, "company_id", "left").withColumn("seen", F.coalesce(at > F.col("first_retracted"), no)).drop("first_retracted")
-    r = r.withColumn("reset", ~F.col("retracted") & F.when(F.col("seen"), F.col("ranked")).otherwise(F.col("published")))
+    r = r.join(first, "company_id", "left").withColumns({"undone": F.col("first_retracted").isNotNull(), "seen": F.coalesce(at > F.col("first_retracted"), no)})
+    r = r.withColumn("reset", F.when(F.col("seen"), F.col("ranked")).otherwise(F.col("published")))
+    r = r.where(~F.col("retracted") & (F.col("reset") | F.col("clean") | F.col("undone")))  # others are not public and change nothing
 
     resets = F.sum(F.col("reset").cast("long"))
     days = r.groupBy("company_id", "day").agg(resets.alias("n"))
@@ -77,10 +84,11 @@ def replay(runs: DataFrame, companies: DataFrame) -> DataFrame:
     inside = resets.over(Window.partitionBy("company_id", "day").orderBy("finished_at", "run_id").rowsBetween(Window.unboundedPreceding, 0))
     r = r.withColumn("inside", inside).join(days, ["company_id", "day"]).withColumn("stretch", F.col("before") + F.col("inside"))
 
-    r = r.select("run_id", "finished_at", *_FOLDED)
-    rows = r.repartition("company_id", "stretch").sortWithinPartitions("company_id", "stretch", "finished_at", "run_id").mapInArrow(_shown, StructType([*r.schema.fields, StructField("public", BooleanType())]))
-    last = F.max(F.when(~F.col("retracted"), at))["run_id"]
-    ends = rows.groupBy("company_id").agg(F.coalesce(F.max(F.when(F.col("public"), at))["run_id"], F.when(F.max("retracted"), last)).alias("current_run"))
+    r = r.select(*dict.fromkeys([*_KEPT, *_FOLDED]))
+    schema = StructType([*r.select(*_KEPT).schema.fields, StructField("public", BooleanType())])
+    rows = r.repartition("company_id", "stretch").sortWithinPartitions("company_id", "stretch", "finished_at", "run_id").mapInArrow(_shown, schema)
+    public = F.max(F.when(F.col("public"), at))["run_id"]
+    ends = rows.where("public OR undone").groupBy("company_id").agg(F.coalesce(public, F.when(F.max("undone"), F.max(at)["run_id"])).alias("current_run"))
     shown = rows.select("company_id", "run_id", "public").join(ends, "company_id")
     return shown.where(F.col("public") | (F.col("run_id") == F.col("current_run"))).select("company_id", "run_id", "current_run")
 
