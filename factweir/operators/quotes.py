@@ -41,7 +41,8 @@ def locate(quote: Column, source: Column) -> Column:
     """struct(method, start, span): where the quote stands in the source, from 1; null if it doesn't or is too short.
 
     exact: in normal form; loose: letter by letter; footnote: with footnote digits between; ellipsis: its pieces in
-    order with at most MOST_GAP characters between, MOST_SPAN in all. Dot leaders count as blanks.
+    order with at most MOST_GAP characters between, MOST_SPAN in all. Dot leaders count as blanks. A quote that stands
+    in the source character by character is found there, at its first such place, without an expression of its own.
     """
     plain = F.regexp_replace(F.coalesce(quote, F.lit("")), r"(?:[.·] ?){4,}|(?: [.·]){3,}", " ")
     parts = F.filter(F.split(plain, r"\[?(?:…|\.\.\.)\]?"), lambda x: F.regexp_like(x, F.lit(r"[\p{L}\p{N}]")))
@@ -65,8 +66,13 @@ def _located(plain: Column, parts: Column, source: Column) -> Column:
         near = lambda s: s.isNotNull() if most is None else s.isNotNull() & (F.length(s) <= most)
         return _let(span, lambda s: F.when(near(s), F.struct(method.alias("method"), F.instr(source, s).alias("start"), s.alias("span"))))
 
+    def verbatim(core: Column) -> Column:
+        found = F.struct(F.lit("exact").alias("method"), F.instr(source, core).alias("start"), core.alias("span"))
+        return F.when((core != "") & F.contains(source, core), found)
+
+    same = _let(F.regexp_extract(plain, r"(?s)[^\p{L}\p{N}\s]*[\p{L}\p{N}].*[\p{L}\p{N}][^\p{L}\p{N}\s]*", 0), verbatim)
     exact = F.when(F.contains(text.normal_text(source), text.normal_text(plain)), "exact").otherwise("loose")
-    straight = F.coalesce(way(exact, _spaced(plain, _BETWEEN)), way(F.lit("footnote"), _spaced(plain, _BETWEEN_NOTES)))
+    straight = F.coalesce(same, way(exact, _spaced(plain, _BETWEEN)), way(F.lit("footnote"), _spaced(plain, _BETWEEN_NOTES)))
     return F.when((F.size(parts) == 1) & whole, straight).when((F.size(parts) > 1) & elided, way(F.lit("ellipsis"), gap, MOST_SPAN))
 
 
@@ -82,10 +88,11 @@ def verify_figures(rows: DataFrame, sources: DataFrame, current_year: int) -> Da
 
     rows(figure_id, source_id, metric_key, value, unit, factor, family, period_year, is_primary, quote), factor and
     family being null for an unknown unit; sources(source_id, text). Order: quote found; unit known; value in the quote
-    (times a table's scale for dollars); unit near; plausible; then the rules of `check_figure`.
+    (times a table's scale for dollars); unit near; plausible; then the rules of `check_figure`. The checks cost far
+    more than a move of the figures, which are dealt over tasks before they meet their texts.
     """
     ship(rows.sparkSession)
-    r = rows.join(sources.select("source_id", "text"), "source_id", "left")
+    r = rows.repartition("figure_id").join(sources.select("source_id", "text"), "source_id", "left")
     r = r.select("*", F.explode(F.array(locate(F.col("quote"), F.col("text")))).alias("at"))  # located once, however often it is used
     start, span = F.col("at.start"), F.coalesce("at.span", F.lit(""))
     cut = lambda before, after: F.substring("text", F.greatest(start - before, F.lit(1)), F.least(start - 1, F.lit(before)) + F.length(span) + after)
