@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from factweir.llm import bytehash
 from factweir.llm.common import discard, pick, prepare, work_dir, written
-from factweir.llm.components import components
+from factweir.llm.components import Forest, components, extended
 
 #: Classes of one block of a group, exactly compared; a task holds the sets of two blocks.
 BLOCK_ROWS = 256
@@ -204,25 +204,6 @@ def _possible(batches: Iterator[pd.DataFrame], rule: Rule) -> Iterator[pd.DataFr
         yield pdf.loc[np.array(fits, dtype=bool), ["pivot", "node", "weight"]]
 
 
-class _Found:
-    """Links found so far as a spanning forest: union-find over the nodes of a task's group."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def top(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.top(a), self.top(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _set_of(text: str | None, node: int, rule: Rule) -> np.ndarray | None:
     """The set of a text if it is the class `node`'s (two texts may share a key, by a hash)."""
     s = shingle_set((text or "").encode(), rule.shingle)
@@ -304,7 +285,7 @@ def _blocks(pdf: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     if i != j:
         block = np.array([r[0] for r in rows])
         linked &= block[:, None] != block[None, :]
-    found, out = _Found(), []
+    found, out = Forest(), []
     for x, y in zip(*np.nonzero(np.triu(linked)), strict=True):
         if found.join(int(comp[x]), int(comp[y])):
             out.append((rows[x][1], rows[y][1]))
@@ -397,8 +378,7 @@ class _Join:
         comp = self.table(components(links, f"{self.folder}/first"), "comp1")
         rest = self.table(placed(placed(pairs, comp, "node"), comp, "pivot").where("node_comp <> pivot_comp").join(main.select("node", "pivot"), ["node", "pivot"], "left_anti").select("pivot", "node"), "rest")
         if not rest.isEmpty():
-            links = links.unionByName(self.star(rest, classes, "star2"))
-            comp = self.table(components(links, f"{self.folder}/second"), "comp2")
+            comp = self.table(extended(comp, self.star(rest, classes, "star2"), f"{self.folder}/second"), "comp2")
 
         # all pairs with a pivot are settled; groups whose other members are in several components stay open
         member = self.table(placed(near.select("pivot", "node"), comp, "node").withColumnRenamed("node_comp", "comp"), "placed")
@@ -415,7 +395,7 @@ class _Join:
         dealt = _dealt(still.join(hits, ["pivot", "node"]), BLOCK_ROWS, f"{self.folder}/hit-sizes").join(texts, "node")
         more = self.table(dealt.groupBy("pivot", "i", "j").applyInPandas(lambda pdf: _blocks(pdf, rule), "a long, b long"), "blocks")
         self.drop("hit-texts")
-        return self.table(components(links.unionByName(more), f"{self.folder}/third"), "comp3")
+        return self.table(extended(comp, more, f"{self.folder}/third"), "comp3")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, shared: float = 0.35) -> DataFrame:

@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from factweir.llm import components as cc
 from factweir.llm import entries
 from factweir.llm import ngram_join as nj
 from factweir.llm.components import components as spark_components
@@ -100,7 +102,8 @@ def test_components_of_chains(spark):
     assert got == {i: 0 for i in range(n + 1)} | {100: 100, 101: 100}
 
 
-def test_components_of_v_shaped_chains_take_few_rounds(spark, tmp_path):
+def test_components_of_v_shaped_chains_take_few_rounds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cc, "TASK_LINKS", 20)
     n = 300  # labels fall towards both ends of the chain
     order = [*range(n - 1, 0, -2), *range(0, n, 2)]
     links = spark.createDataFrame([*zip(order, order[1:], strict=False), (1000, 1001), (1002, 1001)], "a long, b long")
@@ -110,6 +113,30 @@ def test_components_of_v_shaped_chains_take_few_rounds(spark, tmp_path):
     assert max(rounds) <= 24
 
 
+def test_contraction_in_bounded_memory_keeps_what_is_connected(monkeypatch):
+    monkeypatch.setattr(cc, "HELD_IDS", 10)
+    rng = random.Random(4)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    got = [x for pdf in cc._contracted(pd.DataFrame(pairs[i : i + 5], columns=["a", "b"]) for i in range(0, 150, 5)) for x in pdf.itertuples(index=False)]
+    assert all(hi > lo for hi, lo in got)
+    whole, stars = cc.Forest(), cc.Forest()
+    for a, b in pairs:
+        whole.join(a, b)
+    for a, b in got:
+        stars.join(a, b)
+    assert [whole.top(x) for x in range(200)] == [stars.top(x) for x in range(200)]
+
+
+def test_components_extended_by_more_links(spark, tmp_path):
+    of = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    first, more = [(5, 6), (7, 8), (20, 21)], [(6, 8), (9, 7), (2, 9), (30, 31), (20, 21), (4, 4)]
+    known = spark_components(of(first), f"{tmp_path}/first")
+    got = sorted((r.id, r.component) for r in cc.extended(known, of(more), f"{tmp_path}/more").collect())
+    assert got == [(2, 2), (5, 2), (6, 2), (7, 2), (8, 2), (9, 2), (20, 20), (21, 20), (30, 30), (31, 30)]
+    same = sorted((r.id, r.component) for r in cc.extended(known, of([(1, 1)]), f"{tmp_path}/none").collect())
+    assert same == [(5, 5), (6, 5), (7, 7), (8, 7), (20, 20), (21, 20)]
+
+
 def test_rows_without_an_id_link_their_neighbours(spark):
     words = [f"w{i}" for i in range(400)]
     ends = [" ".join([*words[:392], *(f"{side}{i}" for i in range(8))]) for side in "ab"]
