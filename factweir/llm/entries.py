@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweir.llm import chat, langid, license_scan, mixing, ngram_join, oracles, packing, quality_model, quality_rules, topk, url_filter
+from factweir.llm import (
+    chat, langid, license_scan, merkle, mixing, ngram_join, oracles, packing, piece_codec, quality_model, quality_rules, topk, url_filter, whitening,
+)
+from factweir.llm.common import ascii_lower
 
 #: The url rules of the contract, as (verdict, host, path).
 URL_RULES = [
@@ -108,6 +111,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(_table(spark, sf_dir, "documents")).withColumn("clean_text", F.sha2("clean_text", 256)).withColumnRenamed("clean_text", "clean_sha256")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    pieces = piece_codec.decode_pieces(piece_codec.encode_pieces(_table(spark, sf_dir, "documents"), model), model)
+    joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return pieces.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings"), k=16)
+    each = white.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "of"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "of.whitened", "of.explained", "identity_error")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    head = [merkle.field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf, tampered = (merkle.digest(*head, merkle.field(text)).alias(name) for text, name in ((F.col("text"), "leaf"), (changed, "tampered")))
+    proven = merkle.prove(docs.select("doc_id", "lang", leaf, tampered), group="lang", key="doc_id")
+    checked = proven.withColumn("folded_root", merkle.fold(F.col("tampered"), F.col("proof")))
+    proof = F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256")
+    return checked.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -120,8 +147,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_license_scan": op9_license_scan,
         "op10_quality_rules": op10_quality_rules,
+        "op11_sentencepiece": op11_sentencepiece,
+        "op12_whitening": op12_whitening,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": oracles.url_filter(url_patterns()), "op7_exact_topk": oracles.TOP_K, "op9_license_scan": oracles.license_scan(), "op10_quality_rules": oracles.quality_rules()}
+    return {"op2_url_filter": oracles.url_filter(url_patterns()), "op7_exact_topk": oracles.TOP_K, "op9_license_scan": oracles.license_scan(), "op10_quality_rules": oracles.quality_rules(), "op13_merkle_manifest": oracles.merkle_manifest()}

@@ -98,3 +98,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (100 * lost_chars > 50 * all_chars) AS kept
 FROM f
 """
+
+
+#: Levels of the trees in SQL: enough for 8 ** 7 rows of a language and as many languages.
+_LEVELS = 7
+
+
+def _tree(t: str, leaves: str) -> str:
+    """CTEs {t}0 to {t}7: nodes (g, i, n, d) of each level, where finished trees stay as they are."""
+    out = [f"{t}0 AS ({leaves})"]
+    for k in range(_LEVELS):
+        out.append(f"""{t}{k + 1} AS (
+  SELECT g, i // 8 AS i, (n + 7) // 8 AS n, sha256(string_agg(d, '' ORDER BY i)) AS d FROM {t}{k} WHERE n > 1 GROUP BY g, i // 8, n
+  UNION ALL SELECT g, i, n, d FROM {t}{k} WHERE n = 1)""")
+    return ",\n".join(out)
+
+
+def _climb(t: str, w: str, start: str) -> str:
+    """CTEs {w}0 to {w}7: each row r with its place i in tree {t}, the folded digest f and the proof p so far."""
+    out = [f"{w}0 AS ({start})"]
+    for k in range(_LEVELS):
+        out.append(f"""{w}{k + 1} AS (
+  SELECT a.r, a.g, CASE WHEN any_value(b.n) > 1 THEN a.i // 8 ELSE a.i END AS i,
+         CASE WHEN any_value(b.n) > 1 THEN sha256(string_agg(CASE WHEN b.i = a.i THEN a.f ELSE b.d END, '' ORDER BY b.i)) ELSE a.f END AS f,
+         a.p || coalesce(string_agg(b.d, '' ORDER BY b.i) FILTER (b.i <> a.i), '') AS p
+  FROM {w}{k} a JOIN {t}{k} b ON b.g = a.g AND b.i // 8 = a.i // 8 GROUP BY a.r, a.g, a.i, a.f, a.p)""")
+    return ",\n".join(out)
+
+
+def merkle_manifest() -> str:
+    field = lambda c: f"coalesce(strlen(cast({c} AS varchar)) || ':' || {c}, '-')"
+    head = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    crc = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+    return f"""
+WITH docs AS (SELECT *, coalesce('=' || lang, '') AS g, sha256({head} || {field("text")}) AS leaf,
+  CASE WHEN {crc} % 3 = 0 THEN sha256({head} || {field(f"translate(text, {_UPPER})")}) ELSE sha256({head} || {field("text")}) END AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM docs),
+{_tree("t", "SELECT g, i, n, leaf AS d FROM placed")},
+subroots AS (SELECT g AS r, '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, d FROM t{_LEVELS}),
+{_tree("u", "SELECT g, i, n, d FROM subroots")},
+{_climb("t", "w", "SELECT r, g, i, changed AS f, '' AS p FROM placed")},
+{_climb("u", "v", f"SELECT w.r, '' AS g, s.i, w.f, w.p FROM w{_LEVELS} w JOIN subroots s ON s.r = w.g")}
+SELECT doc_id, leaf, s.d AS subroot, u.d AS root, sha256(v.p) AS proof_sha256, v.f AS folded_root, v.f = u.d AS verified
+FROM placed a JOIN v{_LEVELS} v USING (r) JOIN subroots s ON s.r = a.g CROSS JOIN u{_LEVELS} u
+"""
