@@ -134,12 +134,12 @@ def _trail(steps: list[list[float]]) -> Column:
     return F.array(*[F.array(*[F.lit(x) for x in r]) for r in steps]) if steps else F.array().cast("array<array<double>>")
 
 
-def fit_rates(groups: DataFrame, targets: tuple[float, ...], ridge: float = 1e-4, max_rate: float = 4.0, rounds: int = 60, tolerance: float = 1e-4) -> list[list[float]]:
+def fit_rates(groups: DataFrame, targets: tuple[float, ...], ridge: float = 1e-4, max_rate: float = 4.0, rounds: int = 60, tolerance: float = 1e-4, reach: float = 1.0) -> list[list[float]]:
     """Steps of accelerated projected gradient descent for groups(tokens, p); see `fold_rate`.
 
     Minimises sum over domains of (expected tokens - target tokens)^2 / available tokens, plus a small pull
     of rates towards 1. The token budget is the one at which the domain with the largest target is used at
-    rate 1. Ends when no residual is or moves by more than `tolerance`; momentum restarts when it overshoots.
+    rate 1, times `reach`. Ends when no residual is or moves by more than `tolerance`; momentum restarts when it overshoots.
     """
     k = len(targets)
     if k != len(DOMAINS):
@@ -147,7 +147,7 @@ def fit_rates(groups: DataFrame, targets: tuple[float, ...], ridge: float = 1e-4
     sums = lambda rate: [F.sum(F.col("tokens") * F.col("p")[d] * rate).alias(f"s{d}") for d in range(k)]
     have = [x or 0.0 for x in groups.agg(*sums(F.lit(1.0))).first()]
     anchor = max(range(k), key=lambda d: (targets[d], -d))
-    budget = have[anchor] / targets[anchor] if have[anchor] else 0.0
+    budget = reach * have[anchor] / targets[anchor] if have[anchor] else 0.0
     steps: list[list[float]] = []
     before, t = math.inf, 1.0
     for _ in range(rounds if budget else 0):
@@ -163,12 +163,13 @@ def fit_rates(groups: DataFrame, targets: tuple[float, ...], ridge: float = 1e-4
     return steps
 
 
-def mix(docs: DataFrame, model: Model, targets: tuple[float, ...], max_rate: float = 4.0, snap: float = 0.0, ridge: float = 1e-4) -> DataFrame:
+def mix(docs: DataFrame, model: Model, targets: tuple[float, ...], max_rate: float = 4.0, snap: float = 0.0, ridge: float = 1e-4, reach: float = 1.0) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, p_clean, p_low, p_toxic, rate and copies.
 
     copies is the rate rounded at random by a hash of doc_id and text, so that the expected totals of copies are those of
     the rates. With snap above 0 a rate within `snap` of a whole number is rounded to it instead, which keeps
-    documents at a rate near 1 whole but moves totals by up to that share.
+    documents at a rate near 1 whole but moves totals by up to that share. With max_rate 1 and a reach above 1 the
+    largest domain is asked for more than it holds, so its documents come to the bound by the fit itself.
     """
     folder = work_dir(docs.sparkSession, "mixing")
     found = pick(docs, "doc_id", "text").withColumn("_key", F.xxhash64(F.lit("mix"), "doc_id", "text"))
@@ -176,7 +177,7 @@ def mix(docs: DataFrame, model: Model, targets: tuple[float, ...], max_rate: flo
     bins = list(BINS)
     groups = found.groupBy(*bins).agg(F.sum("n_words").cast("double").alias("tokens"))
     groups = written(posteriors(groups, model).select("tokens", "p"), f"{folder}/groups")
-    steps = fit_rates(groups, targets, ridge, max_rate)
+    steps = fit_rates(groups, targets, ridge, max_rate, reach=reach)
     rates = posteriors(found.select(*bins).distinct(), model).withColumn("rate", fold_rate(F.col("p"), _trail(steps), ridge, max_rate)["rate"])
     # at most one row for each combination of bins: a few thousand
     out = found.join(F.broadcast(rates), bins)

@@ -27,7 +27,7 @@ best AS (
   SELECT row_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
   FROM p, r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY row_id),
 m(name, verdict, pattern) AS (VALUES {rows}),
-own AS (SELECT row_id, max(name) AS name, arg_max(m.verdict, name) AS verdict FROM p, m WHERE regexp_matches(host || chr(10) || path, pattern) GROUP BY row_id)
+own AS (SELECT row_id, max(name) AS name, arg_max(m.verdict, name) AS verdict FROM p, m WHERE regexp_matches(replace(host, chr(10), ' ') || chr(10) || path, pattern) GROUP BY row_id)
 SELECT page_id, host, path, best.rule AS rule, CASE WHEN best.rule IS NULL THEN own.name END AS method_rule,
        coalesce(best.verdict, own.verdict, 'allow') AS verdict
 FROM p LEFT JOIN best USING (row_id) LEFT JOIN own USING (row_id)

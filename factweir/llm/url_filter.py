@@ -1,6 +1,6 @@
 """URL filters: rules indexed by their rarest literal token; only candidate rules run regular expressions.
 
-A rule has a regular expression over `host \\n path`, the literal tokens (runs of ASCII letters and digits)
+A rule has a regular expression over `host \\n path` (line feeds of a host count as blanks), the literal tokens (runs of ASCII letters and digits)
 that every match must hold as whole tokens, a verdict and a rank. Token counts over all urls choose the
 rarest token of each rule as its key; a url's tokens fetch the rules under those keys, and just those run
 their expression. The fitting rule with the highest rank decides. Rules without a whole literal token are
@@ -86,7 +86,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", u
     """Per row of pages: id, host, path, rule (name of the deciding rule or null), verdict."""
     base = pick(pages, id_column, url_column).toDF("id", "url")
     base = base.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    base = base.withColumn("key", F.concat("host", F.lit("\n"), "path"))
+    base = base.withColumn("key", F.concat(F.translate("host", "\n", " "), F.lit("\n"), "path"))
     small = rules.limit(MAX_INLINE_RULES + 1).count() <= MAX_INLINE_RULES
     rules = indexed(rules, base.select("key"), small)
     judged = _inline(base, rules.collect()) if small else _joined(base, rules)

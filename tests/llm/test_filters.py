@@ -13,6 +13,7 @@ URLS = [
     None, "", "no scheme", "://", "http://", "HTTP://WWW.Example.COM/en/1", "http://example.com/en", "http://example.com/en/x?q#f", "https://a.b.example.com/en/",
     "http://notexample.com/en/", "http://x.net/es/1", "http://x.net/ES/1", "http://net/fr/", "http://com/", "http://com", "ftp://a://b.net/es/", "http://x.com?u=http://y.net/es/",
     "http://www.spam-farm.org/", "https://big-casino.org", "https://casinos-x.org/a", "https://casinoland.org/", "http://a.org/user/login", "http://a.org/login.php?x", "http://a.org/blogin/", "http://a.org/crack-keygen", "http://a.org/CRACK", "http://antispam.org/", "http://ünï.net/fr/é", "http://" + "a" * 50_000 + ".com/",
+    "http://a\nb.example.com/en/x", "http://\nexample.com/en/", "http://x\n.net/fr/\n", "http://net\n/es/", "http://a\nb.casino.org/c\nd", "http://a.org/x\ny/login",
 ]
 
 
@@ -24,7 +25,7 @@ def judge(url):
     fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    return host, path, None, "block" if any(re.search(pattern, f"{host}\n{path}") for _, _, pattern, _ in OWN) else "allow"
+    return host, path, None, "block" if any(re.search(pattern, "{}\n{}".format(host.replace("\n", " "), path)) for _, _, pattern, _ in OWN) else "allow"
 
 
 def pages(spark, urls):

@@ -84,5 +84,28 @@ def test_stages_take_awkward_rows(spark, data, stage):
     assert f(spark, docs(spark, []), data).count() == 0
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_clashing_columns(spark, data, stage):
+    """Columns that differ in case only, or look like work columns, pass through untouched."""
+    plain = spark.read.parquet(f"{data}/documents.parquet")
+    odd = plain.withColumnsRenamed({"n_chars": "TEXT", "source": "Doc_ID"}).selectExpr("*", "'k' as _key", "'c' as _c0", "1 as ROW")
+    f = corpus_pipeline.STAGES[stage][1]
+    want, got = f(spark, plain, data), f(spark, odd, data)
+    if stage < 4:
+        assert got.columns == odd.columns
+    shown = ["doc_id"] if stage < 4 else ["doc_id", "piece", "start", "length"]
+    rows = lambda df: sorted(tuple(r[df.columns.index(c)] for c in shown) for r in df.collect())
+    assert rows(got) == rows(want)
+
+
+def test_rates_reach_the_bound_by_the_fit(spark, data, stages):
+    from factweir.llm import mixing
+
+    docs_ = spark.createDataFrame(stages["n-gram Jaccard join"])
+    model = mixing.learn(docs_, spark.read.parquet(f"{data}/labels.parquet"))
+    rates = mixing.mix(docs_, model, corpus_pipeline.TARGETS, max_rate=1.0, reach=corpus_pipeline.REACH).toPandas()
+    assert (rates.rate[rates.p_clean > 0.9] > 0.999).all() and rates.rate.max() <= 1.0
+
+
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in entries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entries.queries()) == list(range(1, 14))
