@@ -69,7 +69,12 @@ def unlabelled_values(quote: Column, row: Column) -> Column:
 def table_scale(text: Column, at: Column, before: int = 8000, after: int = 200) -> Column:
     """The factor of the last phrase such as `(in millions)` before a place; null if there is none."""
     start = F.greatest(at - before, F.lit(1))
-    found = F.regexp_extract_all(F.substring(text, start, at + after - start), F.lit("(?i)" + p.TABLE_SCALE), F.lit(1))
+    return scale_in(F.substring(text, start, at + after - start))
+
+
+def scale_in(text: Column) -> Column:
+    """The factor of the last phrase such as `(in millions)` of a text; null if there is none."""
+    found = F.regexp_extract_all(text, F.lit("(?i)" + p.TABLE_SCALE), F.lit(1))
     factor = F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv])
     return factor[F.lower(F.try_element_at(found, F.lit(-1)))]
 

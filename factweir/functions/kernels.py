@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,6 +140,11 @@ def numbers_in(text: pd.Series) -> pd.Series:
 _CHUNK = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("body", T.StringType())])
 
 
-@F.pandas_udf(T.ArrayType(_CHUNK))
-def chunks(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: [{"start": a, "end": b, "body": x[a:b]} for a, b in chunk_spans(x)] if x else [])
+def chunks_of(size: int) -> Callable[[Column], Column]:
+    """The chunks of a text, of at most `size` characters each, as an array of (start, end, body)."""
+
+    @F.pandas_udf(T.ArrayType(_CHUNK))
+    def chunks(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: [{"start": a, "end": b, "body": x[a:b]} for a, b in chunk_spans(x, size)] if x else [])
+
+    return chunks

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from factweir.functions import kernels, text, url
@@ -49,28 +51,57 @@ def find_quotes(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     return _found(quotes, sources, [])
 
 
-def _found(quotes: DataFrame, sources: DataFrame, within: list[str]) -> DataFrame:
-    """Quotes in the texts that share the columns `within` and an anchor."""
-    spark = quotes.sparkSession
+def candidate_sources(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(quote_id, source_id): sources(source_id, text) that share an anchor with quotes(quote_id, quote)."""
+    asked = _asked(quotes.withColumn("source_id", F.lit(None).cast("long")), [])
+    return _sharing_anchor(asked, sources.select("source_id", "text"), []).select("quote_id", F.col("found_in").alias("source_id")).where("source_id IS NOT NULL").distinct()
+
+
+def _asked(quotes: DataFrame, within: list[str]) -> DataFrame:
+    """The quotes that are long enough and not too long, with their letters and digits and normal form."""
+    n, sk = F.length(F.trim(text.normal_text(F.col("quote")))), text.skeleton(F.col("quote"))
+    q = quotes.where(n.between(MIN_QUOTE, MAX_QUOTE)).select("quote_id", *within, F.col("source_id").alias("cited"), sk.alias("sk"), text.normal_text(F.col("quote")).alias("norm"))
+    return q.where(F.length("sk") >= MIN_SKELETON)
+
+
+def _long() -> Column:
+    return F.length("sk") >= sum(kernels.LONG_ANCHORS) - 1
+
+
+def _sizes(q: DataFrame) -> Row:
+    return q.agg(F.count(F.lit(1)).alias("n"), F.count_if(_long()).alias("long")).first()
+
+
+def _few(sizes: Row) -> bool:
+    return sizes["n"] <= MAX_BROADCAST_QUOTES
+
+
+def _sharing_anchor(q: DataFrame, s: DataFrame, within: list[str], sizes: Row | None = None) -> DataFrame:
+    """(quote_id, within, found_in, digest): the texts that share the columns `within` and an anchor."""
+    spark = q.sparkSession
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
-    n, sk = F.length(F.trim(text.normal_text(F.col("quote")))), text.skeleton(F.col("quote"))
-    q = quotes.where(n.between(MIN_QUOTE, MAX_QUOTE)).select("quote_id", *within, F.col("source_id").alias("cited"), sk.alias("sk"), text.normal_text(F.col("quote")).alias("norm")).where(F.length("sk") >= MIN_SKELETON)
-    long = F.length("sk") >= sum(kernels.LONG_ANCHORS) - 1
-    sizes = q.agg(F.count(F.lit(1)).alias("n"), F.count_if(long).alias("long")).first()
-    few = sizes["n"] <= MAX_BROADCAST_QUOTES
-    hinted = lambda df: F.broadcast(df) if few else df
-    s = sources.select(*within, "source_id", "text")
+    sizes = sizes or _sizes(q)
     pairs = None
-    for some, anchors, wanted in ((sizes["long"], kernels.long_anchors, long), (sizes["n"] - sizes["long"], kernels.short_anchors, ~long)):
+    for some, anchors, wanted in ((sizes["long"], kernels.long_anchors, _long()), (sizes["n"] - sizes["long"], kernels.short_anchors, ~_long())):
         if some:
             keys = q.where(wanted).select("quote_id", *within, F.array_min(anchors("sk")).alias("anchor"))
             held = s.select(*within, F.col("source_id").alias("found_in"), F.xxhash64("text").alias("digest"), F.explode(anchors(text.skeleton(F.col("text")))).alias("anchor"))
-            found = held.join(hinted(keys), [*within, "anchor"]).select("quote_id", *within, "found_in", "digest")
+            found = held.join(F.broadcast(keys) if _few(sizes) else keys, [*within, "anchor"]).select("quote_id", *within, "found_in", "digest")
             pairs = found if pairs is None else pairs.unionByName(found)
     if pairs is None:
         pairs = q.select("quote_id", *within, F.col("cited").alias("found_in"), F.lit(0).cast("long").alias("digest"))
+    return pairs
+
+
+def _found(quotes: DataFrame, sources: DataFrame, within: list[str]) -> DataFrame:
+    """Quotes in the texts that share the columns `within` and an anchor."""
+    q = _asked(quotes, within)
+    sizes = _sizes(q)
+    hinted = lambda df: F.broadcast(df) if _few(sizes) else df
+    s = sources.select(*within, "source_id", "text")
+    pairs = _sharing_anchor(q, s, within, sizes)
     texts = s.select(F.col("source_id").alias("id"), F.xxhash64("text").alias("d"), *[F.col(c).alias(f"_{c}") for c in within], "text")
     same = (F.col("digest") == F.col("d")) & F.col("found_in").eqNullSafe(F.col("id"))
     for c in within:
@@ -83,20 +114,22 @@ def _found(quotes: DataFrame, sources: DataFrame, within: list[str]) -> DataFram
     return hits.groupBy("quote_id").agg(best.alias("b")).select("quote_id", "b.found_in", "b.method")
 
 
-def ranked_chunks(sources: DataFrame) -> DataFrame:
+def ranked_chunks(sources: DataFrame, size: int = 1100, scores: Callable[[Column], Column] = text.chunk_scores) -> DataFrame:
     """Chunks of each source with their scores: source_id, i, start, end, quant, qual.
 
-    The chunks come cut out of one pass over a text; the whole text isn't carried along with each.
+    scores: struct(quant, qual) of a chunk's text. The chunks come cut out of one pass over a text; the whole text
+    isn't carried along with each.
     """
     ship(sources.sparkSession)
-    c = sources.select("source_id", kernels.chunks("text").alias("chunks")).select("source_id", F.posexplode("chunks").alias("i", "c"))
-    return c.select("source_id", "i", "c.start", "c.end", text.chunk_scores(F.col("c.body")).alias("s")).select("source_id", "i", "start", "end", "s.quant", "s.qual")
+    c = sources.select("source_id", kernels.chunks_of(size)("text").alias("chunks")).select("source_id", F.posexplode("chunks").alias("i", "c"))
+    return c.select("source_id", "i", "c.start", "c.end", scores(F.col("c.body")).alias("s")).select("source_id", "i", "start", "end", "s.quant", "s.qual")
 
 
 def relevance(chunks: DataFrame, n: int = 8) -> DataFrame:
-    """Sum of the n best positive quant scores and twice the n best positive qual scores of each source."""
+    """Per source: qual, the sum of its n best positive qual scores, and relevance, that of quant and twice of qual."""
     top = lambda c: F.aggregate(F.slice(F.sort_array(F.collect_list(F.when(F.col(c) > 0, F.col(c).cast("double"))), asc=False), 1, n), F.lit(0.0), lambda a, x: a + x)
-    return chunks.groupBy("source_id").agg((top("quant") + 2 * top("qual")).alias("relevance"))
+    best = chunks.groupBy("source_id").agg(top("quant").alias("quant"), top("qual").alias("qual"))
+    return best.select("source_id", "qual", (F.col("quant") + 2 * F.col("qual")).alias("relevance"))
 
 
 def take_within(chunks: DataFrame, score: str, budget: int) -> DataFrame:

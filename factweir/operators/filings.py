@@ -69,14 +69,20 @@ def is_registry_host(link: Column) -> Column:
     return url.under(url.host_of(link), F.lit("sec.gov"))
 
 
+def is_annual_report(link: Column, title: Column, why: Column, origin: Column) -> Column:
+    """The filing service's own, or a link with a filing's number that names the form or is its main document."""
+    words = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (link, title, why)])
+    named = says(words, p.FORM_WORDS) | (F.regexp_extract(url.path_of(link), "(?i)" + p.INLINE_MAIN, 1) != "")
+    return F.coalesce(origin == "filing", F.lit(False)) | (accession(link).isNotNull() & named)
+
+
 def one_annual_report(candidates: DataFrame) -> DataFrame:
     """candidates(run_id, seq, url, title, why, origin) with `skipped`: full-submission files, and every annual report
     but the best: the filing service's own, then the registry's, then the newest; the first among equals."""
     path = url.path_of(F.col("url"))
-    words = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("url", "title", "why")])
     main = F.regexp_extract(path, "(?i)" + p.INLINE_MAIN, 1)
     c = candidates.withColumn("full", is_registry_host(F.col("url")) & says(path, p.FULL_SUBMISSION))
-    annual = ~F.col("full") & ((F.col("origin") == "filing") | (accession(F.col("url")).isNotNull() & (says(words, p.FORM_WORDS) | (main != ""))))
+    annual = ~F.col("full") & is_annual_report(*map(F.col, ("url", "title", "why", "origin")))
     order = F.struct((F.col("origin") == "filing").alias("a"), is_registry_host(F.col("url")).alias("b"), main.alias("c"), F.coalesce(accession(F.col("url")), F.lit("")).alias("d"), (-F.col("seq")).alias("e"))
     c = c.withColumns({"annual": annual, "best": F.max(F.when(annual, order)).over(Window.partitionBy("run_id")), "order": order})
     why = F.when(F.col("full"), "full submission").when(F.col("annual") & (F.col("order") != F.col("best")), "another annual report")

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factweir.functions import figures, kernels, text
+from factweir.functions import figures, kernels, letters, text
+from factweir.operators import evidence
 from factweir.shipping import ship
 
-#: Bounds of a quote and of its pieces around an ellipsis, in characters.
-LEAST, MOST, LEAST_SKELETON, LEAST_PIECE, MOST_GAP, MOST_SPAN = 20, 600, 14, 6, 400, 1200
+#: Quotes of one source that are sought together; a source with more of them is sent to as many tasks.
+TOGETHER = 1000
+#: Characters of the source on either side of a span that later checks read, by name.
+CUTS = {"row": 200, "near": 300, "around": 2500}
+#: Characters before and after the start of a quote where a table may state its scale.
+SCALE_BEFORE, SCALE_AFTER = 8000, 200
 #: How a unit is written near its number.
 UNIT_WORDS = {
     "MWh": ("mwh", "megawatt hour", "megawatt-hour", "megawatthour"), "GWh": ("gwh", "gigawatt hour", "gigawatt-hour", "gigawatthour"),
@@ -21,59 +29,62 @@ UNIT_WORDS = {
     "MW": ("mw", "megawatt"), "GW": ("gw", "gigawatt"), "kW": ("kw", "kilowatt"), "TW": ("tw", "terawatt"), "W": ("watt",),
     "USD": ("$", "usd", "dollar"), "USD_thousands": ("$", "usd", "thousand", "dollar"), "USD_millions": ("$", "usd", "million", "dollar"), "USD_billions": ("$", "usd", "billion", "dollar"),
 }
-_BETWEEN = r"[^\p{L}\p{N}]*"
-_BETWEEN_NOTES = r"[[^\p{L}\p{N}]¹²³⁴⁵⁶⁷⁸⁹]*"
 
 
-def _spaced(piece: Column, between: str) -> Column:
-    """An expression for the letters and digits of a piece with anything else between them."""
-    return F.regexp_replace(text.skeleton(piece), "(.)(?=.)", "$1" + between.replace("\\", "\\\\"))
+def locate_quotes(rows: DataFrame, sources: DataFrame, contexts: bool = False, together: int = TOGETHER) -> DataFrame:
+    """rows(source_id, quote, ...) with method, start (from 1), end and span: where the quote stands in
+    sources(source_id, text); null if it doesn't, is too short or long, or its source isn't there or is null.
 
-
-def _ends(quote: Column, core: Column) -> Column:
-    """`core` with the symbols that the quote itself begins and ends with, where the text has them."""
-    lead, tail = F.regexp_extract(quote, r"^\s*([^\p{L}\p{N}\s]+)", 1), F.regexp_extract(quote, r"([^\p{L}\p{N}\s]+)\s*$", 1)
-    held = lambda c: F.when(c == "", F.lit("")).otherwise(F.concat(F.lit(r"(?:\Q"), F.replace(c, F.lit(r"\E"), F.lit("")), F.lit(r"\E)?")))
-    return F.concat(F.lit("(?iu)"), held(lead), core, held(tail))
-
-
-def locate(quote: Column, source: Column) -> Column:
-    """struct(method, start, span): where the quote stands in the source, from 1; null if it doesn't or is too short.
-
-    exact: in normal form; loose: letter by letter; footnote: with footnote digits between; ellipsis: its pieces in
-    order with at most MOST_GAP characters between, MOST_SPAN in all. Dot leaders count as blanks. A quote that stands
-    in the source character by character is found there, at its first such place, without an expression of its own.
+    exact: in normal form; loose: letter by letter; footnote: without the digits of footnote marks; ellipsis: its
+    pieces in order. With `contexts` also what stands around the span (see CUTS) and before it. The index of a
+    source is built once for up to about `together` quotes; a source with more is split by a hash of the rows, so
+    none gathers in one task. Equal rows stay rows of their own; source_id is unique in `sources`.
     """
-    plain = F.regexp_replace(F.coalesce(quote, F.lit("")), r"(?:[.·] ?){4,}|(?: [.·]){3,}", " ")
-    parts = F.filter(F.split(plain, r"\[?(?:…|\.\.\.)\]?"), lambda x: F.regexp_like(x, F.lit(r"[\p{L}\p{N}]")))
-    fits = F.length(text.normal_text(quote)).between(LEAST, MOST)
-    return F.when(fits, _let(F.struct(plain.alias("plain"), parts.alias("parts")), lambda q: _located(q["plain"], q["parts"], source)))
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _located(plain: Column, parts: Column, source: Column) -> Column:
-    sizes = F.transform(parts, lambda x: F.length(text.skeleton(x)))
-    elided = F.forall(sizes, lambda n: n >= LEAST_PIECE) & (F.aggregate(sizes, F.lit(0), lambda a, n: a + n) >= LEAST_SKELETON)
-    whole = F.length(text.skeleton(plain)) >= LEAST_SKELETON
-    gap = F.concat(F.lit("(?s)"), F.array_join(F.transform(parts, lambda x: _spaced(x, _BETWEEN)), f".{{0,{MOST_GAP}}}?"))
-
-    def way(method: Column, core: Column, most: int | None = None) -> Column:
-        span = F.nullif(F.call_function("regexp_extract", source, _ends(plain, core), F.lit(0)), F.lit(""))
-        near = lambda s: s.isNotNull() if most is None else s.isNotNull() & (F.length(s) <= most)
-        return _let(span, lambda s: F.when(near(s), F.struct(method.alias("method"), F.instr(source, s).alias("start"), s.alias("span"))))
-
-    def verbatim(core: Column) -> Column:
-        found = F.struct(F.lit("exact").alias("method"), F.instr(source, core).alias("start"), core.alias("span"))
-        return F.when((core != "") & F.contains(source, core), found)
-
-    same = _let(F.regexp_extract(plain, r"(?s)[^\p{L}\p{N}\s]*[\p{L}\p{N}].*[\p{L}\p{N}][^\p{L}\p{N}\s]*", 0), verbatim)
-    exact = F.when(F.contains(text.normal_text(source), text.normal_text(plain)), "exact").otherwise("loose")
-    straight = F.coalesce(same, way(exact, _spaced(plain, _BETWEEN)), way(F.lit("footnote"), _spaced(plain, _BETWEEN_NOTES)))
-    return F.when((F.size(parts) == 1) & whole, straight).when((F.size(parts) > 1) & elided, way(F.lit("ellipsis"), gap, MOST_SPAN))
+    ship(rows.sparkSession)
+    names = rows.columns
+    every = F.struct(*[F.col(f"`{c}`") for c in names])
+    counts = rows.groupBy("source_id").agg(F.ceil(F.count(F.lit(1)) / together).alias("_blocks"))
+    block = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.col("_blocks"))
+    dealt = rows.join(counts, "source_id").groupBy("source_id", block.alias("_block")).agg(F.collect_list(every).alias("rows"))
+    found = dealt.join(sources.select("source_id", "text"), "source_id", "left").select("rows", "text")
+    asked = found.unionByName(rows.where("source_id IS NULL").select(F.array(every).alias("rows"), F.lit(None).cast("string").alias("text")))
+    quote_at, extra = names.index("quote"), [*CUTS, "before"] if contexts else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column(0).flatten()
+            quotes = iter(flat.field(quote_at).to_pylist())
+            out: list[tuple] = []
+            for n, body in zip(b.column(0).value_lengths().to_pylist(), b.column(1).to_pylist(), strict=True):
+                source = None if body is None else letters.Source(body)
+                for quote in (next(quotes) for _ in range(n)):
+                    at = source.find(quote) if source and quote else None
+                    if not at:
+                        out.append((None,) * (4 + len(extra)))
+                        continue
+                    method, start, end = at[0], int(at[1]), int(at[2])
+                    cuts = [body[max(0, start - k) : end + k] for k in CUTS.values()] + [body[max(0, start - SCALE_BEFORE) : start + SCALE_AFTER]] if contexts else []
+                    out.append((method, start + 1, end, body[start:end], *cuts))
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), *[pa.string()] * len(extra)]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*[flat.field(i) for i in range(len(names))], *columns], names=[*names, "method", "start", "end", "span", *extra])
+
+    made = T.StructType().add("method", "string").add("start", "integer").add("end", "integer").add("span", "string")
+    return asked.mapInArrow(run, T.StructType([*rows.schema.fields, *made.fields, *[T.StructField(n, T.StringType()) for n in extra]]))
+
+
+def quote_places(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """quote_id, source_id, method, start (from 1), end, span of every source of sources(source_id, text) that
+    holds a quote of quotes(quote_id, quote) letter by letter; texts are those that share the quote's anchor."""
+    pairs = evidence.candidate_sources(quotes, sources).join(quotes.select("quote_id", "quote"), "quote_id")
+    return locate_quotes(pairs.select("quote_id", "source_id", "quote"), sources).where("method IS NOT NULL").drop("quote")
+
+
+@F.pandas_udf(T.StructType([T.StructField("letters", T.StringType()), T.StructField("places", T.ArrayType(T.IntegerType()))]))
+def letter_index(text: pd.Series) -> pd.DataFrame:
+    """The index of a text: its letters and digits, and the place (from 1) of the character behind each."""
+    got = [letters.indexed(x or "") for x in text]
+    return pd.DataFrame({"letters": [a for a, _ in got], "places": [p + 1 for _, p in got]})
 
 
 def unit_present(unit: Column, around: Column) -> Column:
@@ -88,15 +99,11 @@ def verify_figures(rows: DataFrame, sources: DataFrame, current_year: int) -> Da
 
     rows(figure_id, source_id, metric_key, value, unit, factor, family, period_year, is_primary, quote), factor and
     family being null for an unknown unit; sources(source_id, text). Order: quote found; unit known; value in the quote
-    (times a table's scale for dollars); unit near; plausible; then the rules of `check_figure`. The checks cost far
-    more than a move of the figures, which are dealt over tasks before they meet their texts.
+    (times a table's scale for dollars); unit near; plausible; then the rules of `check_figure`. Texts stay with the
+    search for quotes; later checks read what it cut out around each.
     """
-    ship(rows.sparkSession)
-    r = rows.repartition("figure_id").join(sources.select("source_id", "text"), "source_id", "left")
-    r = r.select("*", F.explode(F.array(locate(F.col("quote"), F.col("text")))).alias("at"))  # located once, however often it is used
-    start, span = F.col("at.start"), F.coalesce("at.span", F.lit(""))
-    cut = lambda before, after: F.substring("text", F.greatest(start - before, F.lit(1)), F.least(start - 1, F.lit(before)) + F.length(span) + after)
-    r = r.withColumns({"row": cut(200, 200), "near": cut(300, 300), "around": cut(2500, 2500), "span": span, "scale": figures.table_scale(F.col("text"), start)})
+    r = locate_quotes(rows, sources, contexts=True)
+    r = r.withColumns({"span": F.coalesce("span", F.lit("")), "scale": figures.scale_in(F.col("before"))})
     r = r.withColumn("numbers", kernels.numbers_in("span"))
     money = F.col("metric_key").isin("capex", "revenue") & (F.col("unit") == "USD") & ~figures.has_inline_scale(F.col("quote"))
     direct = text.number_matches(F.col("numbers"), F.col("value"))
@@ -107,10 +114,10 @@ def verify_figures(rows: DataFrame, sources: DataFrame, current_year: int) -> Da
     verdict = figures.check_figure(F.col("metric_key"), F.col("quote"), F.col("period_year"), F.col("is_primary"), current_year, F.col("row"), figures.footnote_texts(F.col("quote"), F.col("around")))
     r = r.select("*", F.explode(F.array(verdict)).alias("verdict"))
     reason = (
-        F.when(F.col("at").isNull(), "quote not found")
+        F.when(F.col("method").isNull(), "quote not found")
         .when(F.col("factor").isNull(), "unit not supported")
         .when(~F.col("direct") & ~F.col("scaled"), "value not in the quote")
         .when(~(money & F.col("scale").isNotNull()) & ~unit_present(F.col("unit"), F.col("near")), "unit not near")
         .otherwise(F.coalesce(figures.implausible(F.col("metric_key"), F.col("si")), F.when(~F.col("verdict.ok"), F.col("verdict.reason"))))
     )
-    return r.select("figure_id", F.col("at.method").alias("method"), F.when(reason.isNull(), F.col("verdict.metric_key")).otherwise(F.col("metric_key")).alias("metric_key"), "si", reason.alias("reason"))
+    return r.select("figure_id", "method", F.when(reason.isNull(), F.col("verdict.metric_key")).otherwise(F.col("metric_key")).alias("metric_key"), "si", reason.alias("reason"))

@@ -12,6 +12,7 @@ from factweir.operators import excerpts as x
 from factweir.operators import measures as m
 from factweir.operators import quotes as qt
 from factweir.plans.query import Queries
+from factweir.shipping import ship
 from factweir.sources.derive import derived, with_sql
 from factweir.tables import table
 
@@ -45,18 +46,70 @@ def chunk_relevance(spark, sf_dir):
     return e.relevance(_chunks(spark, sf_dir)).select(F.col("source_id").alias("doc_id"), (F.col("relevance") * 100).cast("long").alias("relevance"))
 
 
+def _worth(body):
+    """Scores that invented prose has too: its numbers, and its distinct long words."""
+    words = F.array_distinct(F.regexp_extract_all(body, F.lit("[a-z]{10,}"), F.lit(0)))
+    return F.struct(F.regexp_count(body, F.lit("[0-9]+")).cast("double").alias("quant"), F.least(F.size(words), F.lit(10)).cast("double").alias("qual"))
+
+
+_WORTH = ", sc AS (SELECT doc_id, len(regexp_extract_all(b, '[0-9]+'))::double AS quant, least(len(list_distinct(regexp_extract_all(b, '[a-z]{10,}'))), 10)::double AS qual FROM (SELECT doc_id, substr(t, s + 1, e - s) AS b FROM c))"
+
+
 @Q.add("source_excerpts")
 def source_excerpts(spark, sf_dir):
-    return x.excerpts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"), 6000)
+    """What a reader of 6000 characters for each document gets."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("source_id"), "text")
+    wanted = docs.select("source_id", F.length("text").alias("length"), F.lit(6000).alias("budget"))
+    return x.choose(e.ranked_chunks(docs, x.chunk_size(6000), _worth), wanted)
 
 
-@Q.add("budget_shares")
-def budget_shares(spark, sf_dir):
+@Q.add("excerpt_retry")
+def excerpt_retry(spark, sf_dir):
+    """A second choice of small chunks for documents of which a first one of 1000 characters gave nothing."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("source_id"), "text")
+    wanted = docs.select("source_id", F.length("text").alias("length"), F.lit(1000).alias("budget"))
+    chunks = e.ranked_chunks(docs, x.chunk_size(1000), _worth)
+    return x.choose(chunks, wanted, x.choose(chunks, wanted))
+
+
+_RUN_SOURCES = r"""WITH s AS (SELECT doc_id // 25 AS run_id, doc_id AS source_id, length(coalesce(text, '')) AS length,
+  CASE doc_id % 7 WHEN 0 THEN 'https://www.sec.gov/a' WHEN 1 THEN 'https://x.com/Archives/000000000124000001/acme-20231231.htm' ELSE 'https://x.com/news' END AS url, CASE WHEN doc_id % 11 = 0 THEN 'filing' ELSE 'research' END AS origin FROM documents WHERE doc_id IS NOT NULL)"""
+
+
+def _run_sources(spark, sf_dir):
+    """Documents as sources of runs of 25, some of them filings by address or origin."""
+    i = F.col("doc_id")
+    link = F.when(i % 7 == 0, "https://www.sec.gov/a").when(i % 7 == 1, "https://x.com/Archives/000000000124000001/acme-20231231.htm").otherwise("https://x.com/news")
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
-    rel = e.relevance(_chunks(spark, sf_dir))
-    rows = docs.select((F.col("doc_id") % 40).alias("run_id"), F.col("doc_id").alias("source_id"), F.length("text").alias("length")).join(rel, "source_id", "left")
-    rows = rows.select("run_id", "source_id", F.coalesce("length", F.lit(0)).cast("long").alias("length"), F.coalesce("relevance", F.lit(0.0)).alias("relevance"), (F.col("source_id") % 5).cast("double").alias("qual"), F.when(F.col("source_id") % 9 == 0, 3000).alias("cap"))
-    return x.allocate(rows, total=64_000, per_source=20_000, qual_floor=4000)
+    return docs.select(F.floor(i / 25).alias("run_id"), i.alias("source_id"), F.length(F.coalesce("text", F.lit(""))).alias("length"), link.alias("url"), F.lit(None).cast("string").alias("final_url"), F.lit(None).cast("string").alias("title"), F.when(i % 11 == 0, "filing").otherwise("research").alias("origin"), "text")
+
+
+@Q.add("budget_shares", CHUNKS + _WORTH + """, a AS (SELECT doc_id, quant, qual, row_number() OVER (PARTITION BY doc_id ORDER BY quant DESC) AS nq, row_number() OVER (PARTITION BY doc_id ORDER BY qual DESC) AS nl FROM sc),
+r AS (SELECT doc_id, coalesce(sum(qual) FILTER (nl <= 8 AND qual > 0), 0) AS ql, coalesce(sum(quant) FILTER (nq <= 8 AND quant > 0), 0) + 2 * coalesce(sum(qual) FILTER (nl <= 8 AND qual > 0), 0) AS rel FROM a GROUP BY doc_id),
+""" + _RUN_SOURCES.removeprefix("WITH ") + r""",
+k AS (SELECT s.run_id, s.source_id, s.length, coalesce(r.ql, 0) AS ql, least(greatest(coalesce(r.rel, 0), 0), 300)::double AS rel, url LIKE 'https://www.sec.gov/%' OR origin = 'filing' OR url LIKE '%acme-20231231.htm' AS filing FROM s LEFT JOIN r ON r.doc_id = s.source_id),
+t AS (SELECT *, least(length, CASE WHEN filing THEN 8000 ELSE 20000 END) AS most, NOT filing AND ql > 0 AND row_number() OVER (PARTITION BY run_id, NOT filing AND ql > 0 ORDER BY ql DESC, source_id) <= 3 AS best FROM k),
+f AS (SELECT *, least(most, CASE WHEN best THEN 6000 ELSE 2500 END) AS base, most - least(most, CASE WHEN best THEN 6000 ELSE 2500 END) AS room, CASE WHEN rel > 0 THEN sqrt(rel) ELSE 1 END AS w, rel > 0 AS g FROM t),
+l AS (SELECT run_id, greatest(64000 - sum(base), 0) AS pot, coalesce(sum(room) FILTER (g), 0) AS wet FROM f GROUP BY run_id),
+pots AS (SELECT f.*, CASE WHEN g THEN pot ELSE greatest(pot - wet, 0) END AS pot FROM f JOIN l USING (run_id)),
+v AS (SELECT a.run_id, a.g, a.source_id, max(a.pot) AS pot, sum(least(b.room, b.w * (a.room / a.w))) AS held FROM pots a JOIN pots b ON a.run_id = b.run_id AND a.g = b.g GROUP BY a.run_id, a.g, a.source_id, a.room, a.w),
+full_ AS (SELECT pots.*, v.held <= pots.pot + 1e-6 AS filled FROM pots JOIN v USING (run_id, g, source_id)),
+lvl AS (SELECT run_id, g, (max(pot) - coalesce(sum(room) FILTER (filled), 0)) / nullif(sum(w) FILTER (NOT filled), 0) AS level FROM full_ GROUP BY run_id, g)
+SELECT run_id, source_id, cast(base + CASE WHEN filled THEN room ELSE least(room, floor(level * w + 1e-6)) END AS bigint) AS budget FROM full_ JOIN lvl USING (run_id, g)""")
+def budget_shares(spark, sf_dir):
+    s = _run_sources(spark, sf_dir)
+    chunks = e.ranked_chunks(s.select("source_id", "text"), scores=_worth)
+    s = s.drop("text").join(e.relevance(chunks), "source_id", "left").withColumn("qual", F.coalesce("qual", F.lit(0.0)))
+    return x.allocate(x.source_kinds(s), total=64_000, per_source=20_000, filing_most=8000, qual_floor=6000)
+
+
+@Q.add("claims_followup")
+def claims_followup(spark, sf_dir):
+    """Passages that are read again for claims in runs with too few, over whole documents."""
+    s = _run_sources(spark, sf_dir)
+    runs = s.groupBy("run_id").agg((F.min("source_id") % 5).alias("claims_verified"), (F.min("source_id") % 40 / 100).alias("cost"))
+    kinds = x.source_kinds(s.drop("text").withColumn("qual", F.lit(0.0)))
+    return x.claim_passages(e.ranked_chunks(s.select("source_id", "text"), scores=_worth), kinds, x.needs_claims(runs))
 
 
 _METRICS = ("energy_consumption", "electricity_consumption", "energy_generated", "energy_supplied", "datacenter_capacity_operating", "capex", "revenue")
@@ -98,16 +151,31 @@ def figure_semantics(spark, sf_dir):
     return v.select("figure_id", "v.metric_key", "v.reason")
 
 
-@Q.add("quote_spans", r"""WITH b AS (SELECT item_id, trim(regexp_replace(left(text, 300), '\s+', ' ', 'g')) AS a FROM benchmark),
-q AS (SELECT item_id, a, CASE item_id % 3 WHEN 0 THEN a WHEN 1 THEN replace(a, ' ', ' - ') ELSE left(a, 30) || ' ... ' || right(a, 30) END AS quote, item_id % 3 AS k FROM b)
-SELECT item_id, CASE WHEN length(regexp_replace(left(a, 30), '[^\p{L}\p{N}]+', '', 'g')) >= 14 THEN CASE k WHEN 0 THEN 'exact' WHEN 1 THEN CASE WHEN length(quote) <= 600 THEN 'loose' ELSE '' END ELSE 'ellipsis' END ELSE '?' END AS method FROM q""")
+_LETTERS = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+@Q.add("letter_places", r"""WITH c AS (SELECT doc_id, list_filter(list_transform(range(1, length(text) + 1), lambda i: {'i': i, 'c': substr(text, i, 1)}), lambda x: regexp_matches(x.c, '[\p{L}\p{N}]')) AS k FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))
+SELECT doc_id, len(k) AS n, md5(array_to_string(list_transform(k, lambda x: lower(x.c)), '')) AS letters, md5(array_to_string(list_transform(k, lambda x: x.i), ',')) AS places FROM c""")
+def letter_places(spark, sf_dir):
+    """The index of every whole text: how many letters and digits, which, and where each stands."""
+    ship(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", qt.letter_index(F.coalesce("text", F.lit(""))).alias("x"))
+    return d.select("doc_id", F.size("x.places").cast("long").alias("n"), F.md5("x.letters").alias("letters"), F.md5(F.array_join(F.col("x.places").cast("array<string>"), ",")).alias("places"))
+
+
+@Q.add("quote_spans", rf"""WITH q AS (SELECT item_id, text AS quote, {_LETTERS.format("text")} AS sk, trim(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' "''') AS norm FROM benchmark),
+d AS (SELECT doc_id, text, {_LETTERS.format("text")} AS tsk, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS tnorm FROM documents WHERE doc_id IS NOT NULL),
+hit AS (SELECT *, strpos(tsk, sk) AS k FROM q JOIN d ON contains(tsk, sk) WHERE length(norm) BETWEEN 20 AND 600 AND length(sk) >= 14),
+pos AS (SELECT doc_id, list_filter(range(1, length(text) + 1), lambda i: regexp_matches(substr(text, i, 1), '[\p{{L}}\p{{N}}]')) AS p FROM (SELECT DISTINCT doc_id, text FROM hit)),
+core AS (SELECT hit.*, p[k] AS a, p[k + length(sk) - 1] AS b FROM hit JOIN pos USING (doc_id)),
+wide AS (SELECT *, a - least(length(regexp_extract(trim(quote), '^[^\p{{L}}\p{{N}}\s]*')), length(regexp_extract(substr(text, 1, a - 1), '[^\p{{L}}\p{{N}}\s]*$'))) AS s,
+  b + least(length(regexp_extract(trim(quote), '[^\p{{L}}\p{{N}}\s]*$')), length(regexp_extract(substr(text, b + 1), '^[^\p{{L}}\p{{N}}\s]*'))) AS e FROM core)
+SELECT item_id, doc_id, CASE WHEN contains(tnorm, norm) THEN 'exact' ELSE 'loose' END AS method, s AS start, e AS "end", substr(text, s, e - s + 1) AS span FROM wide""")
 def quote_spans(spark, sf_dir):
-    a = F.trim(F.regexp_replace(F.left("text", F.lit(300)), r"\s+", " "))
-    i = F.col("item_id") % 3
-    q = table(spark, sf_dir, "benchmark").select("item_id", a.alias("a"))
-    quote = F.when(i == 0, F.col("a")).when(i == 1, F.replace("a", F.lit(" "), F.lit(" - "))).otherwise(F.concat(F.left("a", F.lit(30)), F.lit(" ... "), F.right("a", F.lit(30))))
-    at = qt.locate(quote, F.concat(F.lit("Earlier words. "), F.col("a"), F.lit(" Later words.")))
-    return q.select("item_id", F.coalesce(at["method"], F.lit("")).alias("method"))
+    """Where whole benchmark texts stand in whole documents, every pair of them."""
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    at = qt.quote_places(quotes, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+    return at.select(F.col("quote_id").alias("item_id"), F.col("source_id").alias("doc_id"), "method", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "span")
 
 
 @Q.add("figure_chain")

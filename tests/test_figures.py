@@ -6,7 +6,7 @@ import re
 import pytest
 from factweir.functions import figures as fg
 from factweir.functions import kernels
-from factweir.operators import evidence, excerpts, filings, quotes, records
+from factweir.operators import evidence, filings, quotes, records
 from pyspark.sql import functions as F
 
 
@@ -73,44 +73,6 @@ def test_future_capacity_sentences(spark):
     assert f("It is running 1.5 gigawatts.", 1500) is None
 
 
-@pytest.mark.parametrize(
-    ("quote", "source", "method", "span"),
-    [
-        ("We used 1,234 MWh of energy in 2023", "Intro. We used 1,234 MWh of energy in 2023. End", "exact", "We used 1,234 MWh of energy in 2023"),
-        ("we used 1,234 mwh of energy in 2023", "Intro. We  used\n1,234 MWh — of energy in 2023. End", "loose", "We  used\n1,234 MWh — of energy in 2023"),
-        ("Total capacity of 3 GW in operation", "x Total capacity¹ of 3 GW² in operation", "footnote", "Total capacity¹ of 3 GW² in operation"),
-        ("Purchases of property ..... (12,734) in all", "Purchases of property (12,734) in all", "exact", "Purchases of property (12,734) in all"),
-        ("The company used energy … and bought more power", "The company used energy for years, it says, and bought more power then", "ellipsis", "The company used energy for years, it says, and bought more power"),
-        ("The company used energy … and bought more power", "The company used energy " + "x " * 300 + "and bought more power", None, None),
-        ("The company used energy … tiny", "The company used energy tiny", None, None),
-        ("short quote", "short quote", None, None),
-        ("words that are nowhere in the text", "other words", None, None),
-    ],
-)
-def test_quote_location(spark, quote, source, method, span):
-    got = value(spark, quotes.locate(F.lit(quote), F.lit(source)))
-    if method is None:
-        assert got is None
-    else:
-        assert (got.method, got.span) == (method, span)
-        assert source[got.start - 1 :].startswith(span)
-
-
-def test_quote_location_never_loses_a_verbatim_quote(spark):
-    rng = random.Random(4)
-    words = ["energy", "(MWh)", "1,200", "größer", "a+b", "\\d", "[x]", "$5.2", "été", "—", "end."]
-    rows = []
-    for i in range(60):
-        text = " ".join(rng.choices(words, k=60))
-        at = rng.randrange(0, 120)
-        quote = text[at : at + rng.randint(60, 200)]
-        rows.append((i, quote, text))
-    got = spark.createDataFrame(rows, "i int, q string, t string").select("i", "q", quotes.locate(F.col("q"), F.col("t")).alias("at")).collect()
-    for r in got:
-        if len(re.sub(r"[\W_]+", "", r.q)) >= 20 and len(r.q) <= 600:
-            assert r.at is not None, r.q
-
-
 CHAIN = [
     # quote, text, metric, value, unit, factor, year, primary, reason
     ("total energy consumption was 1,200 MWh in 2023", "{}", "energy_consumption", 1200.0, "MWh", 3.6e9, 2023, True, None),
@@ -136,28 +98,6 @@ def test_figure_chain(spark):
     assert got[0].si == pytest.approx(1200 * 3.6e9) and got[6].si == pytest.approx(12339e6) and got[7].si == pytest.approx(12339e6)
 
 
-def test_excerpt_choice():
-    sizes = [1000] * 10
-    quant, qual = [0, 0, 12, 0, 0, 3, 0, 0, 0, 0], [0, 5, 0, 0, 0, 0, 0, 8, 0, 0]
-    assert excerpts.choose(sizes, quant, qual, 10_000) == list(range(10))
-    assert excerpts.choose(sizes, quant, qual, 5000) == [0, 2, 3, 7, 1] or excerpts.choose(sizes, quant, qual, 5000) == [0, 1, 2, 3, 7]
-    assert excerpts.choose(sizes, [0] * 10, [0] * 10, 3000) == [0, 1, 2]
-    rng = random.Random(1)
-    for _ in range(200):
-        n = rng.randint(1, 30)
-        sizes = [rng.randint(1, 1100) for _ in range(n)]
-        budget = rng.randint(500, 9000)
-        got = excerpts.choose(sizes, [rng.randint(-5, 20) for _ in range(n)], [rng.randint(-5, 9) for _ in range(n)], budget)
-        assert sum(sizes[i] for i in got) <= budget and got == sorted(set(got))
-
-
-def test_budget_shares():
-    assert excerpts.shares([1000, 500], [1, 1], [2000, 2000], [2500, 2500], 64_000) == [1000, 500]
-    got = excerpts.shares([20_000] * 3, [100, 400, 0], [20_000] * 3, [2500] * 3, 30_000)
-    assert sum(got) <= 30_000 and got[2] == 2500 and got[0] < got[1]
-    assert sum(excerpts.shares([9000] * 4, [0] * 4, [9000] * 4, [2500] * 4, 20_000)) == 20_000
-
-
 def test_similar_names_against_all_pairs(spark):
     rng = random.Random(7)
     words = ["photovoltaic", "widgets", "international", "energy", "grid", "nord", "solar", "x", "ab"]
