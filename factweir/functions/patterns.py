@@ -116,3 +116,21 @@ ACCESSION = r"(?:^|[^0-9])([0-9]{10}-?[0-9]{2}-?[0-9]{6})(?:[^0-9]|$)"
 FULL_SUBMISSION = r"^/Archives/edgar/data/[0-9]+/[0-9]{10}-[0-9]{2}-[0-9]{6}\.txt$"
 FORM_WORDS = r"\b(10-?k|20-?f|40-?f|annual report)\b"
 INLINE_MAIN = r"/[a-z][a-z0-9.]*-([0-9]{8})\.html?$"
+
+# Pages that stand in for others, links to reports, and data that pages carry beside their markup (S18, S20, S09).
+BLOCK_PAGE = (
+    r"access denied|you don.t have permission to access|errors\.edgesuite\.net|attention required|just a moment\.\.\.|checking your browser|cf-browser-verification|"
+    r"request rejected|pardon our interruption|are you a robot|captcha|temporarily offline|too many requests"
+)
+REPORT_LINK = (
+    r"impact|sustainab|\besg\b|climate|environment|responsib|\bcdp\b|\bghg\b|emission|carbon|energy|tcfd|\bgri\b|data[-_ ]?(?:appendix|table|sheet|pack)|kpi"
+)
+FULL_EDITION = r"extended|full|complete|data|appendix|kpi|metrics|disclosure"
+SUMMARY_EDITION = r"highlight|summary|brief|overview|executive|snapshot|infographic|fact[-_ ]?sheet"
+LINK_YEAR = r"(?<!\d)(20[0-4]\d)(?!\d)"
+SITE_WIDE_ISLAND = r"setting|config|site|i18n|locale|translation|\bnav|menu|footer|header|cookie|consent"
+NO_PROSE = r"^(?:https?:|/|data:|#)|\.(?:png|jpe?g|svg|webp|gif|js|css|woff2?)(?:\?|$)"
+COMPANY_ENTRY = r'href="(/Company/[a-z0-9\-]+)"[^>]*>\s*([^<]{2,200})<'
+RECENT_BLOCK = r'(?s)class="most_recent_content_block"(.*?)(?:<h2|class="archived_report|$)'
+RECENT_REPORT = r'href="(/Click/\d+)"[^>]*>\s*([^<]{0,120})<'
+ARCHIVED_REPORT = r'href="(/HostedData/ResponsibilityReportArchive/[^"]+?_(\d{4})\.pdf)"'

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factweir.functions import address
+
 
 def host_of(url: Column) -> Column:
     """Host, lower-cased, without user, port and a leading `www.`; empty if there is none."""
@@ -31,10 +33,48 @@ def under(host: Column, domain: Column) -> Column:
     return (host == domain) | F.endswith(host, F.concat(F.lit("."), domain))
 
 
+_NAMED_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([0-9]*))?(?:[/?#]|$)"
+
+
 def allowed_url(url: Column) -> Column:
-    """http or https to a public name or address: no local names, private ranges or odd ports."""
+    """http or https on its own port to a public name or address: no local names and no addresses that aren't public,
+    however they are written. What a name resolves to is checked by `admission`."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    port = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:]*:([0-9]+)", 1)
-    local = host.rlike(r"^(localhost|.*[.](local|internal|localhost)|127[.].*|10[.].*|192[.]168[.].*|169[.]254[.].*|172[.](1[6-9]|2[0-9]|3[01])[.].*|0[.].*)$")
-    return scheme.isin("http", "https") & (host != "") & ~local & port.isin("", "80", "443")
+    host, port = F.lower(F.regexp_extract(url, _NAMED_HOST, 1)), F.regexp_extract(url, _NAMED_HOST, 2)
+    local = host.rlike(r"^(localhost|.*[.](local|internal|localhost))$")
+    public = F.coalesce(address.is_public(host, loose=True), ~host.startswith("["))
+    return scheme.isin("http", "https") & (host != "") & ~local & public & (F.coalesce(port.try_cast("int"), F.when(port == "", 80)).isin(80, 443))
+
+
+def resolve(base: Column, link: Column) -> Column:
+    """The address that a link on a page of address `base` leads to, by RFC 3986, without its fragment.
+
+    The path of a link that names a scheme or a place is left as it is."""
+    part = lambda u, i: F.regexp_extract(u, r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(?:#.*)?$", i)
+    link, base = F.trim(F.coalesce(link, F.lit(""))), F.coalesce(base, F.lit(""))
+    scheme, place, path, query = (part(link, i) for i in (1, 2, 3, 4))
+    own, home, here, asked = (part(base, i) for i in (1, 2, 3, 4))
+    merged = F.when((home != "") & (here == ""), F.concat(F.lit("/"), path)).otherwise(F.concat(F.regexp_extract(here, "(?s)^(.*/)?", 0), path))
+    bare = (scheme == "") & (place == "")
+    way = F.when(~bare, path).when(path == "", here).otherwise(_without_dots(F.when(path.startswith("/"), path).otherwise(merged)))
+    out = F.concat(
+        F.when(scheme == "", F.when(own == "", own).otherwise(F.concat(own, F.lit(":")))).otherwise(F.concat(scheme, F.lit(":"))),
+        F.when(bare, home).otherwise(place),
+        way,
+        F.when(bare & (path == "") & (query == ""), asked).otherwise(query),
+    )
+    return out
+
+
+def _without_dots(path: Column) -> Column:
+    """Segments `.` go, `..` takes the one before along; a last one of these leaves a slash."""
+    segments = F.split(path, "/")
+    rooted = path.startswith("/")
+
+    def step(kept: Column, x: Column) -> Column:
+        bare = F.size(kept) - F.when(rooted, 1).otherwise(0)
+        return F.when(x == ".", kept).when(x == "..", F.when(bare > 0, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)).otherwise(F.concat(kept, F.array(x)))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    ended = F.element_at(segments, -1).isin(".", "..")
+    return F.when(~path.contains("."), path).otherwise(F.array_join(F.when(ended, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))

@@ -120,6 +120,30 @@ DERIVED = {
         SELECT o_orderkey AS run_id, o_orderdate AS queued_at, CASE WHEN o_orderkey % 3 = 0 THEN 'queued' ELSE 'succeeded' END AS status,
           CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderdate END AS next_attempt, o_orderkey % 6 AS attempt
         FROM orders""",
+    "hops": """
+        SELECT url, CASE page_id % 6 WHEN 0 THEN 'https://hub.example.com/all' WHEN 1 THEN concat('/moved/', CAST(page_id % 5 AS STRING)) WHEN 2 THEN concat('//other.example.org/', CAST(page_id % 4 AS STRING)) WHEN 3 THEN 'http://10.0.0.7/inner' ELSE NULL END AS location FROM pages
+        UNION ALL SELECT concat('https://hub.example.com/', CAST(page_id AS STRING)), concat('/', CAST(page_id + 1 AS STRING)) FROM pages WHERE page_id < 9
+        UNION ALL SELECT concat(scheme, '://other.example.org/', CAST(page_id AS STRING)), CASE page_id WHEN 0 THEN 'https://hub.example.com/6' WHEN 1 THEN 'https://hub.example.com/0' WHEN 2 THEN '/3' ELSE '/2' END FROM pages CROSS JOIN (SELECT 'http' AS scheme UNION ALL SELECT 'https') AS s WHERE page_id < 4
+        UNION ALL SELECT 'https://hub.example.com/all', 'https://hub.example.com/8' FROM pages WHERE page_id < 2""",
+    "addresses": """
+        SELECT o_orderkey AS id, o_orderkey % 2 AS six,
+          (o_orderkey * 7919) % 256 AS a, (o_orderkey * 104729) % 256 AS b, (o_orderkey * 1299709) % 256 AS c, o_orderkey % 256 AS d,
+          CASE o_orderkey % 9 WHEN 0 THEN '2001:db8' WHEN 1 THEN 'fe80:0' WHEN 2 THEN 'fd00:1' WHEN 3 THEN '2001:1' WHEN 4 THEN '64:ff9b' WHEN 5 THEN '2606:4700' WHEN 6 THEN '0:0' WHEN 7 THEN '2001:20' ELSE 'ff02:0' END AS head
+        FROM orders""",
+    "capture_answers": """
+        SELECT doc_id, concat('https://site.example/', CAST(doc_id AS STRING)) AS url, CASE WHEN doc_id % 13 = 5 THEN 503 ELSE 200 END AS status,
+          CASE doc_id % 8 WHEN 0 THEN '[]' WHEN 1 THEN 'down' WHEN 2 THEN '[["original","timestamp"],["u","20190102030405"],["u","bad"],["u","20210102030405"]]'
+            ELSE concat('[["timestamp","original"],["2018010203040', CAST(doc_id % 7 AS STRING), '","u"],["20190102030405","u"],["20200102030405","u"],["20210102030405","u"],["",null]]') END AS body
+        FROM documents WHERE doc_id IS NOT NULL""",
+    "capture_copies": """
+        SELECT concat('https://site.example/', CAST(doc_id AS STRING)) AS url, stamp, CASE WHEN doc_id % 11 = 3 AND stamp = '20200102030405' THEN 429 WHEN doc_id % 17 = 2 THEN 503 ELSE 200 END AS http,
+          CASE WHEN (doc_id + length(text)) % 3 = 0 THEN 'ok' ELSE 'thin' END AS status, CASE WHEN doc_id % 5 = 0 AND stamp = '20210102030405' THEN 'Access Denied' ELSE 'Report' END AS title, text
+        FROM documents CROSS JOIN (SELECT '20190102030405' AS stamp UNION ALL SELECT '20200102030405' UNION ALL SELECT '20210102030405') AS s WHERE doc_id IS NOT NULL""",
+    "link_pages": """
+        SELECT page_id, url, concat(html, '<p><a class="k" href="/files/impact-report-', CAST(2018 + page_id % 6 AS STRING), '.pdf#p2">Impact  report <b>', CASE WHEN page_id % 3 = 0 THEN 'highlights' ELSE 'extended' END, '</b></a>',
+          '<A HREF=''https://cdn.example.org/esg-data-', CAST(2019 + page_id % 5 AS STRING), '.PDF?v=1&amp;x=2''>Data appendix</A><a href="#top">ESG energy</a><a href="mailto:a@b.c">energy</a><a href="/files/menu.pdf">Lunch</a>',
+          '<a href="/files/climate.pdf">Climate ', CASE WHEN page_id % 4 = 0 THEN 'overview 2022' ELSE 'figures' END, '</a><a href="/files/climate.pdf">again, energy</a><a href="/energy.html">Energy 2023</a>') AS html
+        FROM pages WHERE url NOT LIKE '%[%'""",
 }
 
 
