@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from factweir.functions import address
+from factweir.functions import address, markup
 from factweir.functions import patterns as p
 from factweir.operators import web as w
 from factweir.plans.query import Queries
+from factweir.shipping import ship
 from factweir.sources.derive import derived, with_sql
 from factweir.tables import table
 
@@ -146,4 +147,27 @@ def resolved_hosts(spark, sf_dir):
     return w.admission(pages, resolved).select(F.col("id").alias("page_id"), "refused")
 
 
+@Q.add("page_text", r"""WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages),
+u AS (SELECT page_id, replace(replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '&quot;', '"'), '&amp;', '&') AS title, replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM b)
+SELECT page_id, md5(title) AS title, length(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS n, md5(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS body FROM u""")
+def page_text(spark, sf_dir):
+    """Titles and visible text of whole pages, read in one pass."""
+    ship(spark)
+    v = table(spark, sf_dir, "pages").select("page_id", markup.visible_text("html").alias("v"))
+    return v.select("page_id", F.md5("v.title").alias("title"), F.length("v.text").cast("long").alias("n"), F.md5("v.text").alias("body"))
+
+
+@Q.add("decoded_bodies", "SELECT doc_id, md5(text) AS body FROM documents WHERE text IS NOT NULL")
+def decoded_bodies(spark, sf_dir):
+    """Whole texts through five encodings, told by a byte order mark, a header, the markup or nothing, and back."""
+    ship(spark)
+    t, k = F.col("text"), F.pmod("doc_id", F.lit(5))
+    wide = lambda x, mark, name: F.concat(F.lit(mark), F.encode(x, name))
+    meta = F.concat(F.lit('<meta content="text/html; charset=utf-16be">').cast("binary"), F.encode(t, "UTF-8"))
+    body = F.when(k == 0, wide(t, bytearray(b"\xff\xfe"), "UTF-16LE")).when(k == 1, wide(t, bytearray(b"\xef\xbb\xbf"), "UTF-8")).when(k == 2, F.encode(t, "UTF-16BE")).when(k == 3, meta).otherwise(F.encode(t, "UTF-8"))
+    kind = F.when(k == 2, 'text/plain; charset="utf-16be"').when(k == 3, "text/html; charset=utf-8").when(k == 4, "text/plain; charset=no-such")
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", k.alias("k"), markup.decoded_text(body, kind).alias("t"))
+    return d.select("doc_id", F.md5(F.when(F.col("k") == 3, F.regexp_replace("t", "^<meta[^>]*>", "")).otherwise(F.col("t"))).alias("body"))
+
+
 QUERIES, ORACLE = Q.functions, Q.sql
