@@ -189,25 +189,44 @@ def figure_chain(spark, sf_dir):
     return qt.verify_figures(rows, rows.groupBy("source_id").agg(F.max(found).alias("text")), 2000)
 
 
-@Q.add("table_scales", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE -1 END AS factor FROM documents")
+@Q.add("table_scales", rf"""WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '(in millions) (In Thousands) ' WHEN 1 THEN 'amounts in millions: ' ELSE '' END || text AS t FROM documents WHERE text IS NOT NULL), a AS (SELECT *, length(t) // 2 + 1 AS k FROM d),
+w AS (SELECT doc_id, lower(regexp_extract_all(substr(t, greatest(k - 8000, 1), k + 200 - greatest(k - 8000, 1)), '(?i){p.TABLE_SCALE}', 1)[-1]) AS word FROM a)
+SELECT doc_id, CASE word WHEN 'thousands' THEN 1000 WHEN 'millions' THEN 1000000 WHEN 'billions' THEN 1000000000 ELSE -1 END AS factor FROM w""")
 def table_scales(spark, sf_dir):
+    """The scale that holds in the middle of whole documents, stated at their start if it is near enough."""
     i = F.col("doc_id") % 3
-    t = F.concat(F.when(i == 0, "(in millions) (In Thousands) ").when(i == 1, "amounts in millions: ").otherwise("in metres "), F.left("text", F.lit(50)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(fg.table_scale(t, F.lit(40)).cast("long"), F.lit(-1)).alias("factor"))
+    t = F.concat(F.when(i == 0, "(in millions) (In Thousands) ").when(i == 1, "amounts in millions: ").otherwise(""), F.col("text"))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", t.alias("t"))
+    middle = F.floor(F.length("t") / 2).cast("int") + 1
+    return d.select("doc_id", F.coalesce(fg.table_scale(F.col("t"), middle).cast("long"), F.lit(-1)).alias("factor"))
 
 
-@Q.add("future_sentences", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'The site runs on ' || p_size || ' MW planned. Staff is content.' ELSE 'Staff is content.' END AS kept FROM part")
+_CLAIMS = ("It operates 3 GW today.", "A further 3 GW is planned by 2027, operating later.", "The 3,000 MW plant is running.", "Others are operating 30 GW now.")
+
+
+@Q.add("future_sentences", rf"""WITH d AS (SELECT doc_id, trim(text || '. ' || [{', '.join(f"'{c}'" for c in _CLAIMS)}][cast(doc_id % 4 + 1 AS integer)] || ' ' || text, E' \t\n\r\x0B\f') AS t FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, unnest(string_split(r, chr(1))) AS s, generate_subscripts(string_split(r, chr(1)), 1) AS i FROM (SELECT doc_id, regexp_replace(t, '([.!?])[ \t\n\r\x0B\f]+', '\1' || chr(1), 'g') AS r FROM d)),
+k AS (SELECT *, regexp_matches(s, '(?i){p.OPERATING}') AND (regexp_matches(s, '(?i)(^|[^0-9.])3\s*(GW|gigawatts?)\b') AND NOT regexp_matches(s, '(?is)({p.PLANNED_NEAR}.{{0,20}}(^|[^0-9.])3\s*(GW|gigawatts?)\b|(^|[^0-9.])3\s*(GW|gigawatts?)\b.{{0,25}}{p.PLANNED_NEAR})')
+  OR regexp_matches(s, '(?i)(^|[^0-9.])3,?000\s*(MW|megawatts?)\b')) AS gone FROM s)
+SELECT doc_id, coalesce(md5(nullif(trim(string_agg(s, ' ' ORDER BY i) FILTER (NOT gone)), '')), '') AS kept, count(*) FILTER (gone) AS n FROM k GROUP BY doc_id""")
 def future_sentences(spark, sf_dir):
-    size = F.col("p_size").cast("string")
-    said = F.concat(F.lit("The site runs on "), size, F.when(F.col("p_size") % 2 == 0, " MW planned.").otherwise(" MW operating today."), F.lit(" Staff is content."))
-    said = F.regexp_replace(said, "runs on ([0-9]+ MW planned)", "runs on $1")
-    return table(spark, sf_dir, "part").select("p_partkey", fg.without_future(said, F.array(F.col("p_size").cast("double"))).alias("kept"))
+    """Whole documents around a sentence on 3 GW, which goes where it calls planned capacity running."""
+    said = F.element_at(F.array(*[F.lit(c) for c in _CLAIMS]), (F.col("doc_id") % 4 + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.col("text"), F.lit(". "), said, F.lit(" "), F.col("text")).alias("t"))
+    kept = fg.without_future(F.col("t"), F.array(F.lit(3000.0)))
+    count = lambda t: F.size(F.split(F.trim(t), r"(?<=[.!?])\s+"))
+    d = d.select("doc_id", "t", kept.alias("k"))
+    return d.select("doc_id", F.coalesce(F.md5("k"), F.lit("")).alias("kept"), (count(F.col("t")) - count(F.col("k"))).cast("long").alias("n"))
 
 
-@Q.add("unit_words", "SELECT s_suppkey, s_suppkey % 2 = 0 AS hit FROM supplier")
+@Q.add("unit_words", r"""WITH d AS (SELECT doc_id, lower(CASE doc_id % 4 WHEN 0 THEN 'used 5 Gigawatt-hours. ' WHEN 1 THEN 'used 5 agwhx. ' WHEN 2 THEN 'in $ and 7GWh ' ELSE '' END || text) AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, regexp_matches(t, '(^|[^a-z])(gwh|gigawatt hour|gigawatt-hour|gigawatthour)') AS gwh, regexp_matches(t, '(^|[^a-z])(\$|usd|dollar)') AS usd, regexp_matches(t, '(^|[^a-z])w') AS other FROM d""")
 def unit_words(spark, sf_dir):
-    around = F.when(F.col("s_suppkey") % 2 == 0, "used 5 Gigawatt-hours in all").otherwise("used 5 agwhx in all")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", qt.unit_present(F.lit("GWh"), around).alias("hit"))
+    """Units sought in whole documents, one of them as it was written."""
+    i = F.col("doc_id") % 4
+    around = F.concat(F.when(i == 0, "used 5 Gigawatt-hours. ").when(i == 1, "used 5 agwhx. ").when(i == 2, "in $ and 7GWh ").otherwise(""), F.col("text"))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", around.alias("a"))
+    return d.select("doc_id", *[qt.unit_present(F.lit(u), F.col("a")).alias(n) for u, n in (("GWh", "gwh"), ("USD", "usd"), ("w", "other"))])
 
 
 @Q.add("full_normal_text")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from factweir.plans import figure_queries, measure_queries, record_queries, run_queries, text_queries, traffic_queries, web_queries
+from factweir.plans import figure_queries, measure_queries, record_queries, run_queries, service_queries, text_queries, traffic_queries, web_queries
 
 FLAGSHIP = "leaderboard"
 
-_MODULES = (run_queries, traffic_queries, measure_queries, text_queries, figure_queries, record_queries, web_queries)
+_MODULES = (run_queries, traffic_queries, measure_queries, text_queries, figure_queries, record_queries, web_queries, service_queries)
 
 
 def queries() -> dict[str, Callable]:

@@ -109,7 +109,7 @@ DERIVED = {
           concat('[E', CAST(l_partkey % 6 AS STRING), ']') AS ref
         FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber) AS li""",
     "evidence": """
-        SELECT doc_id AS evidence_id, doc_id % 40 AS run_id, concat(left(text, 40), CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE ' ' END, 'end') AS quote, concat('d', CAST(doc_id % 3 AS STRING)) AS domain,
+        SELECT doc_id AS evidence_id, doc_id % 40 AS run_id, concat(text, CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE ' ' END, 'end') AS quote, concat('d', CAST(doc_id % 3 AS STRING)) AS domain,
           doc_id % 4 <> 0 AS verified, CASE doc_id % 5 WHEN 0 THEN 'unit not near' WHEN 1 THEN 'forecast' ELSE NULL END AS reason, doc_id % 10 AS claim_start
         FROM documents""",
     "judged": """
