@@ -16,8 +16,8 @@ from factweir.llm.common import SPACE_CHARS, pick
 
 SYMBOLS = "#*$%&|<>"
 
-#: Phrases of page furniture in English, German, Spanish and French. A line of at most
-#: FURNITURE_WORDS words that holds one is boilerplate; a longer one that mentions it is prose.
+#: Phrases of page furniture in English, German, Spanish and French. A line is boilerplate if such phrases
+#: make up a quarter of its words or more; one that mentions them among others is prose.
 BOILERPLATE = (
     "accept all cookies", "accept cookies", "add to cart", "all rights reserved", "click here to", "cookie policy", "cookie settings", "enable javascript",
     "javascript is disabled", "javascript is required", "lorem ipsum", "page not found", "privacy policy", "sign up for our newsletter", "skip to content",
@@ -30,9 +30,10 @@ BOILERPLATE = (
     "abonnez-vous à notre newsletter", "accepter les cookies", "ajouter au panier", "aller au contenu", "cliquez ici", "conditions d'utilisation",
     "mentions légales", "nous utilisons des cookies", "politique de confidentialité", "tous droits réservés",
 )
-FURNITURE_WORDS = 30
+FURNITURE_SHARE = 4
 
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
+_WORD = r"[\p{L}\p{N}]+"
 
 
 def words_of(text: Column) -> Column:
@@ -48,10 +49,12 @@ def line_failure(line: Column) -> Column:
     """
     n_words = F.regexp_count(line, F.lit(f"{_NOT_SPACE}+"))
     bars = F.regexp_count(line, F.lit(r"(?<!\S)[|>•·](?!\S)"))
+    phrases, plain = F.lit("(?iu)" + "|".join(BOILERPLATE)), F.regexp_count(line, F.lit(_WORD))
+    other = F.regexp_count(F.call_function("regexp_replace", line, phrases, F.lit(" ")), F.lit(_WORD))
     marked = F.regexp_count(line, F.lit(r"(?:[#*$%&]{2,}|!{2,})[.,]?(?!\S)"))
     return (
         F.when((bars >= 3) | ((bars >= 1) & (3 * bars >= n_words)), "navigation")
-        .when((n_words <= FURNITURE_WORDS) & F.regexp_like(line, F.lit("(?iu)" + "|".join(BOILERPLATE))), "boilerplate")
+        .when(F.regexp_like(line, phrases) & (FURNITURE_SHARE * (plain - other) >= plain), "boilerplate")
         .when((marked >= 1) & (2 * marked >= n_words), "punctuation")
     )
 

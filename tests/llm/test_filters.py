@@ -137,3 +137,11 @@ def test_empty_and_null_pages(spark):
     got = url_filter.judge_urls(spark.createDataFrame([(None, None)], "page_id long, url string"), rules).first()
     assert (got.host, got.path, got.rule, got.verdict) == ("", "", None, "allow")
     assert url_filter.judge_urls(pages(spark, ["http://x.net/es/"]), rules.where(F.lit(False))).first().verdict == "allow"
+
+
+def test_prose_that_mentions_a_phrase_stays(spark):
+    line = "The harbour committee met in the old hall and spoke for hours about the quay, the boats and the weather; we revised our privacy policy last year"
+    rows = [(1, "\n".join(f"{line} {i}" for i in range(6))), (2, "\n".join(["All rights reserved. Privacy policy"] * 3 + [f"{line} {i}" for i in range(6)]))]
+    got = {r.doc_id: r for r in quality_rules.clean_lines(docs(spark, rows)).collect()}
+    assert got[1].lost_lines == 0 and got[1].clean_text == rows[0][1]
+    assert got[2].lost_lines == 3
