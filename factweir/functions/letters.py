@@ -25,8 +25,7 @@ AFTER_NOTE, BEFORE_NOTE = ".,;:)", ".,;:)”\"'"
 
 _UNIFIED = str.maketrans({c: k for k, v in TYPOGRAPHY.items() for c in v} | dict.fromkeys(VANISHING))
 _ASCII = np.array([chr(i).isalnum() for i in range(128)])
-_NO_ASCII_LETTER = re.compile("[^0-9a-z]+")
-_BLANKS = re.compile(r"\s+")
+_NO_LETTERS = bytes(i for i in range(128) if not chr(i).isalnum())
 _ELISION, _LEADERS = re.compile(ELISION), re.compile(LEADERS)
 
 
@@ -34,7 +33,7 @@ def normal(text: str) -> str:
     """Compatibility composition, typographic characters unified, white space collapsed, trimmed, lower case."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text).translate(_UNIFIED)
-    return _BLANKS.sub(" ", text).strip().lower()
+    return " ".join(text.lower().split())
 
 
 @lru_cache(maxsize=1 << 16)
@@ -45,10 +44,17 @@ def letters_of(char: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", char).lower() if c.isalnum())
 
 
+def plain_letters(text: str) -> str:
+    """Letters and digits of a text, lower case."""
+    if text.isascii():
+        return text.lower().encode().translate(None, _NO_LETTERS).decode()
+    return indexed(text)[0]
+
+
 def indexed(text: str) -> tuple[str, np.ndarray]:
     """Letters and digits of a text, lower case, and the place (from 0) of the character that each comes from."""
     if text.isascii():
-        return _NO_ASCII_LETTER.sub("", text.lower()), np.flatnonzero(_ASCII[np.frombuffer(text.encode(), np.uint8)]).astype(np.int32)
+        return plain_letters(text), np.flatnonzero(_ASCII[np.frombuffer(text.encode(), np.uint8)]).astype(np.int32)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kinds, which = np.unique(points, return_inverse=True)
     folded = [letters_of(chr(k)) for k in kinds]
@@ -91,6 +97,10 @@ class Source:
     def normal(self) -> str:
         return normal(self.text)
 
+    @cached_property
+    def letters(self) -> str:
+        return plain_letters(self.text) if self.text.isascii() else self.index[0]
+
     @cached_property
     def index(self) -> tuple[str, np.ndarray]:
         return indexed(self.text)
@@ -120,7 +130,7 @@ class Source:
 
     def elided(self, pieces: list[str]) -> tuple[int, int] | None:
         """The first place where all pieces follow each other, each the next one found within the gap."""
-        wanted = [indexed(p)[0] for p in pieces]
+        wanted = [plain_letters(p) for p in pieces]
         if min(map(len, wanted)) < LEAST_PIECE or sum(map(len, wanted)) < LEAST_SKELETON:
             return None
         letters, places = self.index
@@ -145,15 +155,15 @@ class Source:
         if not LEAST <= len(plain) <= MOST:
             return None
         quote = _LEADERS.sub(" ", quote)
-        pieces = [p for p in _ELISION.split(quote) if indexed(p)[0]] if "." in quote or "…" in quote else []
+        pieces = [p for p in _ELISION.split(quote) if plain_letters(p)] if "." in quote or "…" in quote else []
         if len(pieces) > 1 and (at := self.elided(pieces)):
             return "ellipsis", *at
-        wanted = indexed(quote)[0]
+        wanted = plain_letters(quote)
         if len(wanted) < LEAST_SKELETON:
             return None
-        for index, method in ((self.index, None), (self.without_notes, "footnote")) if self.index[0].find(wanted) < 0 else ((self.index, None),):
-            at = index[0].find(wanted) if index else -1
-            if at >= 0:
-                how = method or ("exact" if plain in self.normal else "loose")
-                return how, *self.span(index[1][at], index[1][at + len(wanted) - 1], quote, quote)
-        return None
+        at, index, method = self.letters.find(wanted), None, "footnote"
+        if at >= 0:
+            index, method = self.index, "exact" if plain in self.normal else "loose"
+        elif index := self.without_notes:
+            at = index[0].find(wanted)
+        return (method, *self.span(index[1][at], index[1][at + len(wanted) - 1], quote, quote)) if at >= 0 else None
