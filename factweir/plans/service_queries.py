@@ -18,6 +18,7 @@ from factweir.sources.derive import NOW, derived, with_sql
 from factweir.tables import table
 
 Q = Queries()
+_EARLY = "TIMESTAMP '1996-01-01 00:00:00'"
 
 
 @Q.add("new_candidates", with_sql("links", "source_docs") + f""", f AS (SELECT run_id, candidate_id AS seq, url, {_NORMAL} AS n FROM links WHERE url IS NOT NULL), k AS (SELECT DISTINCT run_id, {_NORMAL} AS n FROM (SELECT run_id, url FROM links WHERE candidate_id % 4 = 0)),
@@ -28,9 +29,9 @@ def new_candidates(spark, sf_dir):
     return v.new_candidates(links.select("run_id", F.col("candidate_id").alias("seq"), "url"), links.where("candidate_id % 4 = 0").select("run_id", "url"))
 
 
-@Q.add("recent_sources", with_sql("source_docs", "runs") + f"SELECT source_id, s.run_id, company_id FROM source_docs s JOIN runs r ON r.run_id = s.run_id WHERE origin <> 'edgar' AND finished_at >= {_SINCE}")
+@Q.add("recent_sources", with_sql("source_docs", "runs") + f"SELECT source_id, s.run_id, company_id FROM source_docs s JOIN runs r ON r.run_id = s.run_id WHERE origin <> 'edgar' AND finished_at >= {_EARLY}")
 def recent_sources(spark, sf_dir):
-    return v.recent_sources(derived(spark, sf_dir, "source_docs"), derived(spark, sf_dir, "runs"), F.expr(_SINCE)).select("source_id", "run_id", "company_id")
+    return v.recent_sources(derived(spark, sf_dir, "source_docs"), derived(spark, sf_dir, "runs"), F.expr(_EARLY)).select("source_id", "run_id", "company_id")
 
 
 @Q.add("run_links", RUNS + """, h AS (SELECT pb.company_id, pb.current_run, pb.run_id, row_number() OVER (PARTITION BY pb.company_id ORDER BY finished_at, pb.run_id) AS ordinal FROM pb JOIN st USING (run_id) WHERE pb.run_id = current_run OR NOT (coalesce(coverage, 0) = 0 AND index_score IS NULL))
@@ -43,7 +44,7 @@ def run_links(spark, sf_dir):
 _WAITING = "CASE WHEN run_id % 2 = 0 THEN finished_at + INTERVAL 400 DAY END"
 
 
-@Q.add("run_requests", with_sql("runs") + f""", a AS (SELECT company_id, max(run_id) AS run_id, arg_max(status, run_id) AS status, arg_max({_WAITING}, run_id) AS next_attempt FROM runs WHERE status IN ('queued', 'running') GROUP BY company_id),
+@Q.add("run_requests", with_sql("runs") + f""", a AS (SELECT company_id, max(run_id) AS run_id, arg_max(status, run_id) AS status, arg_max({{'n': {_WAITING}}}, run_id).n AS next_attempt FROM runs WHERE status IN ('queued', 'running') GROUP BY company_id),
 q AS (SELECT c_custkey * 2 + k AS request_id, c_custkey AS company_id, CASE (c_custkey + k) % 3 WHEN 0 THEN 'sweep' WHEN 1 THEN 'manual' END AS trig FROM customer, (VALUES (0), (1)) t(k)),
 j AS (SELECT q.*, a.run_id, a.company_id IS NULL AS free, coalesce(a.status = 'queued' AND next_attempt > {NOW} AND coalesce(trig, '') NOT IN ('sweep', 'auto_sweep', 'energy_retry'), false) AS waits FROM q LEFT JOIN a USING (company_id)),
 n AS (SELECT *, row_number() OVER (PARTITION BY company_id, free OR waits ORDER BY request_id) AS turn FROM j)
