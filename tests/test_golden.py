@@ -93,7 +93,7 @@ def test_names_and_numbers(spark):
     assert kernels.indel("abcd", "abxd") == 75.0 and kernels.indel("", "") == 100.0
     assert kernels.token_set("alpha beta", "beta gamma alpha") == 100.0
     assert kernels.numbers("1,053,479 815,864") == [1053479.0, 815864.0]
-    assert kernels.numbers("about 4.2 billion and 1 053 479") == [4.2, 4.2e9, 1053479.0]
+    assert kernels.numbers("about 4.2 billion and 1 053 479") == [1053479.0, 4.2, 4.2e9, 1.0, 53.0, 479.0]  # grouped readings first, and each plain cell
     assert value(spark, text.number_matches(text.plain_numbers(F.lit("1,004 of 7")), F.lit(1000.0)))
     words = "word " * 1000
     spans = kernels.chunk_spans(words)
