@@ -83,7 +83,7 @@ l AS (SELECT r, i, line FROM (SELECT r, unnest(string_split(t, chr(10))) AS line
 m AS (SELECT r, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw,
         len(list_filter(regexp_extract_all(line, '[^ \t\n\r\f\x0B]+'), lambda x: x IN ('|', '>', '•', '·'))) AS bars,
         len(list_filter(regexp_extract_all(line, '[^ \t\n\r\f\x0B]+'), lambda x: regexp_matches(x, '([#*$%&]{{2,}}|!{{2,}})[.,]?$'))) AS marked FROM l),
-j AS (SELECT r, i, line, bars >= 3 OR (bars >= 1 AND 3 * bars >= nw) OR (regexp_matches(line, '(?i){furniture}') AND 4 * (len(regexp_extract_all(line, '[\p{{L}}\p{{N}}]+')) - len(regexp_extract_all(regexp_replace(line, '{furniture}', ' ', 'gi'), '[\p{{L}}\p{{N}}]+'))) >= len(regexp_extract_all(line, '[\p{{L}}\p{{N}}]+')))
+j AS (SELECT r, i, line, bars >= 3 OR (bars >= 1 AND 3 * bars >= nw) OR (regexp_matches(lower(line), '{furniture}') AND 4 * (len(regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}]+')) - len(regexp_extract_all(regexp_replace(lower(line), '{furniture}', ' ', 'g'), '[\p{{L}}\p{{N}}]+'))) >= len(regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}]+')))
         OR (marked >= 1 AND 2 * marked >= nw) AS bad FROM m),
 s AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (bad) AS lost_lines,
         coalesce(sum(length(line)) FILTER (bad), 0) AS lost_chars, sum(length(line)) AS all_chars,

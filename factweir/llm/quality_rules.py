@@ -9,6 +9,8 @@ nor kept in the cleaned text; rows are independent, so repeated rows and null id
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,13 @@ BOILERPLATE = (
 )
 FURNITURE_SHARE = 4
 
+
+def _keys() -> list[str]:
+    """Words of which a text with a phrase holds one: the longest of each phrase, without those that hold another."""
+    longest = {max(p.split(), key=len) for p in BOILERPLATE}
+    return sorted(k for k in longest if not any(o != k and o in k for o in longest))
+
+
 _NOT_SPACE = r"[^\x20\x09-\x0D]"
 _WORD = r"[\p{L}\p{N}]+"
 
@@ -41,7 +50,7 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def line_failure(line: Column) -> Column:
+def line_failure(line: Column, maybe: Column | None = None) -> Column:
     """Why a line fails: navigation, boilerplate or punctuation; null if it passes.
 
     Navigation: three separators ` | ` or more, or at least one and every third word. Punctuation: half the
@@ -49,16 +58,23 @@ def line_failure(line: Column) -> Column:
     """
     n_words = F.regexp_count(line, F.lit(f"{_NOT_SPACE}+"))
     bars = F.regexp_count(line, F.lit(r"(?<!\S)[|>•·](?!\S)"))
-    phrases, plain = F.lit("(?iu)" + "|".join(BOILERPLATE)), F.regexp_count(line, F.lit(_WORD))
-    other = F.regexp_count(F.call_function("regexp_replace", line, phrases, F.lit(" ")), F.lit(_WORD))
+    phrases, low = F.lit("|".join(BOILERPLATE)), F.lower(line)
+    plain = F.regexp_count(low, F.lit(_WORD))
+    other = F.regexp_count(F.call_function("regexp_replace", low, phrases, F.lit(" ")), F.lit(_WORD))
+    maybe = F.lit(True) if maybe is None else maybe
     marked = F.regexp_count(line, F.lit(r"(?:[#*$%&]{2,}|!{2,})[.,]?(?!\S)"))
     return (
         F.when((bars >= 3) | ((bars >= 1) & (3 * bars >= n_words)), "navigation")
-        .when(F.regexp_like(line, phrases) & (FURNITURE_SHARE * (plain - other) >= plain), "boilerplate")
+        .when(maybe & F.regexp_like(low, phrases) & (FURNITURE_SHARE * (plain - other) >= plain), "boilerplate")
         .when((marked >= 1) & (2 * marked >= n_words), "punctuation")
     )
 
 
+def may_hold_phrase(text: Column) -> Column:
+    """Whether a text in lower case holds one of the words that a phrase of page furniture can't do without."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in _keys()])
+
+
 def _repeated_words(grams: Column, n_words: Column) -> Column:
     """Words inside 3-word windows that come twice or more.
 
@@ -85,9 +101,11 @@ def clean_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     base_failed, and failing lines hold at most max_lost percent of the characters of lines with a word.
     """
     base = pick(docs, id_column, text_column).toDF("id", "t").withColumn("t", F.coalesce("t", F.lit("")))
+    base = base.withColumn("low", F.lower("t"))
     step = base.select(
         "id",
         "t",
+        may_hold_phrase(F.col("low")).alias("maybe"),
         words_of(F.col("t")).alias("words"),
         F.filter(F.split("t", "\n"), lambda x: F.regexp_like(x, F.lit(_NOT_SPACE))).alias("lines"),
     )
@@ -99,7 +117,7 @@ def clean_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         F.regexp_count("t", F.lit(f"[{SYMBOLS}]")).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.sort_array(grams).alias("grams"),
-        F.transform("lines", lambda x: F.struct(x.alias("line"), line_failure(x).alias("why"))).alias("lines"),
+        F.transform("lines", lambda x: F.struct(x.alias("line"), line_failure(x, F.col("maybe")).alias("why"))).alias("lines"),
     )
     chars = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x["line"]))
     step = step.select(
