@@ -24,7 +24,7 @@ CHUNKS = r"""WITH RECURSIVE c(doc_id, i, t, s, e) AS (
   SELECT doc_id, i + 1, t, b, CASE WHEN b + 1100 >= length(t) THEN length(t) WHEN contains(substr(t, b + 551, 550), ' ') THEN b + 1100 - strpos(reverse(substr(t, b + 551, 550)), ' ') ELSE b + 1100 END
   FROM (SELECT *, e + length(substr(t, e + 1, 1200)) - length(ltrim(substr(t, e + 1, 1200), ' ')) AS b FROM c WHERE e < length(t)) WHERE b < length(t))
 """
-_SCORED = rf""", n AS (SELECT doc_id, i, s, e, len(regexp_extract_all(b, '(?i){p.QUANT}')) AS q, len(regexp_extract_all(b, '(?i){p.UNIT_NUMBER}')) AS u, len(regexp_extract_all(b, '{p.LARGE_NUMBER}')) AS big,
+SCORED = rf""", n AS (SELECT doc_id, i, s, e, len(regexp_extract_all(b, '(?i){p.QUANT}')) AS q, len(regexp_extract_all(b, '(?i){p.UNIT_NUMBER}')) AS u, len(regexp_extract_all(b, '{p.LARGE_NUMBER}')) AS big,
   len(list_distinct(list_transform(regexp_extract_all(b, '(?i){p.QUAL}'), lambda w: lower(w)))) AS w, least(4.0::double * len(regexp_extract_all(b, '(?i){p.BOILERPLATE}')), 12) AS boiler FROM (SELECT *, substr(t, s + 1, e - s) AS b FROM c)),
 sc AS (SELECT doc_id, i, s, e, 4 * q + 6 * u + CASE WHEN q + u > 0 THEN 0.75::double * least(big, 12) ELSE 0 END - boiler AS quant, least(w, 10) - boiler AS qual FROM n)
 """
@@ -34,13 +34,13 @@ def _chunks(spark, sf_dir):
     return e.ranked_chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
 
 
-@Q.add("chunk_scores", CHUNKS + _SCORED + 'SELECT doc_id, i, s AS "start", e AS "end", cast(quant * 100 AS bigint) AS quant, cast(qual AS bigint) AS qual FROM sc')
+@Q.add("chunk_scores", CHUNKS + SCORED + 'SELECT doc_id, i, s AS "start", e AS "end", cast(quant * 100 AS bigint) AS quant, cast(qual AS bigint) AS qual FROM sc')
 def chunk_scores(spark, sf_dir):
     c = _chunks(spark, sf_dir)
     return c.select(F.col("source_id").alias("doc_id"), "i", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), (F.col("quant") * 100).cast("long").alias("quant"), F.col("qual").cast("long").alias("qual"))
 
 
-@Q.add("chunk_relevance", CHUNKS + _SCORED + """, a AS (SELECT doc_id, quant, qual, row_number() OVER (PARTITION BY doc_id ORDER BY quant DESC) AS nq, row_number() OVER (PARTITION BY doc_id ORDER BY qual DESC) AS nl FROM sc)
+@Q.add("chunk_relevance", CHUNKS + SCORED + """, a AS (SELECT doc_id, quant, qual, row_number() OVER (PARTITION BY doc_id ORDER BY quant DESC) AS nq, row_number() OVER (PARTITION BY doc_id ORDER BY qual DESC) AS nl FROM sc)
 SELECT doc_id, cast(coalesce(sum(quant) FILTER (nq <= 8 AND quant > 0), 0) * 100 AS bigint) + 200 * cast(coalesce(sum(qual) FILTER (nl <= 8 AND qual > 0), 0) AS bigint) AS relevance FROM a GROUP BY doc_id""")
 def chunk_relevance(spark, sf_dir):
     return e.relevance(_chunks(spark, sf_dir)).select(F.col("source_id").alias("doc_id"), (F.col("relevance") * 100).cast("long").alias("relevance"))

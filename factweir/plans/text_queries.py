@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factweir.functions import figures, kernels, text, url
 from factweir.functions import patterns as p
 from factweir.operators import evidence as e
+from factweir.plans.figure_queries import CHUNKS, SCORED
 from factweir.plans.query import Queries
 from factweir.shipping import ship
 from factweir.sources.derive import derived, with_sql
@@ -96,9 +97,10 @@ def text_scores(spark, sf_dir):
     return d.select("doc_id", (F.col("s.quant") * 100).cast("long").alias("quant"), F.col("s.qual").cast("long").alias("qual"))
 
 
-@Q.add("chunk_plan")
+@Q.add("chunk_plan", CHUNKS + SCORED + 'SELECT doc_id AS source_id, i, s AS "start", e AS "end", quant, qual FROM sc')
 def chunk_plan(spark, sf_dir):
-    return e.ranked_chunks(_sources(spark, sf_dir))
+    long = {c: F.col(c).cast("long") for c in ("start", "end")}
+    return e.ranked_chunks(_sources(spark, sf_dir)).withColumns({**long, "quant": F.col("quant").cast("double"), "qual": F.col("qual").cast("double")})
 
 
 @Q.add("excerpt_budget")
