@@ -1,7 +1,7 @@
 """The patterns that decide results, each whole and as it is matched, without regard to case.
 
-They are data that other systems of this kind share; the logic that uses them is in `text`, `figures` and
-`disclosure`. SURVEY ids say which rule a pattern belongs to.
+SURVEY fixes them; its ids say which rule a pattern belongs to. The logic that uses them is in `text`, `figures`,
+`disclosure` and `web`.
 """
 
 # X28: scores of a text chunk
@@ -74,7 +74,7 @@ TOTAL = r"\btotal\b"
 
 # X23, X25, W15: footnotes, runs of values, scales
 FOOTNOTE_SIGNS = "*†‡§¹²³⁴⁵⁶⁷⁸⁹"
-FOOTNOTE_USED = r"[\w%)\]](\*{1,3}|†|‡|§|[¹²³⁴⁵⁶⁷⁸⁹])"
+FOOTNOTE_USED = r"(?<=[\w%)\]])(\*{1,3}|†|‡|§|[¹²³⁴⁵⁶⁷⁸⁹])"
 UNLABELLED_RUN = (
     r"\(\s*(?:[kMGT]Wh|GJ|TJ|PJ|MJ|gigajoules?|megawatt[- ]hours?)\s*\)\s*"
     r"((?:(?:FY\s*)?\d[\d,]*(?:\.\d+)?\s+){1,}\d[\d,]*(?:\.\d+)?)\b"
