@@ -115,7 +115,7 @@ def average_power(joules: Column) -> Column:
     return joules / SECONDS_PER_YEAR
 
 
-def kardashev(watts: Column) -> Column:
+def power_scale(watts: Column) -> Column:
     return (F.log10(watts) - 6) / 10
 
 
@@ -180,7 +180,7 @@ def measure_energy(figures: DataFrame, current_year: int) -> DataFrame:
     one = best.withColumn("place", top).where("place = 1")
     conf = figure_confidence(current_year) * F.when(F.col("metric_key") == "electricity_consumption", 0.9).otherwise(1.0)
     power = average_power(F.col("si"))
-    return one.select("entity_id", "metric_key", "figure_id", "conflict", energy_score(power).alias("score"), kardashev(power).alias("k"), conf.alias("confidence"))
+    return one.select("entity_id", "metric_key", "figure_id", "conflict", energy_score(power).alias("score"), power_scale(power).alias("k"), conf.alias("confidence"))
 
 
 def measure_compute(figures: DataFrame, current_year: int) -> DataFrame:

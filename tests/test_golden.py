@@ -31,7 +31,7 @@ def test_scores(spark):
         assert value(spark, measures.energy_score(F.lit(float(watts)))) == pytest.approx(want)
     for rate, want in ((-0.3, 0), (0.0, 3), (0.05, 4), (0.1, 5), (0.25, 7), (0.375, 8), (0.5, 9), (1.0, 10), (7.0, 10), (-1.0, 0)):
         assert value(spark, measures.growth_score(F.lit(rate))) == pytest.approx(want)
-    assert value(spark, measures.kardashev(F.lit(1e16))) == pytest.approx(1.0)
+    assert value(spark, measures.power_scale(F.lit(1e16))) == pytest.approx(1.0)
     assert value(spark, measures.period_year(F.lit("FY '24"))) == 2024
     assert value(spark, scoring.score_band(F.lit(6.0))) == "strong"
     assert value(spark, scoring.judge_confidence(F.lit(0.9), F.array(F.lit(1), F.lit(1)))) == pytest.approx(0.85 * (0.6 + 0.4 / 3))
