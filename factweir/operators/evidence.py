@@ -8,15 +8,13 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from factweir.functions import kernels, text, url
-from factweir.shipping import ship
+from factweir.shipping import ship, ship_for_texts
 
 #: Characters of a quote's normal form, and letters and digits it needs.
 MIN_QUOTE, MAX_QUOTE, MIN_SKELETON = 20, 600, 14
 
 #: Quotes up to which their keys are broadcast; beyond it Spark joins as it sees fit.
 MAX_BROADCAST_QUOTES = 100_000
-#: Rows of an Arrow batch of whole texts.
-TEXT_BATCH = 500
 
 
 def unique_urls(sources: DataFrame) -> DataFrame:
@@ -79,9 +77,7 @@ def _few(sizes: Row) -> bool:
 def _sharing_anchor(q: DataFrame, s: DataFrame, within: list[str], sizes: Row | None = None) -> DataFrame:
     """(quote_id, within, found_in, digest): the texts that share the columns `within` and an anchor."""
     spark = q.sparkSession
-    ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    ship_for_texts(spark)
     sizes = sizes or _sizes(q)
     pairs = None
     for some, anchors, wanted in ((sizes["long"], kernels.long_anchors, _long()), (sizes["n"] - sizes["long"], kernels.short_anchors, ~_long())):
@@ -120,7 +116,7 @@ def ranked_chunks(sources: DataFrame, size: int = 1100, scores: Callable[[Column
     scores: struct(quant, qual) of a chunk's text. The chunks come cut out of one pass over a text; the whole text
     isn't carried along with each.
     """
-    ship(sources.sparkSession)
+    ship_for_texts(sources.sparkSession)
     c = sources.select("source_id", kernels.chunks_of(size)("text").alias("chunks")).select("source_id", F.posexplode("chunks").alias("i", "c"))
     return c.select("source_id", "i", "c.start", "c.end", scores(F.col("c.body")).alias("s")).select("source_id", "i", "start", "end", "s.quant", "s.qual")
 

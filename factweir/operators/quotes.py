@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from factweir.functions import figures, kernels, letters, text
 from factweir.operators import evidence
-from factweir.shipping import ship
+from factweir.shipping import ship_for_texts
 
 #: Quotes of one source that are sought together; a source with more of them is sent to as many tasks.
 TOGETHER = 1000
@@ -40,7 +40,7 @@ def locate_quotes(rows: DataFrame, sources: DataFrame, contexts: bool = False, t
     source is built once for up to about `together` quotes; a source with more is split by a hash of the rows, so
     none gathers in one task. Equal rows stay rows of their own; source_id is unique in `sources`.
     """
-    ship(rows.sparkSession)
+    ship_for_texts(rows.sparkSession)
     names = rows.columns
     every = F.struct(*[F.col(f"`{c}`") for c in names])
     counts = rows.groupBy("source_id").agg(F.ceil(F.count(F.lit(1)) / together).alias("_blocks"))

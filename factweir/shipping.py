@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _NAME = "factweir-package.zip"
+#: Rows and bytes of an Arrow batch of whole texts.
+TEXT_ROWS, TEXT_BYTES = 500, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,3 +24,15 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))
     context.addPyFile(str(archive))
+
+
+def ship_for_texts(spark: SparkSession) -> None:
+    """`ship`, for functions over whole texts: bounds Arrow batches by rows and bytes, so that a worker's memory doesn't
+    grow with a partition. Smaller bounds of the session stay; the settings stay, as results are computed later.
+    """
+    for name, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", TEXT_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int("".join(c for c in spark.conf.get(name) if c.isdigit() or c == "-"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+    ship(spark)
