@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -32,7 +33,7 @@ def ship_for_texts(spark: SparkSession) -> None:
     """
     for name, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", TEXT_BYTES)):
         name = f"spark.sql.execution.arrow.{name}"
-        now = int("".join(c for c in spark.conf.get(name) if c.isdigit() or c == "-"))
-        if not 0 < now <= most:
+        size = re.fullmatch(r"(-?[0-9]+)([kmgtp]?)b?", spark.conf.get(name).strip().lower())
+        if not size or not 0 < int(size[1]) << 10 * " kmgtp".index(size[2] or " ") <= most:
             spark.conf.set(name, str(most))
     ship(spark)

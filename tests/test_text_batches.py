@@ -14,7 +14,7 @@ def test_batches_are_bounded(spark, data, name):
         spark.conf.set(ROWS, "10000")
         spark.conf.set(BYTES, "64m")
         registry.queries()[name](spark, data)
-        assert int(spark.conf.get(ROWS)) <= shipping.TEXT_ROWS and int(spark.conf.get(BYTES)) <= shipping.TEXT_BYTES
+        assert int(spark.conf.get(ROWS)) <= shipping.TEXT_ROWS and int(spark.conf.get(BYTES).rstrip("b")) <= shipping.TEXT_BYTES
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
