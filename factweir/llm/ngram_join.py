@@ -9,7 +9,9 @@ into one of m segments therefore leaves at least one pair of segments close enou
   partner, by the scheme of the band below.
 * allocation: a scheme gives every segment an allowance, 1 (segments must be equal) or 2 (equal, or equal
   after one deletion), the allowances adding up to H + 1. By the pigeonhole principle a linking pair meets
-  in a segment. How many segments take allowance 2 is chosen per scheme by a cost model: signatures written
+  in a segment. Empty segments are alike in many unrelated sets, which would make groups that grow with the
+  number of all sets; so a scheme has a few segments more, its slack, and a set leaves the signature of nothing
+  out unless the allowances of its empty segments exceed the slack (see `signatures`). How many segments take allowance 2 is chosen per scheme by a cost model: signatures written
   against the candidates that segments of that length are expected to bring up in a band as full as counted.
 * copies: documents with the same set are one class from the start and are never expanded into pairs.
 * sketches: a class carries the parities of its shingles' hashes, a bit or two for each shingle. As many
@@ -90,10 +92,21 @@ def bands(percent: int, upto: int) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Scheme:
-    """Segments of a size band; the first `double` of them have allowance 2, the others 1."""
+    """Segments of a size band; the first `double` of them have allowance 2, the others 1.
+
+    slack: what the allowances add up to beyond the H + 1 that a linking pair needs.
+    """
 
     segments: int
     double: int
+    slack: int = 0
+
+
+def spare(segments: int, double: int, lo: int) -> int:
+    """Slack for segments of sets of `lo` shingles or more: what nearly all of them lose by empty segments."""
+    t = lo / segments
+    mean = ((segments - double) + 2 * double * (1 + t)) * math.exp(-t)
+    return math.ceil(mean + 3 * math.sqrt(mean)) if mean > 0.02 else 0
 
 
 def plan(rule: Rule, lo: int, hi: int, sets: int, shared: float) -> Scheme:
@@ -114,7 +127,9 @@ def plan(rule: Rule, lo: int, hi: int, sets: int, shared: float) -> Scheme:
         chance = (m - double) * shared**t + double * (2 * t + 1) * shared ** max(t - 1, 0)
         cost = signatures + CANDIDATE * sets * min(1.0, chance)
         best = min(best, (cost, Scheme(m, double)), key=lambda x: x[0])
-    return best[1]
+    one = best[1]
+    slack = spare(one.segments, one.double, lo)
+    return Scheme(one.segments + slack, one.double, slack)
 
 
 CANDIDATE = 4.0
@@ -125,6 +140,11 @@ def signatures(s: np.ndarray, k: int, scheme: Scheme) -> np.ndarray:
 
     A segment with allowance 2 gives its own signature and those after each single deletion, so that two
     such segments that differ by one added or removed shingle share one.
+
+    The signature of nothing (an empty segment, or one of allowance 2 less its only shingle) is left out where the
+    allowances of the segments that have it are at most the slack. A linking pair that agrees in no other signature
+    differs by the allowance of every other segment at least; as all add up to H + 1 + slack, those that both have
+    the signature of nothing in exceed the slack, for both sets. Both then keep it, and meet.
     """
     m = np.uint64(scheme.segments)
     seg = (s % m).astype(np.int64)
@@ -136,6 +156,11 @@ def signatures(s: np.ndarray, k: int, scheme: Scheme) -> np.ndarray:
     if scheme.double:
         at = seg < scheme.double
         out = np.concatenate([out, bytehash.mix(total[seg[at]] - each[at] + label[seg[at]])])
+    if scheme.slack:
+        held, twice = np.bincount(seg, minlength=scheme.segments), np.arange(scheme.segments) < scheme.double
+        if int((held[~twice] == 0).sum()) + 2 * int((held[twice] <= 1).sum()) <= scheme.slack:
+            nothing = np.concatenate([held == 0, held[seg[at]] == 1]) if scheme.double else held == 0
+            out = out[~nothing]
     return out
 
 

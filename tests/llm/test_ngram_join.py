@@ -166,3 +166,26 @@ def test_query_matches_brute_force(spark, data):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in entries.op5_ngram_jaccard_join(spark, data).collect()}
     assert got == components(rows, 3, 90)
+
+
+def test_linking_sets_meet_although_empty_segments_have_no_signature():
+    """Small sets with empty segments, by planned schemes: links share a signature, unrelated sets share few."""
+    rng = np.random.default_rng(5)
+    rule = nj.Rule(5, 80)
+    cuts = nj.bands(80, 100)
+    schemes = [nj.plan(rule, lo, hi, 50_000, 0.35) for lo, hi in cuts]
+
+    def meet(a, b):
+        return any(lo <= min(len(a), len(b)) <= hi and len(np.intersect1d(nj.signatures(a, k, s), nj.signatures(b, k, s))) for k, ((lo, hi), s) in enumerate(zip(cuts, schemes, strict=True)))
+
+    linked = 0
+    for _ in range(4000):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(2, 70)), dtype=np.uint64))
+        gone = rng.permutation(len(a))[: int(rng.integers(0, 1 + len(a) // 5))]
+        b = np.unique(np.append(np.delete(a, gone), rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 9)), dtype=np.uint64)))
+        if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+            linked += 1
+            assert meet(a, b)
+    assert linked > 1500
+    strangers = [np.unique(rng.integers(0, 2**63, 40, dtype=np.uint64)) for _ in range(120)]
+    assert sum(meet(a, b) for i, a in enumerate(strangers) for b in strangers[:i]) < 20
