@@ -101,23 +101,54 @@ def full_dossier(companies: DataFrame, runs: DataFrame, replayed: DataFrame, sco
     """
     now = current(replayed).withColumnRenamed("current_run", "run_id")
     of = now.select("run_id")
-    seen = evidence.where("verified").join(of, "run_id", "left_semi").select("evidence_id", "source_id", "quote")
-    linked = seen.join(sources.select("source_id", "url"), "source_id", "left")
-    # the source of a piece of evidence has one row, so evidence keeps its own rows
-    shown = cited.join(of, "run_id", "left_semi").join(linked, "evidence_id")
-    first = shown.groupBy("run_id", "category", text.normal_text(F.col("quote")).alias("_quote"), url.host_of(F.col("url")).alias("_site")).agg(F.min(F.struct("pos", "evidence_id", "quote", "url")).alias("e"))
-    listed = first.groupBy("run_id", "category").agg(F.array_sort(F.collect_list("e")).alias("evidence"))
+    listed = _cited(cited.join(of, "run_id", "left_semi"), evidence.join(of, "run_id", "left_semi"), sources, "run_id", "category")
     cats = scores.join(of, "run_id", "left_semi").join(listed, ["run_id", "category"], "left")
     nothing = F.array().cast("array<struct<pos:int,evidence_id:bigint,quote:string,url:string>>")
     item = F.struct("ordinal", "category", "score", F.coalesce("evidence", nothing).alias("evidence"))
     categories = cats.groupBy("run_id").agg(F.array_sort(F.collect_list(item)).alias("categories"))
+    c = _states(companies, runs, now).join(categories, "run_id", "left").join(_read(sources.join(of, "run_id", "left_semi"), "run_id"), "run_id", "left")
+    return c.select("company_id", "name", F.col("run_id").alias("current_run"), "categories", "sources", F.coalesce("rejected_sources", F.lit(0)).alias("rejected_sources"), "last_failed", "active_run")
+
+
+def _cited(cited: DataFrame, evidence: DataFrame, sources: DataFrame, *by: str) -> DataFrame:
+    """`by` and evidence: what is verified, in the order it is cited, each quote (in normal form) and site once."""
+    linked = evidence.where("verified").select("evidence_id", "source_id", "quote").join(sources.select("source_id", "url"), "source_id", "left")
+    # the source of a piece of evidence has one row, so evidence keeps its own rows
+    first = cited.join(linked, "evidence_id").groupBy(*by, text.normal_text(F.col("quote")).alias("_quote"), url.host_of(F.col("url")).alias("_site")).agg(F.min(F.struct("pos", "evidence_id", "quote", "url")).alias("e"))
+    return first.groupBy(*by).agg(F.array_sort(F.collect_list("e")).alias("evidence"))
+
+
+def _read(sources: DataFrame, by: str) -> DataFrame:
+    """`by`, the sources that were read, primary ones first, and rejected_sources."""
     ok = F.coalesce(F.col("status") == "ok", F.lit(False))
     read = F.when(ok, F.struct((~F.coalesce("is_primary", F.lit(False))).alias("later"), "source_id", "url"))
-    listed_sources = sources.join(of, "run_id", "left_semi").groupBy("run_id").agg(F.array_sort(F.collect_list(read)).alias("sources"), F.count_if(~ok).alias("rejected_sources"))
+    got = sources.groupBy(by).agg(F.array_sort(F.collect_list(read)).alias("sources"), F.count_if(~ok).alias("rejected_sources"))
+    return got.withColumn("sources", F.transform("sources", lambda s: s.dropFields("later")))
+
+
+def _states(companies: DataFrame, runs: DataFrame, now: DataFrame) -> DataFrame:
+    """company_id, name, run_id, last_failed and active_run; a failure only counts after the current run."""
     state = runs.groupBy("company_id").agg(F.max(F.when(F.col("status") == "failed", F.col("run_id"))).alias("failed"), F.max(F.when(F.col("status").isin("queued", "running"), F.col("run_id"))).alias("active_run"))
-    c = companies.select("company_id", "name").join(now, "company_id", "left").join(categories, "run_id", "left").join(listed_sources, "run_id", "left").join(state, "company_id", "left")
     late = F.when(F.col("run_id").isNull() | (F.col("failed") > F.col("run_id")), F.col("failed"))
-    return c.select("company_id", "name", F.col("run_id").alias("current_run"), "categories", F.transform("sources", lambda s: s.dropFields("later")).alias("sources"), F.coalesce("rejected_sources", F.lit(0)).alias("rejected_sources"), late.alias("last_failed"), "active_run")
+    return companies.select("company_id", "name").join(now, "company_id", "left").join(state, "company_id", "left").select("company_id", "name", "run_id", late.alias("last_failed"), "active_run")
+
+
+def shared_dossier(companies: DataFrame, runs: DataFrame, replayed: DataFrame, scores: DataFrame, read_by: Column, cited: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """`full_dossier` where many runs share what they read, its lists as text: ids of evidence and sources.
+
+    read_by: which of a few sets the run in `run_id` read; cited(set_id, ordinal, pos, evidence_id), of the categories with
+    this ordinal; evidence(evidence_id, source_id, quote, verified); sources(set_id, source_id, url, status, is_primary).
+    Lists are made once for each set and meet the companies last, so that neither they nor texts are shuffled a run.
+    """
+    now = current(replayed).withColumnRenamed("current_run", "run_id")
+    ids = lambda c, name: F.array_join(F.transform(c, lambda x: x[name].cast("string")), " ")
+    claims = _cited(cited, evidence, sources, "set_id", "ordinal").select("set_id", F.struct(F.col("ordinal").cast("long").alias("o"), ids("evidence", "evidence_id").alias("t")).alias("e"))
+    claims = claims.groupBy("set_id").agg(F.map_from_entries(F.collect_list("e")).alias("claims"))
+    sets = _read(sources.where("set_id IS NOT NULL"), "set_id").withColumn("sources", ids("sources", "source_id")).join(claims, "set_id", "full")
+    cats = scores.join(now.select("run_id"), "run_id", "left_semi").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "category"))).alias("cats"))
+    c = _states(companies, runs, now).join(cats, "run_id", "left").withColumn("set_id", read_by).join(F.broadcast(sets), "set_id", "left")
+    shown = F.array_join(F.transform("cats", lambda k: F.concat(k["category"], F.lit(":"), F.coalesce(F.try_element_at("claims", k["ordinal"].cast("long")), F.lit("")))), "; ")
+    return c.select("company_id", "name", F.col("run_id").alias("current_run"), shown.alias("categories"), F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("rejected_sources", F.lit(0)).alias("rejected_sources"), "last_failed", "active_run")
 
 
 def traffic_report(rows: DataFrame, start: Column, days: int, classes: tuple[str, ...] = ("human",), top: int = 10) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 
 import pytest
 from factweir.operators import envelopes, service
+from factweir.plans import registry
 from pyspark.sql import functions as F
 
 
@@ -73,3 +74,11 @@ def test_sources_of_a_research_answer(spark):
     got = sorted(envelopes.research(spark.createDataFrame(rows, "answer_id long, json string")).collect(), key=lambda r: r.pos)
     assert [(r.answer_id, r.url, list(r.covers)) for r in got] == [(1, "https://a.example/x", ["energy"]), (1, "http://c.example/", [])]
     assert len(got[0].why) == 200
+
+
+def test_what_runs_share_meets_companies_in_a_broadcast_join(spark, data):
+    """Evidence and sources aren't repeated for each run in a shuffle."""
+    plan = registry.queries()["full_dossier"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line]
+    assert "rightHint=(strategy=broadcast)" in joins[0]
+    assert not any("quote" in line for line in plan[: plan.index("rightHint")].splitlines())
