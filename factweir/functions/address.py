@@ -7,6 +7,7 @@ looked up by halving it.
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -72,18 +73,32 @@ def _loose_v4(host: Column) -> Column:
     return F.when(fits & ok, hexed)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def address_value(host: Column, loose: bool = False) -> Column:
     """32 hexadecimal digits of an address as text, with or without brackets and zone; null if it isn't one.
 
     loose: also what resolvers read as an IPv4 address, such as 127.1 or 0x7f000001.
     """
-    h = F.lower(F.regexp_replace(F.regexp_replace(F.trim(host), r"^\[|\]$", ""), r"%[^:]*$", ""))
+    plain = F.lower(F.regexp_replace(F.regexp_replace(F.trim(host), r"^\[|\]$", ""), r"%[^:]*$", ""))
+    return _let(plain, lambda h: _value(h, loose))
+
+
+def _value(h: Column, loose: bool) -> Column:
     v4 = F.when(F.regexp_like(h, F.lit(f"^{_QUAD}$")), _octets(F.split(h, "[.]")))
     if loose:
         v4 = F.coalesce(v4, _loose_v4(h))
     tail = F.regexp_extract(h, rf":({_QUAD})$", 1)
     bytes_ = _octets(F.split(tail, "[.]"))
     full = F.when(tail == "", h).otherwise(F.concat(F.substring(h, F.lit(1), F.length(h) - F.length(tail)), F.substring(bytes_, 1, 4), F.lit(":"), F.substring(bytes_, 5, 4)))
+    return F.coalesce(F.concat(F.lit("0" * 20 + "ffff"), v4), F.when(F.contains(h, F.lit(":")), _let(full, _v6)))
+
+
+def _v6(full: Column) -> Column:
+    """32 digits of an address without a dotted end; null if it isn't one."""
     groups = lambda s: F.filter(F.split(s, ":"), lambda x: x != "")
     pad = lambda xs: F.array_join(F.transform(xs, lambda x: F.lpad(x, 4, "0")), "")
     gap = F.instr(full, "::")
@@ -91,8 +106,7 @@ def address_value(host: Column, loose: bool = False) -> Column:
     short = F.regexp_like(full, F.lit("^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?$"))
     left, right = groups(F.substring(full, F.lit(1), gap - 1)), groups(F.substring(full, gap + 2, F.length(full)))
     missing = 8 - F.size(left) - F.size(right)
-    v6 = F.when(plain, pad(groups(full))).when(short & (missing >= 1), F.concat(pad(left), F.repeat(F.lit("0000"), missing), pad(right)))
-    return F.coalesce(F.concat(F.lit("0" * 20 + "ffff"), v4), v6)
+    return F.when(plain, pad(groups(full))).when(short & (missing >= 1), F.concat(pad(left), F.repeat(F.lit("0000"), missing), pad(right)))
 
 
 def within(value: Column, spans: tuple[tuple[str, str], ...]) -> Column:
@@ -108,5 +122,4 @@ def within(value: Column, spans: tuple[tuple[str, str], ...]) -> Column:
 
 def is_public(host: Column, loose: bool = False) -> Column:
     """Whether an address is public; null if the text isn't an address."""
-    value = address_value(host, loose)
-    return F.when(value.isNotNull(), ~within(value, ranges()))
+    return _let(address_value(host, loose), lambda value: F.when(value.isNotNull(), ~within(value, ranges())))

@@ -77,3 +77,9 @@ def test_links_against_the_standard_library(spark):
         assert r.u == urldefrag(urljoin(r.b, r.x.strip()))[0], (r.b, r.x)
     odd = spark.createDataFrame([(None, "http://a/b"), ("http://a/b", None), (None, None)], "b string, x string").select(url.resolve(F.col("b"), F.col("x")).alias("u")).collect()
     assert [r.u for r in odd] == ["http://a/b", "http://a/b", ""]
+
+
+def test_an_address_is_worked_out_once(spark):
+    """However often its value is looked at, the text of an address is read in one place of the plan."""
+    plan = spark.range(1).select(address.is_public(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") == 1 and plan.count("){7}$") == 1
