@@ -116,18 +116,29 @@ def duplicate_company(proposed: DataFrame, companies: DataFrame, threshold: floa
     """proposed(id, name, domain) to company_id, how: a company of the same domain, else one whose name holds the
     first `block` characters of the proposed name and is `threshold` alike; the smallest id of each kind.
 
-    A name that holds those characters holds all their letter triples, so names are joined on the rarest of them.
-    Names of fewer than three characters are compared with those that are as short.
+    Each distinct name is compared once, however many companies bear it or proposals ask for it.
     """
     ship(proposed.sparkSession)
-    a = proposed.select("id", "domain", text.dedup_name(F.col("name")).alias("core")).withColumn("head", F.left("core", F.lit(block)))
+    a = proposed.select("id", "domain", text.dedup_name(F.col("name")).alias("core"))
     b = companies.select("company_id", F.col("domain").alias("own"), text.dedup_name(F.col("name")).alias("other"))
-    by_domain = a.where("domain <> ''").join(b.where("own <> ''"), F.col("domain") == F.col("own")).groupBy("id").agg(F.min("company_id").alias("company_id"), F.lit("domain").alias("how"))
-    triples = lambda c: F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))).otherwise(F.array(F.col(c)))
-    held = b.select("company_id", "other", F.explode(triples("other")).alias("gram"))
-    counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    wanted = a.where("head <> ''").select("id", "core", "head", F.explode(triples("head")).alias("gram")).join(counts, "gram", "left")
-    key = wanted.groupBy("id", "core", "head").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-    pairs = key.join(held, "gram").where(F.contains("other", "head"))
-    alike = pairs.where(kernels.indel_ratio("core", "other") >= threshold).groupBy("id").agg(F.min("company_id").alias("company_id"), F.lit("name").alias("how"))
+    first = lambda key: b.where(f"{key} <> ''").groupBy(key).agg(F.min("company_id").alias("company_id"))
+    by_domain = a.where("domain <> ''").join(first("own"), F.col("domain") == F.col("own")).groupBy("id").agg(F.min("company_id").alias("company_id"), F.lit("domain").alias("how"))
+    pairs = name_pairs(a.where("core <> ''").select("core").distinct(), first("other"), threshold, block)
+    best = pairs.where(kernels.indel_ratio("core", "other") >= threshold).groupBy("core").agg(F.min("company_id").alias("company_id"))
+    alike = a.join(best, "core").groupBy("id").agg(F.min("company_id").alias("company_id"), F.lit("name").alias("how"))
     return by_domain.unionByName(alike.join(by_domain.select("id"), "id", "left_anti"))
+
+
+def name_pairs(asked: DataFrame, names: DataFrame, threshold: float = 85.0, block: int = 20) -> DataFrame:
+    """asked(core) with each row of names(other, ...) that holds its first `block` characters, less pairs whose lengths
+    forbid the threshold.
+
+    A start shorter than `block` is the whole name asked for, and a name that holds it is `threshold` alike only if it
+    isn't much longer; so each name is joined by its substrings of `block` characters and its few longest ones.
+    """
+    n = F.length("other")
+    longest = F.least(n, F.lit(block))
+    least = F.least(F.greatest(F.floor(n * threshold / (200 - threshold)).cast("int"), F.lit(1)), longest)
+    parts = F.flatten(F.transform(F.sequence(least, longest), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("other"), i, k))))
+    held = names.where("other <> ''").select("*", F.explode(F.array_distinct(parts)).alias("head"))
+    return asked.withColumn("head", F.left("core", F.lit(block))).join(held, "head").drop("head")

@@ -140,6 +140,16 @@ def test_duplicate_companies_against_all_pairs(spark):
     assert got == want
 
 
+def test_duplicate_companies_compare_each_name_once(spark):
+    names = ["Acme Works", "Acme Workshop", "Energy Holdings of the Northern Sea", "Energy Holdings of the Northern Seas"]
+    rows = spark.range(4000).selectExpr("id AS company_id", f"element_at(array({', '.join(map(repr, names))}), cast(id % 4 + 1 AS int)) AS name", "'' AS domain")
+    asked = rows.select(F.col("company_id").alias("id"), "name", "domain")
+    got = {r.company_id: r.n for r in filings.duplicate_company(asked, rows).groupBy("company_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {0: 1000, 1: 1000, 2: 2000}
+    cores = rows.select(F.lower("name").alias("core")).distinct()
+    assert filings.name_pairs(cores, cores.select(F.col("core").alias("other"))).count() == 7
+
+
 @pytest.mark.parametrize(("x", "want"), [(1053479.0, "1,053,479"), (12345.6, "12,346"), (123.45, "123.5"), (1.5, "1.5"), (0.25, "0.25"), (2.0, "2"), (None, "—")])
 def test_shown_numbers(spark, x, want):
     assert value(spark, records.shown_number(F.lit(x).cast("double"))) == want
