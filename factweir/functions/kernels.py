@@ -54,6 +54,7 @@ NOTATIONS = (
     (r"(?<![\d,])(\d+)(\.\d+)?(?!\d|,\d)", "", "."),
 )
 _NOTATIONS = [(re.compile(x), group, point) for x, group, point in NOTATIONS]
+_DIGIT = re.compile(r"\d")
 _SCALE_WORD = re.compile(r"\s*(" + "|".join(SCALES) + r")\b")
 
 
@@ -63,9 +64,13 @@ def numbers(text: str) -> list[float]:
     `1.234` is a plain number; `1.234.567,8` is read as grouped by dots, and so are its plain parts.
     """
     t = normal(text)
-    out = []
+    first, out = _DIGIT.search(t), []
+    if not first:
+        return out
     for expression, group, point in _NOTATIONS:
-        for m in expression.finditer(t):
+        if group not in t or (group == "." and t.count(".") < 2):
+            continue
+        for m in expression.finditer(t, first.start()):
             whole = m[1].replace(group, "") if group else m[1]
             out.append(float(whole + (m[2] or "").replace(point, ".")))
             if word := _SCALE_WORD.match(t[m.end() : m.end() + 12]):

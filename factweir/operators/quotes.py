@@ -36,7 +36,7 @@ def locate_quotes(rows: DataFrame, sources: DataFrame, contexts: bool = False, t
     sources(source_id, text); null if it doesn't, is too short or long, or its source isn't there or is null.
 
     exact: in normal form; loose: letter by letter; footnote: without the digits of footnote marks; ellipsis: its
-    pieces in order. With `contexts` also what stands around the span (see CUTS) and before it. The index of a
+    pieces in order. With `contexts` also what stands around the span (see CUTS) and before it, and the span's numbers. The index of a
     source is built once for up to about `together` quotes; a source with more is split by a hash of the rows, so
     none gathers in one task. Equal rows stay rows of their own; source_id is unique in `sources`.
     """
@@ -50,6 +50,9 @@ def locate_quotes(rows: DataFrame, sources: DataFrame, contexts: bool = False, t
     asked = found.unionByName(rows.where("source_id IS NULL").select(F.array(every).alias("rows"), F.lit(None).cast("string").alias("text")))
     quote_at, extra = names.index("quote"), [*CUTS, "before"] if contexts else []
 
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), *[pa.string()] * len(extra), *[pa.list_(pa.float64())] * contexts]
+    names_out = [*names, "method", "start", "end", "span", *extra, *["numbers"] * contexts]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             flat = b.column(0).flatten()
@@ -60,17 +63,17 @@ def locate_quotes(rows: DataFrame, sources: DataFrame, contexts: bool = False, t
                 for quote in (next(quotes) for _ in range(n)):
                     at = source.find(quote) if source and quote else None
                     if not at:
-                        out.append((None,) * (4 + len(extra)))
+                        out.append((None,) * len(kinds))
                         continue
                     method, start, end = at[0], int(at[1]), int(at[2])
-                    cuts = [body[max(0, start - k) : end + k] for k in CUTS.values()] + [body[max(0, start - SCALE_BEFORE) : start + SCALE_AFTER]] if contexts else []
+                    cuts = [body[max(0, start - k) : end + k] for k in CUTS.values()] + [body[max(0, start - SCALE_BEFORE) : start + SCALE_AFTER], kernels.numbers(body[start:end])] if contexts else []
                     out.append((method, start + 1, end, body[start:end], *cuts))
-            kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), *[pa.string()] * len(extra)]
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*[flat.field(i) for i in range(len(names))], *columns], names=[*names, "method", "start", "end", "span", *extra])
+            yield pa.RecordBatch.from_arrays([*[flat.field(i) for i in range(len(names))], *columns], names=names_out)
 
     made = T.StructType().add("method", "string").add("start", "integer").add("end", "integer").add("span", "string")
-    return asked.mapInArrow(run, T.StructType([*rows.schema.fields, *made.fields, *[T.StructField(n, T.StringType()) for n in extra]]))
+    more = [*[T.StructField(n, T.StringType()) for n in extra], *[T.StructField("numbers", T.ArrayType(T.DoubleType()))] * contexts]
+    return asked.mapInArrow(run, T.StructType([*rows.schema.fields, *made.fields, *more]))
 
 
 def quote_places(quotes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -91,7 +94,8 @@ def unit_present(unit: Column, around: Column) -> Column:
     """A spelling of the unit, or the words as given, starts a word of the text."""
     table = F.create_map(*[x for k, words in UNIT_WORDS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in words]))])
     words = F.coalesce(table[unit], F.array(F.lower(unit)))
-    return F.exists(words, lambda w: F.regexp_like(F.lower(around), F.concat(F.lit(r"(?:^|[^a-z])\Q"), w, F.lit(r"\E"))))
+    # the word is sought as it stands first, as an expression for each is compiled anew
+    return F.exists(words, lambda w: F.contains(F.lower(around), w) & F.regexp_like(F.lower(around), F.concat(F.lit(r"(?:^|[^a-z])\Q"), w, F.lit(r"\E"))))
 
 
 def verify_figures(rows: DataFrame, sources: DataFrame, current_year: int) -> DataFrame:
@@ -103,8 +107,7 @@ def verify_figures(rows: DataFrame, sources: DataFrame, current_year: int) -> Da
     search for quotes; later checks read what it cut out around each.
     """
     r = locate_quotes(rows, sources, contexts=True)
-    r = r.withColumns({"span": F.coalesce("span", F.lit("")), "scale": figures.scale_in(F.col("before"))})
-    r = r.withColumn("numbers", kernels.numbers_in("span"))
+    r = r.withColumns({"numbers": F.coalesce("numbers", F.array().cast("array<double>")), "scale": figures.scale_in(F.col("before"))})
     money = F.col("metric_key").isin("capex", "revenue") & (F.col("unit") == "USD") & ~figures.has_inline_scale(F.col("quote"))
     direct = text.number_matches(F.col("numbers"), F.col("value"))
     scaled = money & F.col("scale").isNotNull() & text.number_matches(F.transform("numbers", lambda n: n * F.col("scale")), F.col("value"))

@@ -4,7 +4,7 @@ import random
 import unicodedata
 
 import pytest
-from factweir.functions import letters
+from factweir.functions import kernels, letters
 from factweir.operators import quotes
 
 CASES = [
@@ -99,3 +99,11 @@ def test_every_source_of_a_quote_is_found(spark):
     asked = spark.createDataFrame([(1, quote), (1, quote), (2, None), (3, "too short")], "quote_id long, quote string")
     got = quotes.quote_places(asked, spark.createDataFrame(texts, "source_id long, text string")).collect()
     assert sorted((r.quote_id, r.source_id) for r in got) == sorted([(1, i) for i in range(0, 30, 3)] * 2)
+
+
+def test_numbers_come_with_the_span(spark):
+    text = "Introduction. It used 1,234 million MWh or 2.345.678,5 in 12 345 plants of 90 MW. More 77 follows."
+    asked = spark.createDataFrame([(1, 1, "used 1,234 million MWh or 2.345.678,5 in 12 345 plants of 90 MW"), (2, 1, "nothing of the kind is said here")], "figure_id long, source_id long, quote string")
+    got = {r.figure_id: r for r in quotes.locate_quotes(asked, spark.createDataFrame([(1, text)], "source_id long, text string"), contexts=True).collect()}
+    assert got[1].numbers == kernels.numbers(got[1].span) and {1234.0, 1.234e9, 2345678.5, 12345.0, 90.0} <= set(got[1].numbers) and 77.0 not in got[1].numbers
+    assert got[2].numbers is None
