@@ -13,6 +13,10 @@ ENERGY_KEYS = (*SCORED_ENERGY, "energy_sold", "energy_storage_deployed", "energy
 ENERGY_MOST = 3e12 * 3.15576e7
 MOST = dict.fromkeys(ENERGY_KEYS, ENERGY_MOST) | {"datacenter_capacity_operating": 5e10, "datacenter_capacity_planned": 2e11, "capex": 1e12, "revenue": 3e12}
 LEAST = {"capex": 1e5, "revenue": 1e5}
+#: How any amount of `amount_pattern` ends.
+CAPACITY = r"[0-9]\s*(?:MW|GW|megawatts?|gigawatts?)\b"
+#: White space after the end of a sentence; what is rarer is sought first.
+SENTENCE_END = r"\s(?<=[.!?]\s)\s*"
 SCALES = {"thousands": 1e3, "millions": 1e6, "billions": 1e9}
 
 
@@ -154,13 +158,14 @@ def without_future(text: Column, megawatts: Column) -> Column:
 
     A sentence stays if words such as `planned` stand right beside each mention.
     """
-    sentences = F.split(F.trim(text), r"(?<=[.!?])\s+")
+    sentences = F.split(F.trim(text), SENTENCE_END)
     amounts = F.transform(F.filter(megawatts, lambda m: m > 0), amount_pattern)
 
     def claims(sentence: Column) -> Column:
         bare = lambda a: F.regexp_like(sentence, F.concat(F.lit("(?is)"), a))
         marked = lambda a: F.regexp_like(sentence, F.concat(F.lit(rf"(?is){p.PLANNED_NEAR}.{{0,20}}(?:"), a, F.lit(rf")|(?:"), a, F.lit(rf").{{0,25}}{p.PLANNED_NEAR}")))
-        return says(sentence, p.OPERATING) & F.exists(amounts, lambda a: bare(a) & ~marked(a))
+        # most sentences name no capacity: one fixed expression spares them those of each amount, which are compiled anew
+        return says(sentence, CAPACITY) & says(sentence, p.OPERATING) & F.exists(amounts, lambda a: bare(a) & ~marked(a))
 
     left = F.trim(F.array_join(F.filter(sentences, lambda s: ~claims(s)), " "))
     return F.when(F.size(amounts) == 0, text).otherwise(F.nullif(left, F.lit("")))

