@@ -13,6 +13,8 @@ from factweir.operators.runs import current
 AUTOMATIC = ("energy_retry", "auto_sweep", "sweep")
 #: Links that a run's pages may add, and classes of agents in a report.
 DISCOVERED_MOST, AGENT_CLASSES = 4, ("human", "bot", "monitor")
+#: Bytes of an id and its blank in a list, bytes of lists that a task should return, and tasks at most.
+ID_BYTES, TASK_BYTES, TASKS_MOST = 8, 64 << 20, 50_000
 
 
 def new_candidates(found: DataFrame, known: DataFrame, most: int = DISCOVERED_MOST) -> DataFrame:
@@ -110,11 +112,15 @@ def full_dossier(companies: DataFrame, runs: DataFrame, replayed: DataFrame, sco
     return c.select("company_id", "name", F.col("run_id").alias("current_run"), "categories", "sources", F.coalesce("rejected_sources", F.lit(0)).alias("rejected_sources"), "last_failed", "active_run")
 
 
-def _cited(cited: DataFrame, evidence: DataFrame, sources: DataFrame, *by: str) -> DataFrame:
-    """`by` and evidence: what is verified, in the order it is cited, each quote (in normal form) and site once."""
-    linked = evidence.where("verified").select("evidence_id", "source_id", "quote").join(sources.select("source_id", "url"), "source_id", "left")
+def _cited(cited: DataFrame, evidence: DataFrame, sources: DataFrame, *by: str, shown: tuple[str, ...] = ("quote", "url")) -> DataFrame:
+    """`by` and evidence: what is verified, in the order it is cited, each quote (in normal form) and site once.
+
+    Quotes are told apart by the SHA-256 of their normal form; they are only shuffled themselves if they are shown.
+    """
+    digest = F.sha2(text.normal_text(F.col("quote")), 256).alias("_quote")
+    linked = evidence.where("verified").select("evidence_id", "source_id", "quote", digest).join(sources.select("source_id", "url"), "source_id", "left")
     # the source of a piece of evidence has one row, so evidence keeps its own rows
-    first = cited.join(linked, "evidence_id").groupBy(*by, text.normal_text(F.col("quote")).alias("_quote"), url.host_of(F.col("url")).alias("_site")).agg(F.min(F.struct("pos", "evidence_id", "quote", "url")).alias("e"))
+    first = cited.join(linked, "evidence_id").groupBy(*by, "_quote", url.host_of(F.col("url")).alias("_site")).agg(F.min(F.struct("pos", "evidence_id", *shown)).alias("e"))
     return first.groupBy(*by).agg(F.array_sort(F.collect_list("e")).alias("evidence"))
 
 
@@ -139,14 +145,19 @@ def shared_dossier(companies: DataFrame, runs: DataFrame, replayed: DataFrame, s
     read_by: which of a few sets the run in `run_id` read; cited(set_id, ordinal, pos, evidence_id), of the categories with
     this ordinal; evidence(evidence_id, source_id, quote, verified); sources(set_id, source_id, url, status, is_primary).
     Lists are made once for each set and meet the companies last, so that neither they nor texts are shuffled a run.
+    Companies with the same lists are brought together before that: a file of the result then holds few different lists,
+    of which Parquet keeps one copy each. Counts companies and sources at once for that.
     """
-    now = current(replayed).withColumnRenamed("current_run", "run_id")
+    now = current(replayed).withColumnRenamed("current_run", "run_id").where("company_id IS NOT NULL AND run_id IS NOT NULL")
     ids = lambda c, name: F.array_join(F.transform(c, lambda x: x[name].cast("string")), " ")
-    claims = _cited(cited, evidence, sources, "set_id", "ordinal").select("set_id", F.struct(F.col("ordinal").cast("long").alias("o"), ids("evidence", "evidence_id").alias("t")).alias("e"))
+    claims = _cited(cited, evidence, sources, "set_id", "ordinal", shown=()).select("set_id", F.struct(F.col("ordinal").cast("long").alias("o"), ids("evidence", "evidence_id").alias("t")).alias("e"))
     claims = claims.groupBy("set_id").agg(F.map_from_entries(F.collect_list("e")).alias("claims"))
     sets = _read(sources.where("set_id IS NOT NULL"), "set_id").withColumn("sources", ids("sources", "source_id")).join(claims, "set_id", "full")
     cats = scores.join(now.select("run_id"), "run_id", "left_semi").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "category"))).alias("cats"))
-    c = _states(companies, runs, now).join(cats, "run_id", "left").withColumn("set_id", read_by).join(F.broadcast(sets), "set_id", "left")
+    longest = sources.where("set_id IS NOT NULL").groupBy("set_id").count().agg(F.max("count")).first()[0] or 0
+    tasks = min(TASKS_MOST, 1 + companies.count() * longest * ID_BYTES // TASK_BYTES)
+    alike = _states(companies, runs, now).join(cats, "run_id", "left").withColumn("set_id", read_by).repartitionByRange(tasks, "set_id", F.xxhash64("cats"), "company_id")
+    c = alike.join(F.broadcast(sets), "set_id", "left")
     shown = F.array_join(F.transform("cats", lambda k: F.concat(k["category"], F.lit(":"), F.coalesce(F.try_element_at("claims", k["ordinal"].cast("long")), F.lit("")))), "; ")
     return c.select("company_id", "name", F.col("run_id").alias("current_run"), shown.alias("categories"), F.coalesce("sources", F.lit("")).alias("sources"), F.coalesce("rejected_sources", F.lit(0)).alias("rejected_sources"), "last_failed", "active_run")
 

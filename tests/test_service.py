@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 import pytest
 from factweir.operators import envelopes, service
@@ -82,3 +83,27 @@ def test_what_runs_share_meets_companies_in_a_broadcast_join(spark, data):
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert "rightHint=(strategy=broadcast)" in joins[0]
     assert not any("quote" in line for line in plan[: plan.index("rightHint")].splitlines())
+
+
+def test_texts_of_shared_evidence_are_not_shuffled(spark, data):
+    """Joins and groups get digests of quotes, not the quotes."""
+    plan = registry.queries()["full_dossier"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan and not re.search(r"\bquote#", plan)
+
+
+def test_a_written_dossier_holds_shared_lists_once_a_file(spark, tmp_path):
+    """Sets have lists of 42 kB, together more than Parquet's dictionary of a file holds; a set's companies are far apart."""
+    n, sets = 4000, 40
+    ids = spark.range(n).select(F.col("id").alias("company_id"))
+    runs = ids.select(F.col("company_id").alias("run_id"), "company_id", F.lit("succeeded").alias("status"))
+    scores = ids.select(F.col("company_id").alias("run_id"), F.lit(1).alias("ordinal"), F.lit("growth").alias("category"))
+    sources = spark.range(sets * 6000).select((F.col("id") % sets).alias("set_id"), (F.col("id") + 100_000).alias("source_id"), F.lit("http://a.example/").alias("url"), F.lit("ok").alias("status"), F.lit(True).alias("is_primary"))
+    evidence = sources.where("source_id < 100002").select("set_id", F.col("source_id").alias("evidence_id"), "source_id", F.lit("q").alias("quote"), F.lit(True).alias("verified"))
+    cited = evidence.select("set_id", F.lit(1).alias("ordinal"), F.col("evidence_id").alias("pos"), "evidence_id")
+    got = service.shared_dossier(ids.withColumn("name", F.lit("x")), runs, runs.select("company_id", "run_id", F.col("run_id").alias("current_run")), scores, F.col("run_id") % sets, cited, evidence, sources)
+    got.write.parquet(f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    seen = back.select((F.col("current_run") % sets).alias("s"), "company_id", F.length("sources").alias("n"), F.substring_index("sources", " ", 1).cast("long").alias("first"), "categories").collect()
+    assert len({r.company_id for r in seen}) == len(seen) == n and all(r.n == 6000 * 7 - 1 and r.first == 100_000 + r.s for r in seen)
+    assert {r.s: r.categories for r in seen if r.s < 3} == {0: "growth:100000", 1: "growth:100001", 2: "growth:"}
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 10e6
